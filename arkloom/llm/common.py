@@ -46,5 +46,9 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def count_or_zero(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0)).cast("long")
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows; else Spark shuffles as it sees fit.
+
+    ``df`` is counted up to that bound, so it should be a written table.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, sharding, toxicity, warc
+from . import decontam, exact_dedup, html_text, near_dedup, packing, secrets, sharding, toxicity, url_lists, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,18 @@ def op2_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op2(_read(spark, sf_dir, "pages"))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.op3(_read(spark, sf_dir, "documents"))
+
+
+def op4_dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.op4(_read(spark, sf_dir, "pages"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op5(_read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op6(_read(spark, sf_dir, "documents"))
 
@@ -29,12 +41,38 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op8(_read(spark, sf_dir, "documents"))
+
+
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op9(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(_read(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_interleave, op2_line_blocks, op6_exact_dedup, op7_toxicity, op10_warc)
+    f.__name__: f
+    for f in (
+        op1_interleave,
+        op2_line_blocks,
+        op3_circulant_minhash,
+        op4_dated_lists,
+        op5_secrets,
+        op6_exact_dedup,
+        op7_toxicity,
+        op8_packing,
+        op9_winnowing,
+        op10_warc,
+    )
 }
 
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.SQL, "op10_warc": warc.SQL}
+ORACLES: dict[str, str] = {
+    "op3_circulant_minhash": near_dedup.SQL,
+    "op4_dated_lists": url_lists.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op9_winnowing": decontam.SQL,
+    "op10_warc": warc.SQL,
+}
