@@ -110,22 +110,22 @@ WITH cap AS (
 hosts AS (SELECT DISTINCT h FROM cap WHERE h <> ''),
 domains AS (SELECT DISTINCT regexp_extract(h, '([^.]+\.[^.]+)$', 1) AS d FROM hosts),
 entries AS (
-  SELECT 'malware' AS list, 'host:' || h AS key, v.action, CAST('0x' || substr(md5(v.k || h), 1, 6) AS BIGINT) % 525600 AS at
+  SELECT 'malware' AS list, 'host:' || h AS key, v.action, CAST('0x' || substr(md5(v.k || h), 1, 6) AS BIGINT) % 525600 AS t
   FROM hosts CROSS JOIN (VALUES ('add', 'a'), ('remove', 'b'), ('add', 'c')) AS v(action, k)
   UNION ALL
   SELECT 'adult', 'host:' || d, v.action, CAST('0x' || substr(md5('d' || d), 1, 6) AS BIGINT) % 525600 + v.later
   FROM domains CROSS JOIN (VALUES ('add', 0), ('remove', 40000)) AS v(action, later) WHERE d <> ''
   UNION ALL
   SELECT 'takedown', 'url:' || plain, 'add', (page_id * 104729) % 525600 FROM cap WHERE page_id % 7 = 0),
-one AS (SELECT list, key, at, max(action) AS action FROM entries GROUP BY ALL),
-spans AS (SELECT *, coalesce(lead(at) OVER (PARTITION BY list, key ORDER BY at), 4611686018427387904) AS until FROM one),
+one AS (SELECT list, key, t, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY list, key ORDER BY t), 4611686018427387904) AS t_end FROM one),
 keyed AS (
   SELECT DISTINCT url, fetched_at, 'url:' || plain AS key FROM cap
   UNION SELECT DISTINCT url, fetched_at, 'host:' || array_to_string(string_split(h, '.')[i:], '.')
   FROM (SELECT *, unnest(range(1, len(string_split(h, '.')))) AS i FROM cap WHERE h <> '')),
 found AS (
   SELECT url, fetched_at, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
-  FROM keyed JOIN spans USING (key) WHERE action = 'add' AND at <= fetched_at AND fetched_at < until GROUP BY ALL)
+  FROM keyed JOIN spans USING (key) WHERE action = 'add' AND t <= fetched_at AND fetched_at < t_end GROUP BY ALL)
 SELECT page_id, cap.url, cap.fetched_at, coalesce(n, 0) AS n_active, coalesce(lists, '') AS lists, n IS NOT NULL AS blocked
 FROM cap LEFT JOIN found ON found.url = cap.url AND found.fetched_at = cap.fetched_at
 """
