@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Hash buckets of terms.
 BUCKETS = 1 << 18
 #: At most so many labelled rows are learnt from (those with the smallest md5 of their id).
-MAX_TRAIN = 30_000
+MAX_TRAIN = 12_000
 #: Buckets that the machine has weights for: those that tell the labels apart best.
 FEATURES = 4096
 LEAST_CHI = 30.0
