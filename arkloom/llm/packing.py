@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,8 +18,11 @@ from .ranks import positions
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END_ID = 2048, 1
-#: Words that one worker keeps the ids of.
-KNOWN_WORDS = 150_000
+#: Letters or digits and the marks after them, which the tokenizer always cuts apart; it
+#: folds the case of letters.
+ENDED = re.compile(r"([^\W_]+)([.,;:!?|*#$%&()\"-]*)")
+#: Words that one worker keeps the ids of, and texts that it encodes at a time.
+KNOWN_WORDS, AT_ONCE = 250_000, 200
 #: Buckets in which the pieces of one length are numbered.
 BUCKETS = 4096
 
@@ -26,7 +31,10 @@ class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its space-separated words in turn, and each word is encoded once and remembered.
+    those of its space-separated words in turn; each word is encoded once and remembered.
+    Words that differ in case or in the marks at their end share what is between. New words
+    of a to z go to the tokenizer's model as they are, all others through the whole
+    tokenizer, many in a call. A tokenizer that does not work so encodes texts as a whole.
     """
 
     def __init__(self, path: str):
@@ -34,22 +42,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.reserved = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        sample = self.tokenizer.encode("Ab.\ncd e1 (f)", add_special_tokens=False)
+        apart = [self.tokenizer.encode(x, add_special_tokens=False) for x in ("ab", ".", "CD", "e1", "(f", ")")]
+        model = [t.id for t in self.tokenizer.model.tokenize("cd")]
+        self.by_words = sample.ids == [i for x in apart for i in x.ids] and model == apart[2].ids
+
+    def learn(self, words: list[str]) -> None:
+        model, others = self.tokenizer.model, []
+        for w in words:
+            if w.isascii() and w.isalpha() and w.islower():
+                self.known[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+            else:
+                others.append(w)
+        for at in range(0, len(others), 2000):
+            part = others[at : at + 2000]
+            line = " ".join(part)
+            if any(x in line for x in self.reserved):  # a special token's text may hold what ends a word
+                for w in part:
+                    self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+                continue
+            got = self.tokenizer.encode(line, add_special_tokens=False)
+            ids = array("I", got.ids).tobytes()
+            ends = np.cumsum([len(w) + 1 for w in part])  # a token's place tells its word
+            cuts = [0, *(4 * np.searchsorted([start for start, _ in got.offsets], ends)).tolist()]
+            for w, start, end in zip(part, cuts, cuts[1:]):
+                self.known[w] = ids[start:end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.one(x) for x in texts]
-
-    def one(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if not self.by_words:
+            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        lists = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        if len(self.known) > KNOWN_WORDS:
+            self.known = {"": b""}
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > KNOWN_WORDS:
-                known = self.known = {"": b""}
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.asarray(got.ids, "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        new, parts, ended = set().union(*lists).difference(known), set(), []
+        for w in new:
+            if not w.isalpha() or w[0].isupper() and w.isascii():
+                if found := ENDED.fullmatch(w):
+                    core, end = found.groups()
+                    core = core.lower() if core.isascii() else core
+                    ended.append((w, core, end))
+                    parts.add(core)
+                    parts.add(end)
+                    continue
+            parts.add(w)
+        self.learn(list(parts.difference(known)))
+        for w, core, end in ended:
+            known[w] = known[core] + known[end]
+        return [b"".join([known[w] for w in words]) for words in lists]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, whose later tasks find its words known."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,17 +111,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []))}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encoder.one(text.as_py() or "") + end
-                for at in range(0, len(data), 4 * length):
-                    piece = data[at : at + 4 * length]
-                    row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else []))
-                    for k, v in zip(out, row):
-                        out[k].append(v)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                texts = encoder.encode([x or "" for x in part.column(1).to_pylist()])
+                for doc_id, data in zip(part.column(0).to_pylist(), (x + end for x in texts)):
+                    for start in range(0, len(data), 4 * length):
+                        piece = data[start : start + 4 * length]
+                        row = (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else []))
+                        for k, v in zip(out, row):
+                            out[k].append(v)
             kinds = {"id": batch.schema.field(0).type, "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
