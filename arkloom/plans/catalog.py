@@ -2,9 +2,361 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arkloom.functions import urls
+from arkloom.operators import captures, content, site
+from arkloom.plans import fixtures as fx
+from arkloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder in the shared one; a local one only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _saver(spark: SparkSession):
+    root = _shared(spark)
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return save
+
+
+def _sql_key(url: str, ignore: str = "") -> str:
+    """The canonical key in SQL, for URLs that need no decoding."""
+    q = f"CASE WHEN contains({url}, '?') THEN substr({url}, strpos({url}, '?') + 1) ELSE '' END"
+    if ignore:
+        kept = f"array_to_string(list_filter(string_split({q}, '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({ignore})), '&')"
+        q = f"CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
+    else:
+        q = f"CASE WHEN contains({url}, '?') THEN '?' || {q} ELSE '' END"
+    return f"(regexp_replace(split_part({url}, '?', 1), '/+$', '') || {q})"
+
+
+BASE = "regexp_replace(url, '#.*$', '')"
+IGNORE = "'utm_source', 'ref'"
+HOST = "regexp_extract(lower(url), '^https?://([^/?#]*)', 1)"
+
+# --- URL columns ---------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {_sql_key(BASE, IGNORE)} AS key FROM pages")
+def normalize_url(spark, d):
+    return fx.pages(spark, d).select("page_id", urls.normalize_url(F.col("url"), ("utm_source", "ref")).alias("key"))
+
+
+@query(f"SELECT page_id, {HOST} AS host, {BASE} AS base, CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END AS frag FROM pages")
+def host_of(spark, d):
+    u = F.col("url")
+    return fx.pages(spark, d).select("page_id", urls.host_of(u).alias("host"), urls.without_fragment(u).alias("base"), urls.fragment(u).alias("frag"))
+
+
+@query("SELECT page_id, url AS original, concat('https://web.archive.org/web/20130101id_/', url) AS raw_url, '20130101' AS ts FROM pages")
+def unwrap_url(spark, d):
+    wrapped = F.concat(F.lit("https://web.archive.org/web/20130101im_/"), F.col("url"))
+    return fx.pages(spark, d).select("page_id", urls.unwrap_archive_url(wrapped).alias("original"), urls.raw_capture_url(wrapped).alias("raw_url"), urls.capture_timestamp(wrapped).alias("ts"))
+
+
+@query(f"""WITH q AS (SELECT page_id, string_split(CASE WHEN contains(url, '?') THEN split_part(regexp_replace(url, '#.*$', ''), '?', 2) ELSE '' END, '&') AS t FROM pages)
+SELECT page_id, CASE WHEN k <> '' THEN '?' || k ELSE '' END AS query FROM (SELECT page_id, array_to_string(list_filter(t, lambda x: x <> '' AND split_part(x, '=', 1) NOT IN ({IGNORE})), '&') AS k FROM q)""")
+def filter_query(spark, d):
+    q = F.regexp_extract(urls.without_fragment(F.col("url")), urls.PARTS, 6)
+    return fx.pages(spark, d).select("page_id", urls.filter_query(q, ("utm_source", "ref")).alias("query"))
+
+
+@query(f"SELECT page_id, {HOST} = 'example.com' OR ends_with({HOST}, '.example.com') AS in_scope FROM pages")
+def scope_match(spark, d):
+    return fx.pages(spark, d).select("page_id", urls.host_in_scope(urls.host_of(F.col("url")), F.lit("example.com")).alias("in_scope"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_replace(split_part({BASE}, '?', 1), '^https?://[^/]*', '') AS path, CASE WHEN contains(url, '?') THEN split_part({BASE}, '?', 2) ELSE '' END AS q FROM pages)
+SELECT page_id, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: regexp_replace(regexp_replace(s, '[^A-Za-z0-9._()-]', '_', 'g'), '(?i)^(.+)\.(html|htm|php)$', '\1')), '/') AS stem,
+ array_to_string(list_filter(string_split_regex(q, '[&=]'), lambda s: s <> ''), '/') AS query_parts FROM p""")
+def safe_segments(spark, d):
+    parts = captures.with_path_parts(fx.pages(spark, d).select("page_id", "url"), "url")
+    return parts.select("page_id", F.array_join("stem", "/").alias("stem"), F.array_join("query_parts", "/").alias("query_parts"))
+
+
+# --- captures to manifest ------------------------------------------------------------
+
+
+@query(f"WITH {fx.CAPTURES} SELECT seq, original, timestamp FROM captures_v WHERE statuscode = '200' AND mimetype = 'text/html' AND timestamp >= '20130300000000' AND timestamp <= '20131099999999'")
+def capture_filter(spark, d):
+    return captures.capture_filter(fx.captures(spark, d), "201303", "201310").select("seq", "original", "timestamp")
+
+
+@query(f"""WITH {fx.CAPTURES}, h AS (SELECT seq, regexp_extract(original, '^https?://([^/?#]*)', 1) AS host, regexp_replace(regexp_replace(original, '#.*$', ''), '^https?://', '') AS k FROM captures_v)
+SELECT seq, host = 'example.com' AS by_host, host = 'example.com' OR ends_with(host, '.example.com') AS by_domain, starts_with(k, 'www.') AND starts_with(k, 'www.ththon.example.org/en') AS by_prefix FROM h""")
+def match_type(spark, d):
+    o = F.col("original")
+    return fx.captures(spark, d).select("seq", captures.matches(o, "example.com", "host").alias("by_host"), captures.matches(o, "example.com", "domain").alias("by_domain"), captures.matches(o, "www.ththon.example.org/en", "prefix").alias("by_prefix"))
+
+
+@query(f"WITH {fx.CAPTURES} SELECT seq, original FROM captures_v WHERE (contains(original, '/en/') OR regexp_matches(original, 'page=\\d')) AND NOT regexp_matches(original, '/9[0-9]*')")
+def include_exclude(spark, d):
+    return captures.include_exclude(fx.captures(spark, d), ("/en/", r"page=\d"), ("/9[0-9]*",)).select("seq", "original")
+
+
+def _snapshot(strategy):
+    return lambda spark, d: captures.select_snapshot(fx.captures(spark, d).withColumn("target", F.lit("t")), strategy).select("urlkey", "seq", "timestamp", "grp_seq")
+
+
+for _name, _strategy, _measure in (("first", "first", "CAST(timestamp AS BIGINT)"), ("last", "last", "-CAST(timestamp AS BIGINT)"), ("closest", "closest:201306", "abs(CAST(timestamp AS BIGINT) - 20130600000000)")):
+    QUERIES[f"snapshot_{_name}"] = _snapshot(_strategy)
+    ORACLES[f"snapshot_{_name}"] = f"""WITH {fx.CAPTURES} SELECT urlkey, arg_min(seq, (m, seq)) AS seq, arg_min(timestamp, (m, seq)) AS timestamp, min(seq) AS grp_seq
+FROM (SELECT *, {_measure} AS m FROM captures_v) GROUP BY urlkey"""
+
+_MANIFEST_SQL = f"""WITH {fx.CAPTURES},
+f AS (SELECT *, regexp_extract(original, '^https?://([^/?#]*)', 1) AS host FROM captures_v WHERE statuscode = '200' AND mimetype = 'text/html' AND NOT contains(original, '/de/')),
+t AS (SELECT *, CASE WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'com' WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'net' END AS target FROM f),
+a AS (SELECT target, urlkey, arg_min(original, (timestamp, seq)) AS original, min(timestamp) AS timestamp, min(seq) AS grp_seq FROM t WHERE target IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, {_sql_key("regexp_replace(original, '#.*$', '')", IGNORE)} AS key FROM a),
+c AS (SELECT target, key, arg_min(original, (timestamp, grp_seq)) AS original, min(timestamp) AS timestamp, min(grp_seq) AS key_seq FROM k GROUP BY ALL)"""
+
+
+@query(f"{_MANIFEST_SQL} SELECT target, key, original, timestamp, key_seq FROM c")
+def collapse_canonical(spark, d):
+    return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).select("target", "key", "original", "timestamp", "key_seq")
+
+
+@query(f"{_MANIFEST_SQL} SELECT target, key, concat('https://web.archive.org/web/', timestamp, 'id_/', original) AS wayback_url FROM c")
+def build_manifest(spark, d):
+    return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).select("target", "key", "wayback_url")
+
+
+@query(f"{_MANIFEST_SQL} SELECT target, key FROM c ORDER BY target, key LIMIT 40")
+def limit_urls(spark, d):
+    return captures.limit_urls(captures.build_manifest(fx.captures(spark, d), fx.SETTINGS), 40).select("target", "key")
+
+
+@query(f"{_MANIFEST_SQL} SELECT target, count(*) AS n, count(DISTINCT original) AS n_urls FROM c GROUP BY target")
+def counts_by_target(spark, d):
+    return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("n_urls"))
+
+
+@query()
+def assign_local_paths(spark, d):
+    return captures.assign_local_paths(fx.manifest(spark, d).drop("local_path").withColumn("prefix", F.col("target")), "key_seq").select("original", "local_path")
+
+
+@query()
+def remap_manifest(spark, d):
+    return captures.remap_manifest(fx.manifest(spark, d)).select("original", "key", "local_path")
+
+
+@query(rf"""WITH p AS (SELECT regexp_replace(split_part({BASE}, '?', 1), '^https?://[^/]*', '') AS path, contains({BASE}, '?') AS q FROM pages),
+s AS (SELECT list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[^A-Za-z0-9._()-]', '_', 'g'), '(?i)^(.+)\.(html|htm|php)$', '\1')) AS stem, q, ends_with(path, '/') AND path <> '/' AS slash FROM p)
+SELECT DISTINCT stem_key FROM (SELECT array_to_string(stem[1:i], '/') AS stem_key FROM (SELECT stem, unnest(range(1, len(stem))) AS i FROM s) UNION ALL SELECT array_to_string(stem, '/') FROM s WHERE q OR slash)""")
+def directory_stems(spark, d):
+    parts = captures.with_path_parts(fx.pages(spark, d).select("url", F.lit("").alias("prefix")), "url")
+    return captures.directory_stems(parts).select("stem_key")
+
+
+@query(f"WITH {fx.MANIFEST}, n AS (SELECT key FROM manifest_v UNION SELECT {_sql_key(BASE)} FROM pages WHERE page_id % 5 = 0) SELECT key FROM n")
+def merge_manifest(spark, d):
+    base = urls.without_fragment(F.col("url"))
+    new = fx.pages(spark, d).select(base.alias("original"), F.col("page_id").alias("key_seq"), F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("local_path"), F.lit("site").alias("target"))
+    return captures.merge_manifest(fx.manifest(spark, d), new).select("key").distinct()
+
+
+# --- progress and maps ---------------------------------------------------------------
+
+
+@query(f"WITH {fx.MANIFEST} SELECT local_path, key FROM manifest_v WHERE local_path NOT IN (SELECT local_path FROM raw_v)")
+def pending(spark, d):
+    return site.pending(fx.manifest(spark, d), fx.raw(spark, d)).select("local_path", "key")
+
+
+@query(f"""WITH {fx.MANIFEST} SELECT target, count(*) AS total, count(*) FILTER (key_seq % 3 <> 0) AS on_disk, count(*) FILTER (key_seq % 3 = 0) AS pending,
+count(*) FILTER (key_seq % 3 = 1) AS cleaned, count(*) FILTER (key_seq % 6 = 0) AS failed FROM manifest_v GROUP BY target""")
+def run_progress(spark, d):
+    m = fx.manifest(spark, d)
+    log = m.select("local_path", F.when(F.col("key_seq") % 6 == 0, F.lit("fail")).otherwise(F.lit("ok")).alias("outcome"))
+    return site.run_progress(m, fx.raw(spark, d), m.filter("key_seq % 3 = 1"), log)
+
+
+@query(f"WITH {fx.MANIFEST} SELECT key, path FROM url_map_v")
+def url_map(spark, d):
+    return site.build_url_map(fx.manifest(spark, d))
+
+
+@query(f"WITH {fx.MANIFEST} SELECT page_id, {_sql_key(BASE)} AS key FROM pages WHERE {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v)")
+def drop_known(spark, d):
+    return site.drop_known(fx.pages(spark, d).select("page_id", urls.normalize_url(F.col("url")).alias("key")), fx.manifest(spark, d))
+
+
+# --- links and references ------------------------------------------------------------
+
+
+@query(f"WITH {fx.LINKS} SELECT page_id, value FROM links_v")
+def extract_links(spark, d):
+    return content.extract_links(fx.pages(spark, d)).select("page_id", "value")
+
+
+_STATE = f"""WITH {fx.MANIFEST}, {fx.LINKS},
+k AS (SELECT *, regexp_extract(target, '^https?://([^/?#]*)', 1) AS host, {_sql_key("regexp_replace(target, '#.*$', '')")} AS key FROM links_v),
+j AS (SELECT page_id, value, CASE WHEN path IS NOT NULL THEN 'local' WHEN ends_with('.' || host, '.example.com') OR ends_with('.' || host, '.example.net') THEN 'dead' ELSE 'external' END AS state FROM k LEFT JOIN url_map_v USING (key))"""
+
+
+@query(f"{_STATE} SELECT page_id, value, state FROM j")
+def classify_links(spark, d):
+    links = site.resolved_links(fx.pages(spark, d))
+    return site.classify_links(links, site.build_url_map(fx.manifest(spark, d)), fx.scope(spark)).select("page_id", "value", "state")
+
+
+@query(f"{_STATE} SELECT state, count(*) AS n FROM j GROUP BY state")
+def link_counts(spark, d):
+    return classify_links(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def page_title(spark, d):
+    return fx.pages(spark, d).select("page_id", content.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+@query()
+def page_index(spark, d):
+    rows = fx.manifest(spark, d).join(fx.pages(spark, d).select(F.col("page_id").alias("key_seq"), "html", "url"), "key_seq")
+    return site.page_index(rows.select("target", "local_path", content.page_title(F.col("html"), F.col("url")).alias("title")))
+
+
+_REFS = """r AS (
+  SELECT page_id, concat('http://cdn', CAST(page_id % 3 AS VARCHAR), '.test/i', CAST(page_id % 10 AS VARCHAR), '.png') AS base, 'asset' AS kind FROM pages
+  UNION ALL SELECT page_id, 'http://cdn0.test/lazy.png', 'asset' FROM pages
+  UNION ALL SELECT page_id, concat('http://widgets.test/w?id=', CAST(page_id % 4 AS VARCHAR)), 'iframe' FROM pages
+  UNION ALL SELECT page_id, concat('http://cdn1.test/s.css?v=', CAST(page_id % 2 AS VARCHAR)), 'asset' FROM pages)"""
+
+
+@query(f"WITH {_REFS} SELECT base, min(kind) AS kind, count(DISTINCT page_id) AS n_pages FROM r GROUP BY base")
+def external_refs(spark, d):
+    return site.external_references(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), "page_id").select("base", "kind", "n_pages")
+
+
+@query(f"WITH {_REFS} SELECT kind, count(*) AS n, count(DISTINCT base) AS n_bases FROM r GROUP BY kind")
+def dedupe_references(spark, d):
+    refs = site.asset_references(fx.archived(spark, d))
+    return refs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("n_bases"))
+
+
+@query(f"WITH {fx.MANIFEST} SELECT DISTINCT {BASE} AS base FROM pages WHERE (ends_with('.' || {HOST}, '.example.com') OR ends_with('.' || {HOST}, '.example.net')) AND {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v)")
+def inscope_refs(spark, d):
+    return site.inscope_references(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), "page_id").select("base")
+
+
+@query(f"""WITH {fx.SHEETS} SELECT page_id, 0 AS grp, concat('http://cdn', CAST(page_id % 3 AS VARCHAR), '.test/b.png') AS value FROM sheets_v
+UNION ALL SELECT page_id, 1, concat('http://www.example.com/c', CAST(page_id AS VARCHAR), '.css') FROM sheets_v""")
+def css_refs(spark, d):
+    return content.css_references(fx.sheets(spark, d).select("page_id", "css"), absolute=True).select("page_id", "grp", "value")
+
+
+@query("SELECT DISTINCT concat('http://cdn', CAST(page_id % 3 AS VARCHAR), '.test/b.png') AS base FROM pages")
+def external_css_refs(spark, d):
+    return site.external_css_references(fx.sheets(spark, d), fx.scope(spark), fx.manifest(spark, d)).select("base")
+
+
+@query("""SELECT page_id, replace(css, concat('url("../img/', CAST(page_id AS VARCHAR), '.png")'), concat('url("../a/', CAST(page_id AS VARCHAR), '.png")')) AS css FROM sheets_v""".replace("SELECT page_id", f"WITH {fx.SHEETS} SELECT page_id", 1))
+def css_rewrite(spark, d):
+    sheets = fx.sheets(spark, d).withColumn("local_path", F.concat(F.lit("s/"), F.col("page_id").cast("string"), F.lit(".css")))
+    i = F.col("page_id").cast("string")
+    known = sheets.select(F.concat(F.lit("http://www.example.com/img/"), i, F.lit(".png")).alias("key"), F.concat(F.lit("a/"), i, F.lit(".png")).alias("path"))
+    return content.rewrite_css(sheets, known).select("page_id", "css")
+
+
+@query("""SELECT page_id, CASE WHEN k = 0 THEN 'archive' ELSE 'kept' END AS state, count(*) AS n FROM pages CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k) GROUP BY ALL""")
+def asset_rewrite(spark, d):
+    refs = content.extract_references(fx.archived(spark, d).select("page_id", "url", "html")).filter(content.is_asset_reference())
+    return site.rewrite_assets(refs, site.build_url_map(fx.manifest(spark, d))).groupBy("page_id", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def external_paths(spark, d):
+    refs = site.external_references(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), "page_id")
+    return site.external_entries(refs, "site").select("original", "key", "timestamp", "wayback_url", "local_path", "kind")
+
+
+@query(f"WITH {fx.MANIFEST}, {_REFS} SELECT DISTINCT local_path FROM manifest_v JOIN r ON r.page_id = key_seq WHERE base LIKE 'http://cdn0.test/i%'")
+def affected_pages(spark, d):
+    pages = fx.archived(spark, d)
+    refs = site.asset_references(pages.select("local_path", "html")).withColumn("found_in", F.col("local_path"))
+    return site.affected_pages(refs, refs.filter("base LIKE 'http://cdn0.test/i%'"), fx.manifest(spark, d)).select("local_path")
+
+
+@query()
+def external_waves(spark, d):
+    archive = fx.pages(spark, d).select(F.concat(F.lit("http://widgets.test/w?id="), (F.col("page_id") % 4).cast("string")).alias("key"), F.lit('<img src="http://deep.test/x.png">').alias("html"), F.lit("html").alias("media")).distinct()
+    return site.discover_external(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), archive, "site", _saver(spark)).select("original", "local_path", "kind", "wave")
+
+
+# --- content -------------------------------------------------------------------------
+
+
+@query("SELECT page_id, 'html' AS media, concat(CAST(page_id AS VARCHAR), '.html') AS path FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'css', concat(CAST(page_id AS VARCHAR), '.css') FROM pages WHERE page_id % 2 = 1")
+def detect_media(spark, d):
+    rows = fx.pages(spark, d).select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("p"), F.encode(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.concat(F.lit("/* a */ p{margin:0} "), F.col("url"))), "UTF-8").alias("c"))
+    media = rows.withColumn("media", content.detect_media(F.col("c"), F.col("p")))
+    return media.select("page_id", "media", content.effective_path(F.col("p"), F.col("media")).alias("path"))
+
+
+@query()
+def clean_pages(spark, d):
+    out = site.clean_pages(fx.archived(spark, d), site.build_url_map(fx.manifest(spark, d)), fx.scope(spark), css_href="/style.css", js_href="/script.js")
+    return out.select("page_id", "html")
+
+
+@query()
+def clean_site(spark, d):
+    raw = fx.archived(spark, d).select("local_path", F.encode("html", "UTF-8").alias("content"))
+    return site.clean_site(fx.manifest(spark, d), raw, fx.scope(spark)).select("target", "path", "media", "title", F.sha2("content", 256).alias("digest"))
+
+
+# --- streams -------------------------------------------------------------------------
+
+
+def _in_files(spark: SparkSession, rows: DataFrame, root: str, files: int = 4) -> DataFrame:
+    rows.repartition(files).write.parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query()
+def clean_stream(spark, d):
+    root = _shared(spark)
+    raw = fx.archived(spark, d).select("local_path", F.encode("html", "UTF-8").alias("content"))
+    jobs.clean_stream(_in_files(spark, raw, f"{root}/raw", 2), lambda: fx.manifest(spark, d), fx.scope(spark), f"{root}/clean", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/clean").select("target", "path", "media", "title", F.sha2("content", 256).alias("digest"))
+
+
+@query(f"{_MANIFEST_SQL} SELECT DISTINCT key FROM c")
+def merge_stream(spark, d):
+    root = _shared(spark)
+    jobs.merge_stream(_in_files(spark, fx.captures(spark, d), f"{root}/captures", 2), fx.SETTINGS, f"{root}/manifest", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/manifest/v=1").select("key").distinct()
+
+
+@query(f"WITH {fx.MANIFEST} SELECT target, CASE WHEN key_seq % 6 = 0 THEN 'fail' ELSE 'ok' END AS outcome, count(*) AS n FROM manifest_v GROUP BY ALL")
+def progress_stream(spark, d):
+    root, name = _shared(spark), f"progress_{uuid.uuid4().hex}"
+    log = fx.manifest(spark, d).select("target", F.when(F.col("key_seq") % 6 == 0, F.lit("fail")).otherwise(F.lit("ok")).alias("outcome"))
+    jobs.progress_stream(_in_files(spark, log, f"{root}/log"), name, f"{root}/state").awaitTermination()
+    return spark.table(name)
