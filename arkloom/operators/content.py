@@ -48,34 +48,35 @@ def _starts(text: Column) -> Column:
     return found
 
 
-def detect_media(content: Column, path: Column) -> Column:
-    """``binary``, ``css``, ``js``, ``html`` or ``other``, from the first bytes and the path.
+def with_media(rows: DataFrame, content: str = "content", path: str = "local_path") -> DataFrame:
+    """``rows`` with ``media``: ``binary``, ``css``, ``js``, ``html`` or ``other``, from the first bytes
+    and the path.
 
     A name of a binary kind or a zero byte early wins; pages named .html are looked into, as
     scripts that serve stylesheets or scripts were given that name.
     """
-    binary = suffix(path).isin(*BINARY_EXTENSIONS) | (F.instr(_head(content, 512), "\x00") > 0)
-    html = suffix(path) == ".html"
-    # A stylesheet: no markup, no script, and a block with a property near its start.
-    head = F.regexp_replace(_head(content, 500), r"^\s+", "")
-    body = F.when(F.startswith(head, F.lit("/*")) & (F.instr(head, "*/") > 0), F.regexp_replace(head, r"(?s)^/\*.*?\*/\s*", "")).otherwise(head)
-    markup = F.lower(F.substring(head, 1, 5)).isin("<!doc", "<html", "<?xml") | F.substring(head, 1, 2).isin("<!", "<?")
-    early = _head(content, 4000)
-    css = ~markup & ~_starts(body) & (F.instr(early, "{") > 0) & (F.instr(early, ":") > 0)
-    # A script: begins as one after a byte order mark and a comment.
-    top = F.regexp_replace(_head(content, 600), "^(?:\\s|ï»¿)+", "")
-    top2 = F.when(F.startswith(top, F.lit("/*")) & (F.instr(top, "*/") > 0), F.regexp_replace(top, r"(?s)^/\*.*?\*/\s*", "")).otherwise(top)
-    top2 = F.when(F.startswith(top2, F.lit("//")), F.regexp_replace(top2, r"^//[^\n]*(?:\n\s*|$)", "")).otherwise(top2)
-    js = ~F.startswith(top, F.lit("<")) & _starts(top2)
-    return (
-        F.when(binary, F.lit("binary"))
-        .when(suffix(path) == ".css", F.lit("css"))
-        .when(suffix(path) == ".js", F.lit("js"))
+    comment = r"(?s)^/\*.*?\*/\s*"
+    rows = urls.settled(rows, _early=_head(F.col(content), 4000))
+    early = F.col("_early")
+    rows = urls.settled(
+        rows,
+        _head=F.regexp_replace(F.substring(early, 1, 500), r"^\s+", ""),
+        _top=F.regexp_replace(F.regexp_replace(F.substring(early, 1, 600), "^(?:\\s|ï»¿)+", ""), comment, ""),
+    )
+    rows = urls.settled(rows, _body=F.regexp_replace("_head", comment, ""), _code=F.regexp_replace("_top", r"^//[^\n]*(?:\n\s*|$)", ""))
+    html = suffix(F.col(path)) == ".html"
+    markup = F.lower(F.substring("_head", 1, 5)).isin("<!doc", "<html", "<?xml") | F.substring("_head", 1, 2).isin("<!", "<?")
+    css = ~markup & ~_starts(F.col("_body")) & (F.instr(early, "{") > 0) & (F.instr(early, ":") > 0)
+    media = (
+        F.when(suffix(F.col(path)).isin(*BINARY_EXTENSIONS) | (F.instr(F.substring(early, 1, 512), "\x00") > 0), F.lit("binary"))
+        .when(suffix(F.col(path)) == ".css", F.lit("css"))
+        .when(suffix(F.col(path)) == ".js", F.lit("js"))
         .when(html & css, F.lit("css"))
-        .when(html & js, F.lit("js"))
+        .when(html & ~F.startswith(F.col("_top"), F.lit("<")) & _starts(F.col("_code")), F.lit("js"))
         .when(html, F.lit("html"))
         .otherwise(F.lit("other"))
     )
+    return urls.settled(rows, media=media).drop("_early", "_head", "_top", "_body", "_code")
 
 
 def effective_path(path: Column, media: Column) -> Column:

@@ -203,7 +203,7 @@ def clean_site(manifest: DataFrame, raw: DataFrame, scope: DataFrame, done: Data
     """(target, path, media, content, title) of every entry that has bytes and, unless all are to be
     redone, is not in ``done`` (path): binaries and others as they are, stylesheets and pages
     rewritten."""
-    kinds = urls.settled(with_content(manifest, raw), media=content.detect_media(F.col("content"), F.col("local_path")))
+    kinds = content.with_media(with_content(manifest, raw))
     named = urls.settled(kinds, path=content.effective_path(F.col("local_path"), F.col("media")))
     moved = named.filter("path <> local_path").select("local_path", F.col("path").alias("_p"))
     renamed = manifest.join(moved, "local_path", "left").withColumn("path", F.coalesce("_p", "local_path")).drop("_p")

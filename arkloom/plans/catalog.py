@@ -315,7 +315,7 @@ def external_waves(spark, d):
 @query("SELECT page_id, 'html' AS media, concat(CAST(page_id AS VARCHAR), '.html') AS path FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'css', concat(CAST(page_id AS VARCHAR), '.css') FROM pages WHERE page_id % 2 = 1")
 def detect_media(spark, d):
     rows = fx.pages(spark, d).select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("p"), F.encode(F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.concat(F.lit("/* a */ p{margin:0} "), F.col("url"))), "UTF-8").alias("c"))
-    media = rows.withColumn("media", content.detect_media(F.col("c"), F.col("p")))
+    media = content.with_media(rows, "c", "p")
     return media.select("page_id", "media", content.effective_path(F.col("p"), F.col("media")).alias("path"))
 
 
