@@ -1,8 +1,9 @@
 """Near duplicates: circulant MinHash, banding, exact Jaccard verification, components.
 
 Texts that are the same sequence of words are one node from the start. Within a band bucket
-pairs are never all written out: members are compared with a few centres per round, what is
-linked becomes one component, and only members of other components meet the next centres.
+pairs are never all written out: members are compared with one centre first, what is linked
+becomes one component, and members of other components are compared exactly in blocks, each
+of which gives no more rows than it has members.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, keep
@@ -26,6 +27,10 @@ BANDS, ROWS = 32, 4
 #: a pair at 0.75 has 96 of 128 on average, and 70 or fewer with a probability of 1e-7.
 LEAST_EQUAL = 70
 BROADCAST_ROWS = 1_000_000
+#: About how many members, and shingles of members, a block of a cluster has.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+#: Shingles that so many members of two blocks have are counted by matrix products.
+OFTEN = 32
 
 U64 = np.uint64
 _POWER, _INVERSE = U64(0x9E3779B97F4A7C15), U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -211,51 +216,103 @@ def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(needed), "id", "left_semi")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two sets, as a square matrix (its diagonal is not filled in)."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    counts = np.zeros((n, n), np.float32)
+
+    often = times >= OFTEN
+    place, dense = np.cumsum(often) - 1, often[column]
+    for at in range(0, int(often.sum()), 4096):
+        here = dense & (place[column] >= at) & (place[column] < at + 4096)
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[here], place[column[here]] - at] = 1
+        counts += part @ part.T
+
+    rare = ~dense & (times[column] > 1)
+    order = np.argsort(column[rare], kind="stable")
+    c, o = column[rare][order], owner[rare][order]
+    for step in range(1, OFTEN - 1):
+        same = c[step:] == c[:-step]
+        if not same.any():
+            break
+        found = np.bincount(o[:-step][same] * n + o[step:][same], minlength=n * n).reshape(n, n)
+        counts += found + found.T
+    return counts
+
+
+def connections(table: pa.Table) -> pa.Table:
+    """Of the members of one or two blocks (id, label, text), rows (a, b) that connect by exact
+    links what has different labels: each member with the first one that such links lead to."""
+    sets = [shingles(t)[0] for t in table.column("text").to_pylist()]
+    sizes = np.asarray([len(s) for s in sets])
+    both = shared_counts(sets)
+    near = both * OF >= (sizes[:, None] + sizes[None, :] - both) * NEAR
+    labels = np.unique(np.asarray(table.column("label").to_pylist()), return_inverse=True)[1]
+    near &= (labels[:, None] != labels[None, :]) & (both > 0)
+    first = np.arange(len(sets))
+    while True:
+        lower = np.minimum(first, np.where(near, first[None, :], len(sets)).min(1))
+        if (lower == first).all():
+            break
+        first = lower
+    ends = np.flatnonzero(first != np.arange(len(sets)))
+    ids = table.column("id").combine_chunks()
+    return pa.table({"a": ids.take(pa.array(ends)), "b": ids.take(pa.array(first[ends]))})
+
+
+def blockwise(clusters: DataFrame, texts: DataFrame) -> DataFrame:
+    """The connections (a, b) between members of different labels in each cluster.
+
+    ``clusters`` has (centre, id, label, n_shingles). The members of a cluster's most common
+    label need no comparison among themselves. They and the others are dealt by hash to
+    blocks of a bounded size, and each block of others meets each block of the cluster in a
+    task of its own. A member is thus sent as often as there are blocks to meet.
+    """
+    kind = dict(clusters.dtypes)["id"]
+    by_label = clusters.groupBy("centre", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = by_label.groupBy("centre").agg(F.max_by(F.struct("label", "n", "s"), F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_ROWS, s / BLOCK_SHINGLES))
+    sizes = sizes.select("centre", F.col("most.label").alias("most"), blocks(F.col("most.n"), F.col("most.s")).alias("inner"), blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("outer"))
+    dealt = clusters.join(broadcast_if_small(keep(sizes, "cluster_sizes"), BROADCAST_ROWS), "centre")
+    inside, end = F.col("label") == F.col("most"), F.col("inner") + F.col("outer") - 1
+    dealt = dealt.withColumn("block", F.when(inside, F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), F.col("outer"))))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0)), end)))
+    met = met.select("centre", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "label")
+    return met.join(texts, "id").select("centre", "lo", "hi", "id", "label", "text").groupBy("centre", "lo", "hi").applyInArrow(connections, f"a {kind}, b {kind}")
+
+
 def linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The verified links (a, b) that span the components of ``nodes`` (id, n_shingles, sketch,
-    bands).
-
-    Round by round, every bucket that still holds several components compares its other
-    members with some centres: first with its smallest id, which is the same in most of a
-    group's buckets, then with 4, 16, 64 ... others. A centre that all members of other
-    components have been compared with leaves its bucket; a bucket of one component is
-    done. The rounds end when no bucket is left, so every pair of a bucket is either
-    compared or known to be connected, but a group of n copies costs some n comparisons.
+    """Links (a, b) that span the components of ``nodes`` (id, n_shingles, sketch, bands).
+
+    First every member of a bucket is compared with the bucket's smallest id, which is the
+    same in most of a group's buckets. Where members of a bucket are still in different
+    components, all members that have this centre are a cluster, and ``blockwise`` compares
+    exactly those in different components. So every pair of a bucket is either compared or
+    known to be connected, and the rows written for a group grow with its members and the
+    blocks that they meet, not with its pairs.
     """
     members = nodes.select("id", F.explode("bands").alias("bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    open_rows = keep(members.join(shared, "bucket", "left_semi"), "buckets")
-    ids = keep(open_rows.select("id").distinct(), "bucket_ids")
+    centres = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).filter("n > 1").select("bucket", "centre")
+    placed = keep(members.join(centres, "bucket").select("bucket", "id", "centre"), "buckets")
+    ids = keep(placed.select("id").distinct(), "bucket_ids")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = keep(texts.join(broadcast_if_small(ids, BROADCAST_ROWS), "id", "left_semi"), "texts")
     narrow = keep(nodes.select("id", "n_shingles", "sketch").join(ids, "id", "left_semi"), "sketches")
 
-    links = done = labels = None
-    centres = 1
-    while not open_rows.isEmpty():
-        placed = open_rows.withColumn("label", F.col("id")) if labels is None else open_rows.join(labels, "id", "left").select("id", "bucket", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        placed = keep(placed.join(several, "bucket", "left_semi"), "open")
-        if centres == 1:
-            chosen = placed.groupBy("bucket").agg(F.min_by(F.struct("id", "label"), "id").alias("c")).select("bucket", F.col("c.id").alias("centre"), F.col("c.label").alias("centre_label"))
-        else:
-            order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", "bucket"), "id")
-            chosen = placed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= centres).select("bucket", F.col("id").alias("centre"), F.col("label").alias("centre_label"))
-        chosen = keep(chosen, "centres")
-        met = placed.join(chosen, "bucket").filter(F.col("label") != F.col("centre_label"))
-        pairs = met.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        likely = keep(sketched(pairs, narrow), "likely")
-        new = keep(verified(likely, _only(texts, likely)), "links")
-        done = pairs if done is None else done.unionByName(pairs)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-        open_rows = keep(placed.join(chosen.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti").select("id", "bucket"), "buckets")
-        centres *= 4
-    return links if links is not None else docs.sparkSession.createDataFrame([], f"a {dict(nodes.dtypes)['id']}, b {dict(nodes.dtypes)['id']}")
+    placed = placed.filter("id != centre")
+    pairs = keep(placed.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    likely = keep(sketched(pairs, narrow), "likely")
+    links = keep(verified(likely, _only(texts, likely)), "links")
+
+    labels = components(links)
+    placed = keep(placed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+    clusters = placed.join(several, "bucket", "left_semi").select("centre", "id", "label").distinct()
+    clusters = keep(clusters.join(narrow.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id"), "clusters")
+    return links.unionByName(keep(blockwise(clusters, texts), "connections"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
