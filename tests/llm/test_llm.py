@@ -48,6 +48,28 @@ def test_near_dedup(docs):
     assert near_dedup.op3(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = [f"b{i}" for i in range(90)]
+    texts = [" ".join(f"r{i}_{k}" if rng.random() < rate else w for k, w in enumerate(base)) for i, rate in enumerate([0.015, 0.03] * 60)]
+    sets = [near_dedup.shingles(t)[0] for t in texts]
+    counts = near_dedup.shared_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(120) for j in range(i))
+    first = list(range(120))
+    for _ in first:
+        for i in range(120):
+            for j in range(i):
+                both = counts[i, j]
+                if both * 100 >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    first[i] = first[j] = min(first[i], first[j])
+    assert 1 < len(set(first)) < 120
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.op3(docs).collect()} == dict(enumerate(first))
+
+
 def test_url_lists(spark):
     caps = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "http://a.b.com/x", 15), (3, "http://c.org/", 5), (4, None, 5), (5, "http://c.org/", None), (5, "http://c.org/", None)], "page_id long, url string, fetched_at long")
     entries = spark.createDataFrame([("l", "host:b.com", "add", 0), ("l", "host:b.com", "remove", 10), ("m", "url:c.org", "add", 5), ("m", None, "add", 1)], "list string, key string, action string, at long")
