@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Lines in a sliding window, and the characters in one from which text surges.
 WINDOW, SURGE = 3, 86
+#: What a line in a marked article weighs more: as many such lines as a window holds surge.
+BONUS = SURGE // WINDOW + 1
 
 # Element names by their role in HTML, and words in class, id or role
 # attributes that mark what is not the article.
@@ -57,7 +59,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     """The page stripped of markup: (text, characters outside links, in a marked article).
 
     A line ends at every block element and line break. What lies in a foreign element is one
-    empty line, so that the text there dives.
+    empty line, so that the text there dives; in a marked article, what lies in foreign
+    elements that follow each other is one such line.
     """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
@@ -108,7 +111,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         if not closing and name not in VOID:
             if _foreign(name, token["attrs"], article > 0):
                 end_line()
-                lines.append(("", 0, False))
+                if not (article and lines and lines[-1] == ("", 0, True)):
+                    lines.append(("", 0, article > 0))
                 if not token["attrs"].endswith("/"):
                     skip, depth = name, 1
             elif name in MARKED:
@@ -123,37 +127,41 @@ def main_text(html: str | None) -> str:
     """The text between the surges and dives of the line-block distribution.
 
     The weight of a line is its number of characters outside links, and 0 in foreign
-    elements. Where the page marks an article that has text, lines outside of it weigh 0 and
-    lines inside weigh ``SURGE`` more, so that short paragraphs surge by themselves. With s[i]
-    the weight of the ``WINDOW`` lines from i on, text surges at the first s[i] over
-    ``SURGE`` and dives where s falls to 0; the lines between with text of their own are
-    joined by a line feed. A page in which nothing surges gives the lines of its heaviest
-    run. None and a page without text give "".
+    elements. A line that has such characters and lies in a marked article weighs ``BONUS``
+    more, less than ``SURGE``, so the lengths decide on every page, and text outside of the
+    mark surges by its own length. With s[i] the weight of the ``WINDOW`` lines from i on,
+    text surges at the first s[i] over ``SURGE`` and dives where s falls to 0 or a marked
+    article begins or ends, so that neither side carries the other; the lines between with
+    text of their own are joined by a line feed. A page in which nothing surges gives the
+    lines of its heaviest run. None and a page without text give "".
     """
     if not html:
         return ""
     lines = lines_of(html)
-    if any(marked for _, _, marked in lines):
-        weights = [(own + SURGE + 1) if marked else 0 for _, own, marked in lines]
-    else:
-        weights = [own for _, own, _ in lines]
+    weights = [own + BONUS if marked and own else own for _, own, marked in lines]
     n = len(lines)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    sums = [0] * n
     runs: list[tuple[int, int]] = []  # where the windows' sums stay above 0
     i = 0
     while i < n:
-        if sums[i] == 0:
-            i += 1
-            continue
         j = i
-        while j < n and sums[j] > 0:
+        while j < n and lines[j][2] == lines[i][2]:
             j += 1
-        runs.append((i, j))
+        start = None
+        for k in range(i, j):
+            sums[k] = sum(weights[k : min(k + WINDOW, j)])
+            if sums[k] and start is None:
+                start = k
+            elif not sums[k] and start is not None:
+                runs.append((start, k))
+                start = None
+        if start is not None:
+            runs.append((start, j))
         i = j
     kept = [run for run in runs if max(sums[run[0] : run[1]]) > SURGE] or sorted(runs, key=lambda r: -sum(weights[r[0] : r[1]]))[:1]
     out: list[str] = []
     for i, j in kept:
-        while i < j and not weights[i]:  # a window surges before its first heavy line
+        while i < j and not weights[i] and not lines[i][2]:  # a window surges before its first heavy line
             i += 1
         while j > i and not weights[j - 1]:
             j -= 1

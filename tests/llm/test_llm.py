@@ -40,6 +40,19 @@ def test_page_text():
     assert html_text.main_text(plain) == ("word " * 40).strip() + "\n" + ("more " * 30).strip()
 
 
+def test_page_text_beside_marks():
+    body = ["word " * 30 + "end", "more " * 25 + "end", "Short.", "last " * 20 + "end"]
+    divs = "".join(f"<div>{x}</div>" for x in body)
+    want = "\n".join(body)
+    for mark in ("<article><p>A teaser.</p></article>", "<article></article>", "<article><a href=x>Read on and on and on</a></article>"):
+        assert html_text.main_text(f"{mark}{divs}") == html_text.main_text(f"{divs}{mark}") == want
+    comment = "I think that " * 10 + "end"
+    assert html_text.main_text(f"{divs}<article><p>{comment}</p></article>") == f"{want}\n{comment}"
+    chrome = "<div>Today</div>"
+    assert html_text.main_text(f"{chrome}<article>{divs}<nav>x</nav><nav>x</nav><nav>x</nav><p>Bye.</p></article>{chrome}") == f"{want}\nBye."
+    assert html_text.main_text(f"<main><h1><a href=x>Title</a></h1>{divs}" + "<div><a href=y>Link</a></div>" * 5 + "</main>") == f"Title\n{want}"
+
+
 def test_near_dedup(docs):
     got = {(r["doc_id"], r["n_shingles"]): r for r in near_dedup.op3(docs).collect()}
     ids = {k[0]: r["component_id"] for k, r in got.items()}
