@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -20,17 +21,28 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head nav footer aside form menu dialog select button fieldset object applet map datalist".split())
 MARKED = frozenset("article main".split())
+# End tags that may be left out: which elements a start tag ends, and what lies between at most.
+P_ENDS = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+ROW, CELL = frozenset("tr td th caption".split()), frozenset("td th".split())
+ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"]), "td": CELL, "th": CELL, "tr": ROW}
+ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), ROW | {"tbody", "thead", "tfoot"})
+LOOSE = frozenset("address div p".split())
+TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
+PARTS = BLOCK | NEVER | MARKED | {"body", "optgroup"}
 OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup"
+    r"ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup"
     r"|sidebars?|rail|widgets?|related|recommend\w*|menus?|nav\w*|breadcrumbs?|pagination|pager|masthead|topbar|footers?|copyright"
-    r"|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|toolbar|login|search|forms?)(?:$|[\s_-])",
+    r"|comments?|commentlist|disqus|respond|repl(?:y|ies)|share|sharing|social|toolbar|login|search|forms?",
     re.I,
 )
-HEADER = re.compile(r"(?:^|[\s_-])(?:page-?)?header(?:$|[\s_-])", re.I)
+# With these a word above makes a compound that is as foreign: cookie-bar, site-footer, related-posts.
+BESIDE = re.compile(r"site|page|main|global|top|bottom|primary|secondary|posts?|list|items?|box|block|area|container|wrap(?:per)?|inner|bar|links?|buttons?|icons?|section|thread|unit|slot|policy|text|title|message|\d+", re.I)
+HEADER = re.compile(r"(?:(?:site|page|main|top|global)[_-]?)?header", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:script|style|noscript|template|svg|iframe|textarea|math|canvas|audio|video)(?:/|\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=[\s\"'])/)>"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>"
@@ -40,34 +52,111 @@ TOKEN = re.compile(
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
-def _foreign(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element and all in it lie outside the article's text."""
-    if name in NEVER or name == "header" and not in_article:
+def _other(value: str, in_article: bool) -> bool:
+    """Whether a class or id names what is not the article: by a whole name, never by a part of one."""
+    for token in value.split():
+        if OTHER.fullmatch(token) or not in_article and HEADER.fullmatch(token):
+            return True
+        parts = [x for x in re.split("[_-]+", token) if x]
+        if len(parts) > 1 and any(map(OTHER.fullmatch, parts)) and all(OTHER.fullmatch(x) or BESIDE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
+def _foreign(name: str, attrs: str, in_article: bool, named: bool = True) -> bool:
+    """Whether an element and all in it lie outside the article's text; ``named``: also by class or id."""
+    if name in NEVER or named and name == "header" and not in_article:
         return True
     if not attrs:
         return False
     for key, a, b, c in ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and name not in ("html", "body") and (OTHER.search(value) or not in_article and HEADER.search(value)):
+        if named and key in ("class", "id") and name not in ("html", "body") and _other(value, in_article):
             return True
         if key == "role" and value.lower() in ROLE or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _ends(tags: list[tuple[str, bool, str, int, int]]) -> list[int]:
+    """Of each start tag (name, closing, attrs ...), the number of the tag that ends its element.
+
+    That is its end tag, the next one of an element around it, a start tag before which HTML
+    lets its end tag be left out, ``</body>``, or the page's end. An end tag of what is not
+    open has no effect, and one of a phrase (``</b>``) ends no block.
+    """
+    ends = [len(tags)] * len(tags)
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+
+    def pop_to(depth: int, at: int) -> None:
+        while len(stack) > depth:
+            name, i = stack.pop()
+            ends[i] = at
+            count[name] -= 1
+
+    def last(names: frozenset[str], passing: Callable[[str], bool]) -> int:
+        for d in range(len(stack) - 1, max(-1, len(stack) - 257), -1):
+            if stack[d][0] in names:
+                return d
+            if not passing(stack[d][0]):
+                break
+        return -1
+
+    for i, (name, closing, _, _, _) in enumerate(tags):
+        if closing:
+            if name in ("body", "html"):
+                pop_to(0, i)
+            elif count.get(name):
+                if name in PARTS:
+                    d = len(stack) - 1
+                    while stack[d][0] != name:
+                        d -= 1
+                else:
+                    d = last(frozenset([name]), lambda x: x not in PARTS)
+                if d >= 0:
+                    pop_to(d, i)
+            continue
+        if name in P_ENDS and count.get("p") and (d := last(frozenset(["p"]), lambda x: x not in PARTS)) >= 0:
+            pop_to(d, i)
+        if names := ENDS.get(name):
+            if name in TABLE:
+                while (d := last(names, lambda x: x != "table")) >= 0:
+                    pop_to(d, i)
+            elif (d := last(names, lambda x: x in LOOSE or x not in PARTS or name == "optgroup" and x == "option")) >= 0:
+                pop_to(d, i)
+                if name == "optgroup" and stack and stack[-1][0] == "optgroup":
+                    pop_to(len(stack) - 1, i)
+        if name in VOID:
+            ends[i] = i
+        else:
+            stack.append((name, i))
+            count[name] = count.get(name, 0) + 1
+    return ends
+
+
 def lines_of(html: str) -> list[tuple[str, int, bool]]:
     """The page stripped of markup: (text, characters outside links, in a marked article).
 
     A line ends at every block element and line break. What lies in a foreign element is one
     empty line, so that the text there dives; in a marked article, what lies in foreign
-    elements that follow each other is one such line.
+    elements that follow each other is one such line. Neither a marked article (unless it
+    lies in another one) nor what holds one is foreign by its class or id.
     """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
-    links = article = 0
-    skip, depth = "", 0
-    at = 0
+    links = article = posts = 0  # posts: the articles among the marked elements that are open
+    tags, pieces, at = [], [], 0  # the text before each tag, and after the last one
+    for token in TOKEN.finditer(html):
+        pieces.append(html[at : token.start()])
+        at = token.end()
+        if name := token["name"]:
+            tags.append((name.lower(), bool(token["end"]), token["attrs"], len(pieces) - 1, at))
+    pieces.append(html[at:])
+    ends = _ends(tags)
+    # Marked articles that end what is skipped: those that are foreign in no way.
+    clean = [i for i, t in enumerate(tags) if t[0] in MARKED and not t[1] and not _foreign(t[0], t[2], True)]
 
     def end_line() -> None:
         nonlocal linked
@@ -77,30 +166,19 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             text.clear()
             linked = 0
 
-    for token in TOKEN.finditer(html):
-        start = token.start()
-        if start > at and not skip:
-            piece = html[at:start]
-            text.append(piece)
-            if links:
-                linked += len(piece)
-        at = token.end()
-        name = token["name"]
-        if name is None:
-            continue
-        name, closing = name.lower(), bool(token["end"])
-        if skip:
-            if name in MARKED and not closing and name != skip and not _foreign(name, token["attrs"], True) and skip != "form":
-                skip = ""  # the element around was not closed, or wraps the article itself
-            elif name == skip:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    skip = ""
-                continue
-            else:
-                if closing and name in ("body", "html"):
-                    skip = ""
-                continue
+    def add(first: int, last: int) -> None:
+        nonlocal linked
+        for piece in pieces[first:last]:
+            if piece:
+                text.append(piece)
+                if links:
+                    linked += len(piece)
+
+    i, piece = 0, 0
+    while i < len(tags):
+        name, closing, attrs, before, _ = tags[i]
+        add(piece, before + 1)
+        piece = before + 1
         if name == "a":
             links = 0 if closing else 1
         elif name in BLOCK or name in MARKED:
@@ -108,17 +186,34 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             links = 0
             if name in MARKED and closing:
                 article = max(0, article - 1)
-        if not closing and name not in VOID:
-            if _foreign(name, token["attrs"], article > 0):
-                end_line()
-                if not (article and lines and lines[-1] == ("", 0, True)):
-                    lines.append(("", 0, article > 0))
-                if not token["attrs"].endswith("/"):
-                    skip, depth = name, 1
-            elif name in MARKED:
-                article += 1
-    if not skip and at < len(html):
-        text.append(html[at:])
+                posts = max(0, posts - (name == "article"))
+        if closing or name in VOID:
+            i += 1
+            continue
+        inside = bisect_right(clean, i)  # the next clean article
+        inner = clean[inside] if inside < len(clean) and clean[inside] < ends[i] else None
+        named = inner is None and not (name in MARKED and not posts)
+        if _foreign(name, attrs, article > 0, named):
+            end_line()
+            if not (article and lines and lines[-1] == ("", 0, True)):
+                lines.append(("", 0, article > 0))
+            if not attrs.endswith("/"):
+                links = 0
+                if inner is not None:
+                    i, piece = inner, tags[inner][3] + 1  # not closed, or around the article itself
+                    continue
+                stop = ends[i]
+                if stop == len(tags):
+                    return lines
+                i, piece = stop, tags[stop][3] + 1
+                if tags[stop][1] and tags[stop][0] == name:
+                    i += 1
+                continue
+        elif name in MARKED:
+            article += 1
+            posts += name == "article"
+        i += 1
+    add(piece, len(pieces))
     end_line()
     return lines
 

@@ -53,6 +53,38 @@ def test_page_text_beside_marks():
     assert html_text.main_text(f"<main><h1><a href=x>Title</a></h1>{divs}" + "<div><a href=y>Link</a></div>" * 5 + "</main>") == f"Title\n{want}"
 
 
+def test_page_text_in_wrappers():
+    body = ["word " * 30 + "end", "more " * 25 + "end", "Short."]
+    inside = "".join(f"<p>{x}</p>" for x in body)
+    want = "\n".join(body)
+    for name, classes in [("article", "post category-advertising"), ("article", "post comments-open"), ("main", "has-sidebar"), ("main", "search"), ("div", "layout with-sidebar"), ("div", "post comments-open")]:
+        assert html_text.main_text(f'<{name} class="{classes}">{inside}</{name}>') == want
+    assert html_text.main_text(f'<main class="search"><article class="post notice">{inside}</article></main>') == want
+    assert html_text.main_text(f'<div class="sidebar">{inside}<article class="post">{inside}</article>{inside}</div>') == "\n".join([want] * 3)
+    assert html_text.main_text(f'<form id="page"><article>{inside}</article></form>') == want
+    # What is foreign stays so, by a whole name or a compound of such names.
+    ad = "Buy this now, " * 20
+    for classes in ("ad", "x ads", "cookie-notice", "related-posts", "site-footer", "comment-list", "page-header"):
+        assert html_text.main_text(f'<div class="{classes}">{ad}</div>{inside}') == want
+    assert html_text.main_text(f'<article>{inside}</article><div id="comments"><article class="comment">{ad}</article></div>') == want
+    assert html_text.main_text(f'<article>{inside}<article class="comment">{ad}</article></article>') == want
+    # End tags that are left out, and elements that end themselves.
+    for page in (
+        f'<p class="notice">{ad}{inside}',
+        f'<div><section class="related">{ad}</div>{inside}',
+        f'<ul><li class="related">{ad}<ul><li>{ad}</ul>{ad}</ul>{inside}',
+        f'<ul><li class="related">{ad}<li>{body[0]}<li>{body[1]}<li>{body[2]}</ul>',
+        f'<dl><dt class="ad">{ad}<dd>{body[0]}<dd>{body[1]}<dd>{body[2]}</dl>',
+        f'<table><tr class="ad"><td>{ad}<td>{ad}<tr><td>{body[0]}<tr><td>{body[1]}<tr><td>{body[2]}</table>',
+        f'<table><tr><td class="ad">{ad}<table><tr><td>{ad}</table><td>{inside}</table>',
+        f'<svg width="1" />{inside}',
+        f'<svg/>{inside}<svg><path d="M0"/></svg>',
+        f'<iframe src="x" />{inside}<iframe src=/a/></iframe>',
+        f'<span class="ad">{ad}</span>{inside}</b></div>',
+    ):
+        assert html_text.main_text(page) == want, page
+
+
 def test_near_dedup(docs):
     got = {(r["doc_id"], r["n_shingles"]): r for r in near_dedup.op3(docs).collect()}
     ids = {k[0]: r["component_id"] for k, r in got.items()}
