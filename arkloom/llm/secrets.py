@@ -14,13 +14,19 @@ from .common import keep, text_or_empty
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the same matches as AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # the same matches as [0-9a-f]+ of 24 characters or more
-#: What the battery tests: runs of characters of encodings, from this length on.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What the battery tests: the longest runs of characters of one alphabet, from this length on
+#: (below, four tests cannot refute an ordinary word). An inner = or a character of the other
+#: alphabet ends a run; where both alphabets meet, a run of each is tested.
+LEAST = 12
+PADDING = r"(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
+CANDIDATE = rf"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{{LEAST},}}{PADDING}"
+CANDIDATE64 = rf"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]{{{LEAST}}})[A-Za-z0-9]*+[+/][A-Za-z0-9+/]*{PADDING}"
 KINDS = ("assign", "access", "hex", "random")
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Encodings by inference, narrowest first: what all characters must be, and the alphabet in the order of its values.
 ENCODINGS = (
+    ("decimal", r"^[0-9]+$", "0123456789"),
     ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
     ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
     ("base32", r"^[A-Z2-7]+$", LETTERS.upper() + "234567"),
@@ -30,6 +36,8 @@ ENCODINGS = (
     ("base64", r"^[A-Za-z0-9+/]+$", LETTERS.upper() + LETTERS + "0123456789+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", LETTERS.upper() + LETTERS + "0123456789-_"),
 )
+#: The letters of which prose in Latin script has most.
+COMMON = "aehilnorst"
 #: Share of false discoveries among the runs that are found not to be random.
 FDR = 0.05
 #: p-values are rounded up to this many levels, so the counts that set the thresholds are few.
@@ -72,59 +80,77 @@ def _where(may: Column, spans: Column) -> Column:
 
 def _upper_tail(z: Column) -> Column:
     """P(Z > z) of the normal distribution, by its logistic approximation (error below 0.0002)."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z))
+    return _let(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z)), lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _battery(token: Column, alphabet: str) -> Column:
-    """The smallest p-value of three tests of the hypothesis that the token is random over the
-    alphabet, times three: chi-squared uniformity, runs above and below the middle, and
-    serial correlation with the next character. Padding is not tested.
+    """The smallest p-value of the tests of the hypothesis that the token is random over the
+    alphabet, times their number: chi-squared uniformity, runs above and below the middle,
+    serial correlation with the next character, and the number of letters that are common in
+    prose, where the alphabet has such. The token has no padding.
 
-    Values are the characters' places in the alphabet. Uniformity is one-sided (natural text
-    repeats characters), the others are two-sided.
+    Values are the characters' places in the alphabet. Uniformity and common letters are
+    one-sided (natural text repeats characters), the others are two-sided.
     """
     size = len(alphabet)
-    t = F.regexp_replace(token, "=+$", "")
-    n = F.char_length(t).cast("double")
+    t, n = token, F.char_length(token).cast("double")
     squares = sum((F.pow((n - F.char_length(F.replace(t, F.lit(c), F.lit("")))).cast("double"), F.lit(2.0)) for c in alphabet), F.lit(0.0))
-    chi, df = squares * F.lit(float(size)) / n - n, float(size - 1)
+    df = float(size - 1)
     # Wilson and Hilferty: the cube root of chi-squared is nearly normal.
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / F.lit(df), F.lit(1 / 3)) - F.lit(1 - 2 / (9 * df))) / F.lit((2 / (9 * df)) ** 0.5)
-
-    values = F.transform(F.split(t, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - F.lit((size + 1) / 2))
-    values = F.slice(values, F.lit(1), F.char_length(t))
-    after = F.slice(values, F.lit(2), F.greatest(F.char_length(t) - 1, F.lit(0)))
-    steps = F.zip_with(F.slice(values, F.lit(1), F.size(after)), after, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    high = F.size(F.filter(values, lambda v: v > 0)).cast("double")
-    low = n - high
-    runs = F.size(F.filter(steps, lambda s: (s["x"] > 0) != (s["y"] > 0))).cast("double") + F.lit(1.0)
-    expected = F.lit(2.0) * high * low / n + F.lit(1.0)
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    z_runs = F.when(spread > 0, F.abs(runs - expected) / F.sqrt(spread)).otherwise(F.lit(8.0))
-
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    power = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) - total * total / n
-    lagged = F.aggregate(steps, F.lit(0.0), lambda a, s: a + (s["x"] - total / n) * (s["y"] - total / n))
-    z_serial = F.when(power > 0, F.abs(lagged / power + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(8.0))
-    return F.least(F.lit(1.0), F.lit(3.0) * F.least(_upper_tail(z_chi), F.lit(2.0) * _upper_tail(z_runs), F.lit(2.0) * _upper_tail(z_serial)))
+    cube = F.pow(F.greatest(squares * F.lit(float(size)) / n - n, F.lit(0.0)) / F.lit(df), F.lit(1 / 3))
+    tests = [_upper_tail((cube - F.lit(1 - 2 / (9 * df))) / F.lit((2 / (9 * df)) ** 0.5))]
+
+    def of_runs(high: Column, runs: Column) -> Column:
+        return _let(F.lit(2.0) * high * (n - high) / n, lambda e: F.when(e * (e - 1) > 0, F.abs(runs - e - 1) / F.sqrt(e * (e - 1) / (n - 1))).otherwise(F.lit(8.0)))
+
+    def of_order(values: Column, mean: Column) -> Column:
+        # Sums over the values v less their mean d: squares, products with the one before, those
+        # above the middle, and runs of them.
+        start = F.struct(F.lit(0.0).alias("power"), F.lit(0.0).alias("lagged"), F.lit(0.0).alias("high"), F.lit(1.0).alias("runs"), F.lit(None).cast("double").alias("last"))
+
+        def step(a: Column, v: Column) -> Column:
+            other = a["last"].isNotNull() & ((a["last"] > 0) != (v > 0))
+            lag = F.coalesce((a["last"] - mean) * (v - mean), F.lit(0.0))
+            return F.struct((a["power"] + (v - mean) * (v - mean)).alias("power"), (a["lagged"] + lag).alias("lagged"), (a["high"] + (v > 0).cast("double")).alias("high"), (a["runs"] + other.cast("double")).alias("runs"), v.alias("last"))
+
+        def tails(a: Column) -> Column:
+            z = F.when(a["power"] > 0, F.abs(a["lagged"] / a["power"] + F.lit(1.0) / n) * F.sqrt(n)).otherwise(F.lit(8.0))
+            return F.lit(2.0) * F.least(_let(of_runs(a["high"], a["runs"]), _upper_tail), _let(z, _upper_tail))
+
+        return _let(F.aggregate(values, start, step), tails)
+
+    places = F.transform(F.split(t, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - F.lit((size + 1) / 2))
+    ordered = _let(F.slice(places, F.lit(1), F.char_length(t)), lambda v: _let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, lambda mean: of_order(v, mean)))
+    tests.append(ordered)
+    common = "".join(c for c in COMMON if c in alphabet) or "".join(c for c in COMMON.upper() if c in alphabet)
+    if common:
+        share = len(common) / size
+        k = F.char_length(F.regexp_replace(t, f"[^{common}]", "")).cast("double")
+        tests.append(_upper_tail((k - F.lit(0.5) - n * F.lit(share)) / F.sqrt(n * F.lit(share * (1 - share)))))
+    return F.least(F.lit(1.0), F.lit(float(len(tests) + 1)) * F.least(*tests))
 
 
 def _tested(spans: Column) -> Column:
-    """(start, end, stratum, level) of the candidates that a secret could be: with a digit and a
-    letter, of an inferred encoding. The stratum is the encoding and the length's power of two."""
+    """(start, end, stratum, level) of the candidates of an inferred encoding, whatever their mix
+    of characters. The stratum is the encoding and the length, in quarters of its power of two."""
 
     def one(s: Column) -> Column:
-        core = F.regexp_replace(s["part"], "=+$", "")
+        return _let(F.regexp_replace(s["part"], "=+$", ""), lambda core: of(s, core))
+
+    def of(s: Column, core: Column) -> Column:
         name, p = F.lit(None).cast("string"), F.lit(None).cast("double")
         for label, form, alphabet in reversed(ENCODINGS):
             fits = core.rlike(form)
             name, p = F.when(fits, F.lit(label)).otherwise(name), F.when(fits, _battery(core, alphabet)).otherwise(p)
-        band = F.floor(F.log2(F.char_length(s["part"]).cast("double"))).cast("string")
+        band = F.floor(F.lit(4.0) * F.log2(F.char_length(core).cast("double"))).cast("string")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(name, F.lit("/"), band).alias("stratum"), F.ceil(p * LEVELS).cast("int").alias("level"))
 
-    mixed = F.filter(spans, lambda s: s["part"].rlike("[0-9]") & s["part"].rlike("[A-Za-z]"))
-    return F.filter(F.transform(mixed, one), lambda t: t["stratum"].isNotNull())
+    return F.filter(F.transform(spans, one), lambda t: t["stratum"].isNotNull())
 
 
 def thresholds(tested: DataFrame) -> dict[str, int]:
@@ -154,7 +180,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ``base`` has the fixed forms (kinds 0 to 2 of ``KINDS``): the whole match is the span,
     places are code points, ends exclusive. ``spans`` has these and, as kind 3, the tokens of
     other forms that pass the battery: those whose randomness is not refuted at a
-    false-discovery rate of ``FDR`` over all documents, and that lie in no base span.
+    false-discovery rate of ``FDR`` over all documents, and that lie in no base span and no
+    longer such token.
 
     A null text is an empty one, which has no spans. Null and repeated ids are kept, one
     result per row. An empty table gives no rows. Other columns are not looked at. One
@@ -166,14 +193,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     assign = _where(named, _spans(text, ASSIGN, 0, lambda s: F.char_length(s["part"]) >= 6))
     access = _where(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1))
     hexes = _where(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, 2))
-    runs = _where(text.rlike("[A-Za-z0-9+/_=-]{20}"), _spans(text, CANDIDATE, 3))
-    found = docs.select(F.col(id_col).alias("id"), F.concat(assign, access, hexes).alias("base"), _tested(runs).alias("tested"))
+    runs = _where(text.rlike(f"[A-Za-z0-9_-]{{{LEAST}}}"), _spans(text, CANDIDATE, 3))
+    runs64 = _where(text.rlike(f"[A-Za-z0-9+/]{{{LEAST}}}") & text.rlike("[+/]"), _spans(text, CANDIDATE64, 3))
+    found = docs.select(F.col(id_col).alias("id"), F.concat(assign, access, hexes).alias("base"), _tested(F.concat(runs, runs64)).alias("tested"))
     found = keep(found.withColumn("base", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))), "secrets")
 
     limits = thresholds(found.select(F.explode("tested").alias("t")).select("t.stratum", "t.level"))
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
     random = F.filter("tested", lambda t: t["level"] > F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(-1)))
     apart = F.filter(random, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    # Of two runs of which one holds the other, the longer one.
+    apart = _let(apart, lambda all_: F.filter(all_, lambda t: ~F.exists(all_, lambda u: (u["start"] <= t["start"]) & (t["end"] <= u["end"]) & (t["end"] - t["start"] < u["end"] - u["start"]))))
     more = F.transform(apart, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return found.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", more)).alias("spans"))
 

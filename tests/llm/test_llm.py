@@ -143,6 +143,26 @@ def test_secrets(spark, docs):
     assert secrets.op5(docs.limit(0)).count() == 0
 
 
+def test_random_tokens_are_found(spark):
+    planted = {
+        "aws_key=": "wJ4lrXUtnFEMI7K7MDENGbPxRfiCYzQ8vT2uHsLd",
+        "AccountKey=": "q8Zx+T1vB7/sLd3RhY6nCj0aGe7Fk2Zp9QxW4mT1vB8=",
+        "sig-": "Kd93/xVq+B7mZt0YpLw2Rj5Hc",
+        "https://x.com/cb/": "Xk_3fQ-w9ZbV_7tLmR2c",
+        "no_digit=": "ujzPdeIgxLdGncfBAepf",
+        "digits=": "58203917460275931846",
+        "short:": "k9Qx2ZvB7mWp",
+    }
+    rows = [(i, f"The {name}{token} of it") for i, (name, token) in enumerate(planted.items())]
+    words = ["internationalisation", "straightforwardness", "considerationsthat", "interrelationships", "characteristically", "disproportionately"]
+    rows += [(100 + i, f"Some {w} here") for i, w in enumerate(words * 20)]
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, token) in enumerate(planted.items()):
+        a = 4 + len(name)
+        assert any(s["start"] <= a and a + len(token) <= s["end"] for s in got[i][1] if s["kind"] == 3), name
+    assert not any(spans for i, (_, spans) in got.items() if i >= 100)
+
+
 def test_exact_dedup(docs):
     got = exact_dedup.op6(docs).collect()
     assert len(got) == 12
