@@ -40,8 +40,9 @@ ENCODINGS = (
 COMMON = "aehilnorst"
 #: Share of false discoveries among the runs that are found not to be random.
 FDR = 0.05
-#: p-values are rounded up to this many levels, so the counts that set the thresholds are few.
-LEVELS = 1000
+#: p-values are binned by their logarithm, in this many levels a decade down to 1e-20, each
+#: taken for its largest value, so the counts that set the thresholds are few.
+LEVELS, DECADES = 20, 20
 
 
 def _spans(text: Column, pattern: str, kind: int, ok=None) -> Column:
@@ -79,8 +80,15 @@ def _where(may: Column, spans: Column) -> Column:
 
 
 def _upper_tail(z: Column) -> Column:
-    """P(Z > z) of the normal distribution, by its logistic approximation (error below 0.0002)."""
-    return _let(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z)), lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(1.5976) * z + F.lit(0.07056) * z * z * z)))
+    """P(Z > z) of the normal distribution, by the bounds of Borjesson and Sundberg (relative
+    error of the smaller tail below 0.003, so that it holds for tiny p-values)."""
+
+    def tail(z: Column) -> Column:
+        a = F.abs(z)
+        small = F.exp(F.lit(-0.5) * z * z) / F.lit(2.5066282746310002) / (F.lit(0.661) * a + F.lit(0.339) * F.sqrt(z * z + F.lit(5.51)))
+        return F.when(z >= 0, small).otherwise(F.lit(1.0) - small)
+
+    return _let(F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z)), tail)
 
 
 def _let(value: Column, use) -> Column:
@@ -135,6 +143,11 @@ def _battery(token: Column, alphabet: str) -> Column:
     return F.least(F.lit(1.0), F.lit(float(len(tests) + 1)) * F.least(*tests))
 
 
+def level_of(p: Column) -> Column:
+    """The level of a p-value: the higher, the smaller it is."""
+    return F.floor(F.lit(float(-LEVELS)) * F.log10(F.greatest(p, F.lit(10.0**-DECADES)))).cast("int")
+
+
 def _tested(spans: Column) -> Column:
     """(start, end, stratum, level) of the candidates of an inferred encoding, whatever their mix
     of characters. The stratum is the encoding and the length, in quarters of its power of two."""
@@ -148,25 +161,26 @@ def _tested(spans: Column) -> Column:
             fits = core.rlike(form)
             name, p = F.when(fits, F.lit(label)).otherwise(name), F.when(fits, _battery(core, alphabet)).otherwise(p)
         band = F.floor(F.lit(4.0) * F.log2(F.char_length(core).cast("double"))).cast("string")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(name, F.lit("/"), band).alias("stratum"), F.ceil(p * LEVELS).cast("int").alias("level"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(name, F.lit("/"), band).alias("stratum"), level_of(p).alias("level"))
 
     return F.filter(F.transform(spans, one), lambda t: t["stratum"].isNotNull())
 
 
 def thresholds(tested: DataFrame) -> dict[str, int]:
-    """Of each stratum, the level below or at which a token is found not to be random.
+    """Of each stratum, the level from which on a token is found not to be random.
 
     ``tested`` has one row per candidate (stratum, level) of all documents. Within a stratum,
     which holds tokens of one encoding and like length, the step-up rule of Benjamini and
-    Hochberg takes the largest level L with L / LEVELS <= FDR * (tokens up to L) / (all
-    tokens): short tokens, whose tests have little power, do not share the threshold of long
-    ones. The counts are at most LEVELS + 1 rows for each of a few dozen strata.
+    Hochberg takes the smallest level L whose largest p-value, 10 ** (-L / LEVELS), is at most
+    FDR * (tokens from L on) / (all tokens): short tokens, whose tests have little power, do
+    not share the threshold of long ones. The counts are at most LEVELS * DECADES + 1 rows
+    for each of a few dozen strata.
     """
     counts = tested.groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("stratum").orderBy("level"))
+    beyond = F.sum("n").over(Window.partitionBy("stratum").orderBy(F.desc("level")))
     total = F.sum("n").over(Window.partitionBy("stratum"))
-    passed = counts.select("stratum", "level", upto.alias("upto"), total.alias("total")).filter(F.col("level") / F.lit(float(LEVELS)) <= F.lit(FDR) * F.col("upto") / F.col("total"))
-    return {r["stratum"]: r["level"] for r in passed.groupBy("stratum").agg(F.max("level").alias("level")).collect()}
+    passed = counts.select("stratum", "level", beyond.alias("beyond"), total.alias("total")).filter(F.pow(F.lit(10.0), F.col("level") / F.lit(float(-LEVELS))) <= F.lit(FDR) * F.col("beyond") / F.col("total"))
+    return {r["stratum"]: r["level"] for r in passed.groupBy("stratum").agg(F.min("level").alias("level")).collect()}
 
 
 def _joined(spans: Column) -> Column:
@@ -200,7 +214,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     limits = thresholds(found.select(F.explode("tested").alias("t")).select("t.stratum", "t.level"))
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
-    random = F.filter("tested", lambda t: t["level"] > F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(-1)))
+    random = F.filter("tested", lambda t: t["level"] < F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(LEVELS * DECADES + 1)))
     apart = F.filter(random, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     # Of two runs of which one holds the other, the longer one.
     apart = _let(apart, lambda all_: F.filter(all_, lambda t: ~F.exists(all_, lambda u: (u["start"] <= t["start"]) & (t["end"] <= u["end"]) & (t["end"] - t["start"] < u["end"] - u["start"]))))

@@ -163,6 +163,18 @@ def test_random_tokens_are_found(spark):
     assert not any(spans for i, (_, spans) in got.items() if i >= 100)
 
 
+def test_false_discoveries_in_a_skewed_stratum(spark):
+    random_p = [(i + 0.5) / 20_000 for i in range(20_000)]
+    far = [10 ** -(4.5 + i / 5) for i in range(60)]  # 0.3 % of the tokens are not random
+    p = sorted(random_p + far)
+    exact = max(i + 1 for i, x in enumerate(p) if x <= secrets.FDR * (i + 1) / len(p))
+    rows = spark.createDataFrame([("s", x) for x in p], "stratum string, p double").withColumn("level", secrets.level_of(F.col("p"))).cache()
+    limit = secrets.thresholds(rows.select("stratum", "level"))["s"]
+    assert 60 <= exact <= 66 and exact - 3 <= rows.filter(F.col("level") >= limit).count() <= exact
+    tails = spark.range(1).select(*[secrets._upper_tail(F.lit(z)).alias(f"z{i}") for i, z in enumerate((-2.0, 0.0, 3.0, 8.0))]).first()
+    assert list(tails) == pytest.approx([0.9772499, 0.5, 0.0013498980, 6.2209606e-16], rel=0.004)
+
+
 def test_exact_dedup(docs):
     got = exact_dedup.op6(docs).collect()
     assert len(got) == 12
