@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -18,79 +17,79 @@ from .ranks import positions
 
 #: Tokens of a sequence, and the id that ends each document.
 LENGTH, END_ID = 2048, 1
-#: Letters or digits and the marks after them, which the tokenizer always cuts apart; it
-#: folds the case of letters.
-ENDED = re.compile(r"([^\W_]+)([.,;:!?|*#$%&()\"-]*)")
-#: Words that one worker keeps the ids of, and texts that it encodes at a time.
-KNOWN_WORDS, AT_ONCE = 250_000, 200
+#: Marks that the tokenizer always cuts from a letter or digit before them.
+MARKS = ".,;:!?|*#$%&()\"-"
+#: Letters up to here (but for the one below) keep their form in NFC and have one letter as
+#: lower case, which U+0130 has not: it becomes an i and a combining dot.
+LATIN_END, DOTTED = "\u0250", "\u0130"
+#: Words whose ids a worker keeps, in each of two generations, and the longest word kept.
+KNOWN_WORDS, LONGEST_KNOWN = 125_000, 40
 #: Buckets in which the pieces of one length are numbered.
 BUCKETS = 4096
 
 
+class Words(dict):
+    """The ids of words, learnt as they are asked for.
+
+    A word that is letters or digits and marks after them is these two in turn, if its last
+    letter stays a letter in NFC and lower case. Words of Latin letters go to the tokenizer's
+    model in its own spelling of bytes, all others through the whole tokenizer. Once a
+    generation is full it becomes the old one, from which words that are met again return.
+    """
+
+    def __init__(self, tokenizer):
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {ord(c): spelled(c.lower())[0][0] for c in map(chr, range(ord(LATIN_END))) if c.isalpha() and c != DOTTED}
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.learnt(word)
+        if len(word) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN_WORDS:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            self[word] = found
+        return found
+
+    def learnt(self, word: str) -> bytes:
+        core = word.rstrip(MARKS)
+        if len(core) < len(word):
+            if core and core[-1] < DOTTED and core.isalnum():
+                return self[core] + self[word[len(core) :]]
+        elif word.isalpha() and (word.isascii() or max(word) < LATIN_END and DOTTED not in word):
+            return array("I", [t.id for t in self.model.tokenize(word.translate(self.spelling))]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+
 class Encoder:
     """The ids of whole texts, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    those of its space-separated words in turn; each word is encoded once and remembered.
-    Words that differ in case or in the marks at their end share what is between. New words
-    of a to z go to the tokenizer's model as they are, all others through the whole
-    tokenizer, many in a call. A tokenizer that does not work so encodes texts as a whole.
+    those of its space-separated words in turn; see :class:`Words`. A tokenizer that does not
+    work so encodes texts as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.reserved = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        sample = self.tokenizer.encode("Ab.\ncd e1 (f)", add_special_tokens=False)
-        apart = [self.tokenizer.encode(x, add_special_tokens=False) for x in ("ab", ".", "CD", "e1", "(f", ")")]
-        model = [t.id for t in self.tokenizer.model.tokenize("cd")]
-        self.by_words = sample.ids == [i for x in apart for i in x.ids] and model == apart[2].ids
-
-    def learn(self, words: list[str]) -> None:
-        model, others = self.tokenizer.model, []
-        for w in words:
-            if w.isascii() and w.isalpha() and w.islower():
-                self.known[w] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
-            else:
-                others.append(w)
-        for at in range(0, len(others), 2000):
-            part = others[at : at + 2000]
-            line = " ".join(part)
-            if any(x in line for x in self.reserved):  # a special token's text may hold what ends a word
-                for w in part:
-                    self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-                continue
-            got = self.tokenizer.encode(line, add_special_tokens=False)
-            ids = array("I", got.ids).tobytes()
-            ends = np.cumsum([len(w) + 1 for w in part])  # a token's place tells its word
-            cuts = [0, *(4 * np.searchsorted([start for start, _ in got.offsets], ends)).tolist()]
-            for w, start, end in zip(part, cuts, cuts[1:]):
-                self.known[w] = ids[start:end]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        apart = ids("Ab.\ncd \u00c9f (g)") == [i for x in ("ab", ".", "CD", "\u00e9F", "(", "g", ")") for i in ids(x)]
+        self.words = Words(self.tokenizer)
+        spelled = [t.id for t in self.tokenizer.model.tokenize("\u00c9f".translate(self.words.spelling))]
+        self.by_words = apart and spelled == ids("\u00c9f")
+
+    def encode(self, text: str) -> bytes:
         if not self.by_words:
-            return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        lists = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new, parts, ended = set().union(*lists).difference(known), set(), []
-        for w in new:
-            if not w.isalpha() or w[0].isupper() and w.isascii():
-                if found := ENDED.fullmatch(w):
-                    core, end = found.groups()
-                    core = core.lower() if core.isascii() else core
-                    ended.append((w, core, end))
-                    parts.add(core)
-                    parts.add(end)
-                    continue
-            parts.add(w)
-        self.learn(list(parts.difference(known)))
-        for w, core, end in ended:
-            known[w] = known[core] + known[end]
-        return [b"".join([known[w] for w in words]) for words in lists]
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.words.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -115,15 +114,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids:
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []))}
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                texts = encoder.encode([x or "" for x in part.column(1).to_pylist()])
-                for doc_id, data in zip(part.column(0).to_pylist(), (x + end for x in texts)):
-                    for start in range(0, len(data), 4 * length):
-                        piece = data[start : start + 4 * length]
-                        row = (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else []))
-                        for k, v in zip(out, row):
-                            out[k].append(v)
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                data, doc_id = encoder.encode(text.as_py() or "") + end, doc_id.as_py()
+                for start in range(0, len(data), 4 * length):
+                    piece = data[start : start + 4 * length]
+                    row = (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, *([np.frombuffer(piece, "<u4").astype(np.int32)] if with_ids else []))
+                    for k, v in zip(out, row):
+                        out[k].append(v)
             kinds = {"id": batch.schema.field(0).type, "ids": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
@@ -144,8 +141,12 @@ def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int,
         while left:
             while free >= size and not (free < length and room.get(free)):
                 free -= 1
-            if free < size:  # no open pack takes it
-                room[length - size].append((left, (None, size)))
+            if free < size:  # no open pack takes it: new ones are filled one after the other
+                fit, chain = length // size, None
+                for n in range(1, fit + 1):
+                    chain = (chain, size)
+                    if many := left // fit if n == fit else int(n == left % fit):
+                        room[length - n * size].append((many, chain))
                 break
             many, chain = room[free].pop()
             used = min(many, left)

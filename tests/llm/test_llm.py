@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -202,6 +204,72 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.op7(docs, labels.limit(0)).collect()} <= {0, 1} and toxicity.op7(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_pairs(spark):
+    """Labels that no single term tells: an insult or a group's mention, but not both."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(20)] + ["fool"] * insult + ["martians"] * group
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(insult != group)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.op7(table, table).collect()
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["predicted"] == rows[r["doc_id"]][2] for r in held) > 0.97 * len(held)
+    dealt = table.unionByName(table.limit(50)).repartition(7, "text")
+    assert {(r["doc_id"], r["score"]) for r in toxicity.op7(dealt, table.repartition(5)).collect()} == {(r["doc_id"], r["score"]) for r in got}
+
+
+def test_ids_equal_the_tokenizer_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, encoder, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(8)
+    assert encoder.by_words
+    planes = [(32, 127), (32, 127), (160, 0x250), (0x250, 0x3000), (0x3000, 0xD800), (0xE000, 0x10000), (0x10000, 0x30000), (0xE0000, 0xE0200)]
+    odd = ["\u0130", "\u0958.", "'s", "'\u017f", "\u0301", "<|endoftext|>", "\u00a0", "\x0b", "\u2028", "I\u0307,", "\u03a3.", "\u1e9e", "\u00b2.", "\u01c5!", " ", " ", "\n", "\r\n"]
+
+    def letter():
+        kind = rng.random()
+        if kind < 0.15:
+            return rng.choice(odd)
+        return rng.choice(packing.MARKS) if kind < 0.3 else chr(rng.randrange(*rng.choice(planes)))
+
+    texts = ["".join(letter() for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    texts += ["DO\u011eRULTU\u0130, \u0130\u0130. \u0130\"", unicodedata.normalize("NFD", "\u00e9t\u00e9, \u00c9T\u00c9.")]
+    for text in texts:
+        assert encoder.encode(text) == b"".join(i.to_bytes(4, "little") for i in plain.encode(text, add_special_tokens=False).ids), ascii(text)
+
+
+def test_known_words_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 10)
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"w{i % 37}x, {'y' * 50} Ab." for i in range(200)]
+    got = [encoder.encode(x) for x in texts]
+    assert len(encoder.words) <= 12 and len(encoder.words.old) <= 12
+    assert got == [packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(x) for x in texts]
+
+
+def test_little_padding():
+    rng = random.Random(1)
+    for lengths in ([rng.randrange(1, 2049) for _ in range(3000)], [int(2048 * rng.random() ** 4) + 1 for _ in range(3000)], [1500] * 10 + [600] * 10):
+        histogram = {}
+        for n in lengths:
+            histogram[min(n, 2048)] = histogram.get(min(n, 2048), 0) + 1
+        packs = packing.patterns(histogram)
+        assert sum(many for many, _ in packs) <= max(1.02 * sum(k * n for k, n in histogram.items()) / 2048 + 1, sum(n for k, n in histogram.items() if k > 1024) + 1)
+        used = {}
+        for many, sizes in packs:
+            assert sum(sizes) <= 2048
+            for size in sizes:
+                used[size] = used.get(size, 0) + many
+        assert used == histogram
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
