@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,29 +17,46 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 #: At most so many labelled rows are learnt from (those with the smallest md5 of their id).
 MAX_TRAIN = 12_000
-#: Buckets that the machine has weights for: those that tell the labels apart best.
-FEATURES = 4096
-LEAST_CHI = 30.0
+#: Buckets that the machine has weights for: those that tell the labels apart best, alone
+#: (``LEAST_CHI``) or, of the ``PAIRED`` most frequent ones, together with another one
+#: (``LEAST_PAIR_CHI`` in at least ``LEAST_BOTH`` texts that have both).
+FEATURES, LEAST_CHI = 4096, 30.0
+PAIRED, LEAST_PAIR_CHI, LEAST_BOTH = 2048, 60.0, 10
 FACTORS, EPOCHS, RATE, L2 = 8, 12, 0.1, 1e-4
 WORD = re.compile(r"\w+")
+#: Texts that a worker holds terms of at a time, words whose buckets it remembers, and the
+#: longest of these.
+AT_ONCE, KNOWN_WORDS, LONGEST_KNOWN = 500, 50_000, 40
 
 
 @dataclass(frozen=True)
 class Machine:
     """score = sigmoid(bias + sum of w + sum over pairs of <v_i, v_j>) over a text's terms."""
 
-    place: np.ndarray  # of each bucket among the features, -1 for none
+    buckets: np.ndarray  # that it has weights for
     bias: float
     w: np.ndarray
     v: np.ndarray
 
-    def score(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Of each text; its terms are ``terms[starts[i]:starts[i + 1]]``, buckets without repeats."""
-        n = len(starts) - 1
-        rows = np.repeat(np.arange(n), np.diff(starts))
-        at = self.place[terms]
-        rows, at = rows[at >= 0], at[at >= 0]
-        return 1 / (1 + np.exp(-np.clip(_raw(rows, at, n, self.bias, self.w, self.v)[0], -30, 30)))
+    @cached_property
+    def place(self) -> np.ndarray:
+        """Of each bucket among the features, -1 for none."""
+        out = np.full(BUCKETS, -1, np.int32)
+        out[self.buckets] = np.arange(len(self.buckets))
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "place"}
+
+    def score(self, texts: pa.Array, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+        """Of each text, ``AT_ONCE`` at a time; ``known`` is as in :func:`terms_of`."""
+        out = [np.empty(0)]
+        for cut in range(0, len(texts), AT_ONCE):
+            lists = [terms_of(x.as_py(), known, self.place) for x in texts[cut : cut + AT_ONCE]]
+            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            at = np.fromiter((t for x in lists for t in x), np.int64, len(rows))
+            out.append(1 / (1 + np.exp(-np.clip(_raw(rows, at, len(lists), self.bias, self.w, self.v)[0], -30, 30))))
+        return np.concatenate(out)
 
 
 def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -52,32 +70,76 @@ def _raw(rows: np.ndarray, at: np.ndarray, n: int, bias: float, w: np.ndarray, v
     return bias + np.bincount(rows, w[at], n) + pairs, total
 
 
-def terms_of(text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]:
+def terms_of(text: str | None, known: dict[str, tuple[int, ...]], place: np.ndarray | None = None) -> list[int]:
     """The buckets of a text's terms, each once: its lower-case words and their beginnings of
-    4 and 5 letters, which stand for inflected forms. Null and empty texts have none."""
+    4 and 5 letters, which stand for inflected forms; given ``place``, their places among the
+    features, without those that have none. Null and empty texts have none."""
     out: set[int] = set()
     for word in set(WORD.findall((text or "").lower())):
         buckets = known.get(word)
         if buckets is None:
-            if len(known) > 200_000:
-                known.clear()
             forms = [word, *(f"{word[:k]}*" for k in (4, 5) if len(word) > k)]
-            buckets = known[word] = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in forms)
+            buckets = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in forms)
+            if place is not None:
+                buckets = tuple(int(p) for b in buckets if (p := place[b]) >= 0)
+            if len(word) <= LONGEST_KNOWN:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                known[word] = buckets
         out.update(buckets)
     return sorted(out)
 
 
+def _chi(n: np.ndarray, n1: np.ndarray, seen: np.ndarray, seen1: np.ndarray) -> np.ndarray:
+    """Chi-squared of a term, in ``seen`` of ``n`` texts, against the label of ``n1`` of them;
+    -1 where it is not defined."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = n * (seen1 * n - seen * n1) ** 2 / (seen * (n - seen) * n1 * (n - n1))
+    return np.where(np.isfinite(chi), chi, -1)
+
+
+def _pairs(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """The buckets that tell the labels apart by pairs, those of the most telling pairs first.
+
+    A pair does so if among the texts with either bucket the other one still tells the labels
+    apart: what the pair says is more than what one of the two says alone.
+    """
+    seen = np.bincount(terms, minlength=BUCKETS)
+    often = np.argsort(-seen, kind="stable")[:PAIRED]
+    often = often[seen[often] >= LEAST_BOTH]
+    place = np.full(BUCKETS, -1)
+    place[often] = np.arange(len(often))
+    at = place[terms]
+    rows, at = rows[at >= 0], at[at >= 0]
+    both, both1 = np.zeros((2, len(often), len(often)), np.float32)
+    for cut in range(0, len(labels), 1000):
+        here = slice(*np.searchsorted(rows, [cut, cut + 1000]))
+        x = np.zeros((min(1000, len(labels) - cut), len(often)), np.float32)
+        x[rows[here] - cut, at[here]] = 1
+        both += x.T @ x
+        x = x[labels[cut : cut + 1000] > 0]
+        both1 += x.T @ x
+    chi = np.full(both.shape, -1, np.float32)
+    for cut in range(0, len(often), 256):  # row by row: among the texts with the row's bucket
+        part, part1 = (m[cut : cut + 256].astype(float) for m in (both, both1))
+        own, own1 = (np.diag(m)[cut : cut + 256, None].astype(float) for m in (both, both1))
+        chi[cut : cut + 256] = np.where(part >= LEAST_BOTH, _chi(own, own1, part, part1), -1)
+    best = np.minimum(chi, chi.T).max(1, initial=-1)
+    order = np.argsort(-best, kind="stable")
+    return often[order[best[order] >= LEAST_PAIR_CHI]]
+
+
 def _chosen(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The buckets with the largest chi-squared against the labels, of those in 3 texts or more
-    and of a value that chance hardly gives among so many buckets."""
-    n, n1 = len(labels), labels.sum()
+    and of a value that chance hardly gives among so many buckets, and those that tell only
+    in pairs."""
     seen = np.bincount(terms, minlength=BUCKETS).astype(float)
-    seen1 = np.bincount(terms, labels[rows], BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = n * (seen1 * n - seen * n1) ** 2 / (seen * (n - seen) * n1 * (n - n1))
-    chi[~np.isfinite(chi) | (seen < 3)] = -1
+    chi = _chi(len(labels), labels.sum(), seen, np.bincount(terms, labels[rows], BUCKETS))
+    chi[seen < 3] = -1
     best = np.argsort(-chi, kind="stable")[:FEATURES]
-    return best[chi[best] >= LEAST_CHI]
+    alone = best[chi[best] >= LEAST_CHI]
+    more = _pairs(rows, terms, labels)
+    return np.concatenate([alone, more[~np.isin(more, alone)]])[:FEATURES]
 
 
 def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, seed: int = 11) -> Machine:
@@ -86,13 +148,12 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, seed: int = 11)
     rng = np.random.default_rng(seed)
     n, n1 = len(labels), float(labels.sum())
     rate = (n1 + 0.5) / (n + 1)
-    place, bias = np.full(BUCKETS, -1, np.int32), float(np.log(rate / (1 - rate)))
+    bias = float(np.log(rate / (1 - rate)))
     chosen = _chosen(rows, terms, labels) if 0 < n1 < n else np.empty(0, int)
-    place[chosen] = np.arange(len(chosen))
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
     if not len(chosen):
-        return Machine(place, bias, w, v)
-    at = place[terms]
+        return Machine(chosen, bias, w, v)
+    at = Machine(chosen, bias, w, v).place[terms]
     rows, at = rows[at >= 0], at[at >= 0]
     starts = np.searchsorted(rows, np.arange(n + 1))
     cost = np.where(labels > 0, np.sqrt((n - n1) / n1), 1.0)
@@ -119,7 +180,7 @@ def fit(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, seed: int = 11)
             gv[used] += dv**2
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= RATE * dv / np.sqrt(gv[used])
-    return Machine(place, bias, w, v)
+    return Machine(chosen, bias, w, v)
 
 
 def fold(id_col: str):
@@ -132,7 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
 
     The labels are cut to the bound first, so the broadcast and what the driver gathers
     (bucket lists of that many texts) have it too. A row labelled twice counts with its
-    largest label; labels that are null or without an id are left out.
+    largest label, a repeated id with the smallest of its bucket lists; labels that are null
+    or without an id are left out. Rows are learnt in the order of their ids, so the machine
+    does not depend on how the tables are dealt out.
     """
     few = (
         labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -146,28 +209,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([terms_of(x.as_py(), known) for x in batch.column(1)], pa.list_(pa.int32()))], names=["label", "terms"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_toxic", "text")
-    got = found.mapInArrow(run, "label int, terms array<int>").limit(max_train).toArrow()
+            for cut in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(cut, AT_ONCE)
+                lists = pa.array([terms_of(x.as_py(), known) for x in part.column(2)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "label", "terms"])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text")
+    lists = found.mapInArrow(run, f"id {dict(few.dtypes)['_id']}, label int, terms array<int>")
+    got = lists.groupBy("id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("id")
     lists = got.column("terms").combine_chunks()
     sizes = np.asarray(lists.value_lengths()) if len(got) else np.empty(0, int)
     terms = np.asarray(lists.flatten()) if len(got) else np.empty(0, int)
-    return fit(np.repeat(np.arange(len(sizes)), sizes), terms.astype(int), np.asarray(got.column("label")).astype(float))
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), terms, np.asarray(got.column("label")).astype(float))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` of every row, from the whole text. A null text scores as an empty
     one, which has no terms and gets the score of the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            lists = [terms_of(x.as_py(), known) for x in batch.column(1)]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(int)
-            flat = np.fromiter((t for x in lists for t in x), np.int64, starts[-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(flat, starts), pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1), known), pa.float64())], names=["id", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
 
@@ -188,14 +251,11 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The scores are computed beside the columns, so no join is needed and a null or repeated
     id does no harm.
     """
-    machine = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    machine = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            lists = [terms_of(x.as_py(), known) for x in batch.column("text")]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(int)
-            flat = np.fromiter((t for x in lists for t in x), np.int64, starts[-1])
-            yield batch.filter(pa.array(machine.value.score(flat, starts) < 0.5))
+            yield batch.filter(pa.array(machine.score(batch.column("text"), known) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
