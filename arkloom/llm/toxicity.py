@@ -21,7 +21,7 @@ MAX_TRAIN = 12_000
 #: (``LEAST_CHI``) or, of the ``PAIRED`` most frequent ones, together with another one
 #: (``LEAST_PAIR_CHI`` in at least ``LEAST_BOTH`` texts that have both).
 FEATURES, LEAST_CHI = 4096, 30.0
-PAIRED, LEAST_PAIR_CHI, LEAST_BOTH = 2048, 60.0, 10
+PAIRED, LEAST_PAIR_CHI, LEAST_BOTH = 2048, 100.0, 10
 FACTORS, EPOCHS, RATE, L2 = 8, 12, 0.1, 1e-4
 WORD = re.compile(r"\w+")
 #: Texts that a worker holds terms of at a time, words whose buckets it remembers, and the
