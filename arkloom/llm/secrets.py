@@ -96,7 +96,7 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _battery(token: Column, alphabet: str) -> Column:
+def _battery(token: Column, alphabet: Column, common: Column) -> Column:
     """The smallest p-value of the tests of the hypothesis that the token is random over the
     alphabet, times their number: chi-squared uniformity, runs above and below the middle,
     serial correlation with the next character, and the number of letters that are common in
@@ -105,13 +105,13 @@ def _battery(token: Column, alphabet: str) -> Column:
     Values are the characters' places in the alphabet. Uniformity and common letters are
     one-sided (natural text repeats characters), the others are two-sided.
     """
-    size = len(alphabet)
-    t, n = token, F.char_length(token).cast("double")
-    squares = sum((F.pow((n - F.char_length(F.replace(t, F.lit(c), F.lit("")))).cast("double"), F.lit(2.0)) for c in alphabet), F.lit(0.0))
-    df = float(size - 1)
+    t, n, size = token, F.char_length(token).cast("double"), F.char_length(alphabet).cast("double")
+    characters = F.slice(F.split(t, ""), F.lit(1), F.char_length(t))
+    squares = F.aggregate(F.array_distinct(characters), F.lit(0.0), lambda a, c: a + F.pow((n - F.char_length(F.replace(t, c, F.lit("")))).cast("double"), F.lit(2.0)))
     # Wilson and Hilferty: the cube root of chi-squared is nearly normal.
-    cube = F.pow(F.greatest(squares * F.lit(float(size)) / n - n, F.lit(0.0)) / F.lit(df), F.lit(1 / 3))
-    tests = [_upper_tail((cube - F.lit(1 - 2 / (9 * df))) / F.lit((2 / (9 * df)) ** 0.5))]
+    spread = F.lit(2.0) / (F.lit(9.0) * (size - 1))
+    cube = F.pow(F.greatest(squares * size / n - n, F.lit(0.0)) / (size - 1), F.lit(1 / 3))
+    uniform = _upper_tail((cube - (F.lit(1.0) - spread)) / F.sqrt(spread))
 
     def of_runs(high: Column, runs: Column) -> Column:
         return _let(F.lit(2.0) * high * (n - high) / n, lambda e: F.when(e * (e - 1) > 0, F.abs(runs - e - 1) / F.sqrt(e * (e - 1) / (n - 1))).otherwise(F.lit(8.0)))
@@ -132,15 +132,12 @@ def _battery(token: Column, alphabet: str) -> Column:
 
         return _let(F.aggregate(values, start, step), tails)
 
-    places = F.transform(F.split(t, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - F.lit((size + 1) / 2))
-    ordered = _let(F.slice(places, F.lit(1), F.char_length(t)), lambda v: _let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, lambda mean: of_order(v, mean)))
-    tests.append(ordered)
-    common = "".join(c for c in COMMON if c in alphabet) or "".join(c for c in COMMON.upper() if c in alphabet)
-    if common:
-        share = len(common) / size
-        k = F.char_length(F.regexp_replace(t, f"[^{common}]", "")).cast("double")
-        tests.append(_upper_tail((k - F.lit(0.5) - n * F.lit(share)) / F.sqrt(n * F.lit(share * (1 - share)))))
-    return F.least(F.lit(1.0), F.lit(float(len(tests) + 1)) * F.least(*tests))
+    places = F.transform(characters, lambda c: F.instr(alphabet, c).cast("double") - (size + 1) / 2)
+    ordered = _let(places, lambda v: _let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, lambda mean: of_order(v, mean)))
+    share, k = F.char_length(common) / size, n - F.char_length(F.call_function("translate", t, common, F.lit("")))
+    of_letters = F.when(common != "", _upper_tail((k - F.lit(0.5) - n * share) / F.sqrt(n * share * (F.lit(1.0) - share))))
+    tests = F.when(common == "", F.lit(3.0)).otherwise(F.lit(4.0))
+    return F.least(F.lit(1.0), tests * F.least(uniform, ordered, of_letters))
 
 
 def level_of(p: Column) -> Column:
@@ -156,12 +153,17 @@ def _tested(spans: Column) -> Column:
         return _let(F.regexp_replace(s["part"], "=+$", ""), lambda core: of(s, core))
 
     def of(s: Column, core: Column) -> Column:
-        name, p = F.lit(None).cast("string"), F.lit(None).cast("double")
+        encoding = F.lit(None)
         for label, form, alphabet in reversed(ENCODINGS):
-            fits = core.rlike(form)
-            name, p = F.when(fits, F.lit(label)).otherwise(name), F.when(fits, _battery(core, alphabet)).otherwise(p)
+            common = "".join(c for c in COMMON if c in alphabet) or "".join(c for c in COMMON.upper() if c in alphabet)
+            fitting = F.struct(F.lit(label).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(common).alias("common"))
+            encoding = F.when(core.rlike(form), fitting).otherwise(encoding)
+        return _let(encoding, lambda e: tested(s, core, e))
+
+    def tested(s: Column, core: Column, e: Column) -> Column:
         band = F.floor(F.lit(4.0) * F.log2(F.char_length(core).cast("double"))).cast("string")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(name, F.lit("/"), band).alias("stratum"), level_of(p).alias("level"))
+        p = F.when(e["name"].isNotNull(), _battery(core, e["alphabet"], e["common"]))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(e["name"], F.lit("/"), band).alias("stratum"), level_of(p).alias("level"))
 
     return F.filter(F.transform(spans, one), lambda t: t["stratum"].isNotNull())
 
@@ -188,6 +190,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _item(start: Column, token: int, end: Column) -> Column:
+    """In the order of these: by start, base spans first, then the longer first."""
+    return F.struct(start.alias("start"), F.lit(token).alias("token"), (-end).alias("before"), end.alias("end"))
+
+
+def _apart(items: Column) -> Column:
+    """The tokens among the sorted ``items`` (see :func:`_item`) that meet no base span and lie in
+    no longer such token, as spans of kind 3.
+
+    Three walks, each linear in the items: tokens that a base span before them reaches go, then
+    those that reach a base span behind them, then those that end where a token before does or
+    sooner.
+    """
+
+    def walk(items: Column, first: int, keeps, moved) -> Column:
+        start = F.struct(F.lit(first).alias("at"), F.array().cast("array<struct<start:int,token:int,before:int,end:int>>").alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct(moved(a["at"], x).alias("at"), F.when(keeps(a["at"], x), F.array_append(a["out"], x)).otherwise(a["out"]).alias("out")))["out"]
+
+    base = lambda x: x["token"] == 0
+    ahead = walk(items, 0, lambda at, x: base(x) | (at <= x["start"]), lambda at, x: F.when(base(x), F.greatest(at, x["end"])).otherwise(at))
+    back = walk(F.reverse(ahead), (1 << 31) - 1, lambda at, x: base(x) | (x["end"] <= at), lambda at, x: F.when(base(x), F.least(at, x["start"])).otherwise(at))
+    tokens = F.filter(F.reverse(back), lambda x: x["token"] == 1)
+    outer = walk(tokens, 0, lambda at, x: x["end"] > at, lambda at, x: F.greatest(at, x["end"]))
+    return F.transform(outer, lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``base`` and ``spans``, arrays of (start, kind, end) sorted.
 
@@ -215,10 +243,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     limits = thresholds(found.select(F.explode("tested").alias("t")).select("t.stratum", "t.level"))
     limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
     random = F.filter("tested", lambda t: t["level"] < F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(LEVELS * DECADES + 1)))
-    apart = F.filter(random, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    # Of two runs of which one holds the other, the longer one.
-    apart = _let(apart, lambda all_: F.filter(all_, lambda t: ~F.exists(all_, lambda u: (u["start"] <= t["start"]) & (t["end"] <= u["end"]) & (t["end"] - t["start"] < u["end"] - u["start"]))))
-    more = F.transform(apart, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    tagged = F.transform("base", lambda b: _item(b["start"], 0, b["end"]))
+    items = F.array_sort(F.concat(tagged, F.transform(random, lambda t: _item(t["start"], 1, t["end"]))))
+    more = F.when(F.size(random) > 0, _apart(items)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     return found.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
