@@ -6,6 +6,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,15 +41,19 @@ BESIDE = re.compile(r"site|page|main|global|top|bottom|primary|secondary|posts?|
 HEADER = re.compile(r"(?:(?:site|page|main|top|global)[_-]?)?header", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
+#: Elements whose content is no markup of the page's text.
+RAW = frozenset("script style noscript template svg iframe textarea math canvas audio video".split())
+#: What a form has in it that is the wrapper of a whole page.
+PAGE = frozenset("h1 nav header footer article main".split())
+# Comments, tags, and other declarations, each up to its end or the page's. A quote holds a >
+# only after an =. Nothing is gone back over, so the time is in proportion to the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?:script|style|noscript|template|svg|iframe|textarea|math|canvas|audio|video)(?:/|\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=[\s\"'])/)>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|math|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>"
-    r"|<[a-zA-Z][^<>]*>",
-    re.S | re.I,
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
+CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW}
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
@@ -64,8 +69,9 @@ def _other(value: str, in_article: bool) -> bool:
 
 
 def _foreign(name: str, attrs: str, in_article: bool, named: bool = True) -> bool:
-    """Whether an element and all in it lie outside the article's text; ``named``: also by class or id."""
-    if name in NEVER or named and name == "header" and not in_article:
+    """Whether an element and all in it lie outside the article's text; ``named``: also by class
+    or id, and as a header or form."""
+    if name in NEVER and (named or name != "form") or named and name == "header" and not in_article:
         return True
     if not attrs:
         return False
@@ -141,20 +147,38 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     A line ends at every block element and line break. What lies in a foreign element is one
     empty line, so that the text there dives; in a marked article, what lies in foreign
     elements that follow each other is one such line. Neither a marked article (unless it
-    lies in another one) nor what holds one is foreign by its class or id.
+    lies in another one) nor what holds one is foreign by its class or id, nor is a form that
+    the whole page lies in.
     """
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = 0
     links = article = posts = 0  # posts: the articles among the marked elements that are open
     tags, pieces, at = [], [], 0  # the text before each tag, and after the last one
-    for token in TOKEN.finditer(html):
+    while token := TOKEN.search(html, at):
         pieces.append(html[at : token.start()])
         at = token.end()
-        if name := token["name"]:
-            tags.append((name.lower(), bool(token["end"]), token["attrs"], len(pieces) - 1, at))
+        if name := (token["name"] or "").lower():
+            if name not in RAW:
+                tags.append((name, bool(token["end"]), token["attrs"], len(pieces) - 1, at))
+            elif not token["end"] and not re.search(r"(?:^|[\s\"'])/$", token["attrs"]):
+                close = CLOSE[name].search(html, at)
+                at = close.end() if close else len(html)
     pieces.append(html[at:])
     ends = _ends(tags)
+    # Characters before each piece, and tags of the page's own parts before each tag.
+    chars = [0, *accumulate(len(x.strip()) for x in pieces)]
+    parts = [0, *accumulate(t[0] in PAGE and not t[1] for t in tags)]
+    body = next((t[3] + 1 for t in reversed(tags) if t[0] == "body" and not t[1] or t[0] in ("head", "title") and t[1]), 0)
+
+    def whole(i: int) -> bool:
+        """Whether a form is the wrapper of the page: it has the page's parts, or all its text."""
+        stop = ends[i]
+        if parts[stop] > parts[i + 1]:
+            return True
+        last = tags[stop][3] + 1 if stop < len(tags) else len(pieces)
+        return chars[last] - chars[tags[i][3] + 1] == chars[-1] - chars[min(body, tags[i][3] + 1)] > 0
+
     # Marked articles that end what is skipped: those that are foreign in no way.
     clean = [i for i, t in enumerate(tags) if t[0] in MARKED and not t[1] and not _foreign(t[0], t[2], True)]
 
@@ -192,7 +216,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         inside = bisect_right(clean, i)  # the next clean article
         inner = clean[inside] if inside < len(clean) and clean[inside] < ends[i] else None
-        named = inner is None and not (name in MARKED and not posts)
+        named = inner is None and not (name in MARKED and not posts) and not (name == "form" and whole(i))
         if _foreign(name, attrs, article > 0, named):
             end_line()
             if not (article and lines and lines[-1] == ("", 0, True)):
