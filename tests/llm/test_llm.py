@@ -34,6 +34,49 @@ def test_sharding(docs):
     assert (one["size"], one["text_crc32"]) == (15, zlib.crc32(b"one two"))
 
 
+def test_shards_hold_whole_groups_and_the_mixture(spark):
+    rng = random.Random(2)
+    texts, groups = [], [1] * 3000 + [2] * 300 + [5] * 60 + [40] * 8 + [150, 130, 700]
+    for g, n in enumerate(groups):
+        texts += [f"text {g}"] * n
+    rows = [(i, t, None if i % 17 == 0 else rng.choice(["a", "a", "a", "b", "c"])) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.interleave(table, 24).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+    sizes = [len(v) for v in by.values()]
+    assert len(by) == 24 and max(sizes) - min(sizes) <= 1
+    lying = {}
+    for r in got:
+        lying.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    split = [t for t, shards in lying.items() if len(shards) > 1]
+    assert split == [f"text {len(groups) - 1}"]  # 700 rows exceed a shard of 223
+    shares = {s: sum(r["source"] == s for r in got) / len(got) for s in ("a", "b", "c", None)}
+    for v in by.values():
+        v.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in v] == list(range(len(v))) and [r["fraction"] for r in v] == sorted(r["fraction"] for r in v)
+        assert all(abs(sum(r["source"] == s for r in v) / len(v) - share) < 0.12 for s, share in shares.items())
+    again = sharding.interleave(table.repartition(5, "text"), 24).collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in again} == {(r["doc_id"], r["shard"], r["slot"]) for r in got}
+    # Without copies the order of fractions is cut as it is, so that the mixture is met closely.
+    single = [(i, f"t{i}", "ab"[i % 5 == 0]) for i in range(2400)]
+    for shard in range(24):
+        rows = [r for r in sharding.interleave(spark.createDataFrame(single, "doc_id long, text string, source string"), 24).collect() if r["shard"] == shard] if shard < 2 else []
+        assert not rows or (len(rows), sum(r["source"] == "b" for r in rows)) == (100, 20)
+
+
+def test_groups_in_tight_room(spark):
+    """Nearly nothing but groups: what does not fit is split, and row counts still agree."""
+    texts = [f"g{g}" for g in range(40) for _ in range(7)]
+    got = sharding.interleave(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), 24).collect()
+    sizes = [sum(r["shard"] == s for r in got) for s in range(24)]
+    assert len(got) == 280 and max(sizes) - min(sizes) <= 1
+    assert sum(len({r["shard"] for r in got if texts[r["doc_id"]] == f"g{g}"}) == 1 for g in range(40)) >= 24
+
+
 def test_page_text():
     page = '<html><head><title>t</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use</div><article><h1>T &amp; U</h1><p>A  b<br>c</p><div class="ad">Buy</div><p>Short.</p></article><aside>x</aside><div id="comments">hi</div><form>f</form><footer>&copy;</footer>'
     assert html_text.main_text(page) == "T & U\nA b\nc\nShort."
