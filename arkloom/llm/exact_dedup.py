@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import keep, text_or_empty
+from .common import broadcast_if_small, fresh, keep, text_or_empty
 
-#: A digest is hot from this share of all rows on, so at most 1,000 digests are hot.
-HOT_SHARE = 1000
+#: A digest is hot from this share of all rows on, so at most 1,000 digests are hot, and from
+#: so many rows.
+HOT_SHARE, HOT_ROWS = 1000, 1000
 #: Ways to split a hot digest.
 SALTS = 16
+#: Rows that go are broadcast up to this number (about 100 bytes each); beyond, Spark shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def groups_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> tuple[DataFrame, DataFrame, DataFrame]:
+def groups_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, cold groups, hot groups) of ``docs``.
 
     ``rows`` has ``id``, ``digest`` and ``hot`` for every input row. The groups have
@@ -34,7 +36,7 @@ def groups_of_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str
     narrow = docs.select(F.col(id_col).alias("id"), digest(text_or_empty(text_col)).alias("digest"))
     rows = keep(narrow, "digests")
     counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    least = F.expr(f"greatest(sum(n) div {HOT_SHARE}, 1000)")
+    least = F.expr(f"greatest(sum(n) div {HOT_SHARE}, {hot_rows})")
     limit = counts.agg(least.alias("least")).first()["least"] or 0
     hot = keep(counts.filter(F.col("n") > F.lit(limit)).select("digest"), "hot_digests")  # under HOT_SHARE rows by its definition
     flagged = hot.withColumn("hot", F.lit(True))
@@ -59,7 +61,7 @@ def collided(cold: DataFrame, warm: DataFrame) -> bool:
     return not both.groupBy("digest").count().filter("count > 1").isEmpty()
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``digest``, ``keep_id``, ``group_size``, ``kept``.
 
     Of the rows with the same text, the largest id stays. A null text is the empty text.
@@ -69,7 +71,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     told apart: then rows are matched on the text too. An empty table gives no rows; other
     columns are not looked at.
     """
-    rows, cold, warm = groups_of_equal_texts(docs, id_col, text_col, digest)
+    rows, cold, warm = groups_of_equal_texts(docs, id_col, text_col, digest, hot_rows)
     if collided(cold, warm):
         return _verdicts_by_text(docs, id_col, text_col, digest)
     cold, warm = (g.select("digest", "keep_id", F.col("n").alias("group_size")) for g in (cold, warm))
@@ -88,14 +90,27 @@ def _verdicts_by_text(docs: DataFrame, id_col: str, text_col: str, digest) -> Da
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each text, all columns kept: the row with the largest id.
 
-    Cases as in :func:`verdicts`; of rows that repeat both id and text, one stays.
+    Cases as in :func:`verdicts`; of rows that repeat both id and text, one stays. Who goes is
+    settled on ids and digests alone, so beyond the comparison of texts only rows that repeat
+    an id and text, and those of a text that has them, are shuffled whole; so is the table
+    where the rows that go are too many to broadcast.
     """
-    kept = verdicts(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    named = docs.withColumn("_digest", sha256(text_or_empty(text_col)))
-    same = (F.col("_digest") == F.col("_kept_digest")) & F.col(id_col).eqNullSafe(F.col("_kept_id"))
-    found = named.join(kept, same, "left_semi")
-    one = F.row_number().over(Window.partitionBy("_digest", id_col).orderBy(F.lit(1)))
-    return found.withColumn("_one", one).filter("_one = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = keep(verdicts(docs, id_col, text_col), "verdicts")
+    own, mark = fresh(docs, "_id"), fresh(docs, "_digest")
+    named = lambda rows: rows.select(F.col("id").alias(own), F.col("digest").alias(mark)).distinct()
+    digest = sha256(text_or_empty(text_col))
+
+    def join(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        return rows.join(broadcast_if_small(others, BROADCAST_ROWS), (digest == others[mark]) & rows[id_col].eqNullSafe(others[own]), how)
+
+    kept = join(docs, keep(named(found.filter("NOT kept")), "going"), "left_anti")
+    repeated = keep(named(found.filter("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    one = F.row_number().over(Window.partitionBy(mark, id_col).orderBy(F.lit(1)))
+    place = fresh(docs, "_place")
+    several = join(kept, repeated, "left_semi").withColumn(mark, digest).withColumn(place, one).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return join(kept, repeated, "left_anti").unionByName(several)
 
 
 def op6(docs: DataFrame) -> DataFrame:
