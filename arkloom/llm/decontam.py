@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep
+from .common import broadcast_if_small, fresh, keep
 
 #: Words of a benchmark window, words of a k-gram, k-grams in a sliding window. Any shared
 #: span of K + SPREAD - 1 = WINDOW words holds one whole sliding window, whose smallest hash
@@ -165,12 +165,12 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, all columns kept. Cases as in
     :func:`report`."""
-    found = keep(hits(docs, benchmark, id_col, text_col).select("id", "th", "nb"), "hits")
-    key = dict(zip(("_id", "_th", "_nb"), _row_key(id_col, text_col)))
-    bad = broadcast_if_small(found, BROADCAST_ROWS)
-    out = docs.withColumns(key)
-    same = out["_id"].eqNullSafe(bad["id"]) & (out["_th"] == bad["th"]) & (out["_nb"] == bad["nb"])
-    return out.join(bad, same, "left_anti").drop("_id", "_th", "_nb")
+    found = hits(docs, benchmark, id_col, text_col)
+    names = [fresh(docs, c) for c in ("_id", "_th", "_nb")]
+    bad = broadcast_if_small(keep(found.select(*[F.col(c).alias(n) for c, n in zip(("id", "th", "nb"), names)]), "hits"), BROADCAST_ROWS)
+    _, th, nb = _row_key(id_col, text_col)
+    same = docs[id_col].eqNullSafe(bad[names[0]]) & (th == bad[names[1]]) & (nb == bad[names[2]])
+    return docs.join(bad, same, "left_anti")
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep
+from .common import broadcast_if_small, fresh, keep
 
 #: Words of a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, NEAR, OF = 5, 75, 100
@@ -345,8 +345,9 @@ def op3(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group, all columns kept: that with the smallest id."""
-    kept = keep(groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct(), "kept")
-    return docs.join(broadcast_if_small(kept, BROADCAST_ROWS), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh(docs, "_kept")
+    kept = keep(groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(name)).distinct(), "kept")
+    return docs.join(broadcast_if_small(kept, BROADCAST_ROWS), docs[id_col].eqNullSafe(kept[name]), "left_semi")
 
 
 SQL = r"""
