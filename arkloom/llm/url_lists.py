@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, keep
+
+#: Intervals are broadcast up to this number (about 100 bytes each); beyond, Spark shuffles.
+BROADCAST_ROWS = 200_000
 #: After the end of any list.
 FOREVER = 1 << 62
 
@@ -58,22 +62,23 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     as nothing is grouped by it. What was found is counted per distinct (url, time).
 
     A null url has no keys and a null time meets no interval: such captures are not blocked.
-    Repeated captures get equal results. Without entries nothing is blocked; without captures
+    Repeated captures get equal results; columns of ``captures`` that are named like the three
+    new ones give way to them. Without entries nothing is blocked; without captures
     there are no rows.
     """
-    url, at = F.col(url_col).alias("_url"), F.col(time_col).alias("_at")
-    asked = captures.select(url, at).filter(F.col("_url").isNotNull() & F.col("_at").isNotNull()).distinct()
-    keyed = asked.select("_url", "_at", F.explode(keys_of(F.col("_url"))).alias("_key"))
-    spans = intervals(entries)
-    active = keyed.join(spans, (keyed["_key"] == spans["key"]) & (spans["since"] <= keyed["_at"]) & (keyed["_at"] < spans["until"]))
-    found = active.groupBy("_url", "_at").agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set("list")).alias("_lists"))
-    found = found.select(F.col("_url").alias("_url2"), F.col("_at").alias("_at2"), "_n", "_lists")
-    joined = captures.join(found, (F.col(url_col) == F.col("_url2")) & (F.col(time_col) == F.col("_at2")), "left")
+    asked = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("at")).filter("url IS NOT NULL AND at IS NOT NULL").distinct()
+    keyed = asked.select("url", "at", F.explode(keys_of(F.col("url"))).alias("key"))
+    spans = broadcast_if_small(keep(intervals(entries), "intervals"), BROADCAST_ROWS)
+    active = keyed.join(spans, (keyed["key"] == spans["key"]) & (spans["since"] <= keyed["at"]) & (keyed["at"] < spans["until"]))
+    found = active.groupBy("url", "at").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("list")).alias("names"))
+    kept = [c for c in captures.columns if c.lower() not in ("n_active", "lists", "blocked")]
+    c, f = captures.alias("captures_"), found.alias("found_")
+    joined = c.join(f, (F.col(f"captures_.`{url_col}`") == F.col("found_.url")) & (F.col(f"captures_.`{time_col}`") == F.col("found_.at")), "left")
     return joined.select(
-        *[captures[c] for c in captures.columns],
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
-        F.coalesce("_lists", F.array().cast("array<string>")).alias("lists"),
-        F.col("_n").isNotNull().alias("blocked"),
+        *[F.col(f"captures_.`{x}`") for x in kept],
+        F.coalesce("found_.n", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("found_.names", F.array().cast("array<string>")).alias("lists"),
+        F.col("found_.n").isNotNull().alias("blocked"),
     )
 
 
