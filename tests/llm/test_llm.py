@@ -1,6 +1,9 @@
+import gzip
 import hashlib
+import json
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -130,12 +133,69 @@ def test_page_text_in_wrappers():
         assert html_text.main_text(page) == want, page
 
 
-def test_near_dedup(docs):
+def brute_main_text(lines):
+    """The definition, line by line: [(text, weight)] without marks."""
+    sums = [sum(w for _, w in lines[i : i + html_text.WINDOW]) for i in range(len(lines))]
+    out = []
+    for i, (text, weight) in enumerate(lines):
+        left = i
+        while left > 0 and sums[left - 1] > 0:
+            left -= 1
+        right = i
+        while right + 1 < len(lines) and sums[right + 1] > 0:
+            right += 1
+        inside = sums[i] > 0 and max(sums[left : right + 1]) > html_text.SURGE
+        if inside and any(w for _, w in lines[left : i + 1]) and any(w for _, w in lines[i : right + 1]):
+            out.append(text)
+    return "\n".join(out)
+
+
+def test_windows_surge_and_dive():
+    rng, seen = random.Random(4), set()
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(1, 40)):
+            n = rng.choice([0, 0, 0, 5, 20, 30, 60, 100])
+            lines.append(("x" * n, n) if rng.random() < 0.6 else ("y" * (n + 1), 0))
+        lines = [x for x in lines if x[0]]
+        html = "".join(f"<div>{t}</div>" if w else f"<div><a href=u>{t}</a></div>" for t, w in lines)
+        sums = [sum(w for _, w in lines[i : i + html_text.WINDOW]) for i in range(len(lines))]
+        if max(sums, default=0) > html_text.SURGE:
+            assert html_text.main_text(html) == brute_main_text(lines)
+            seen.add(html_text.main_text(html) != "\n".join(t for t, _ in lines))
+    assert seen == {True, False}
+
+
+def test_page_text_of_all_rows(spark):
+    body = "".join(f"<p>{w * 30}end</p>" for w in ("word ", "more "))
+    want = "\n".join(f"{w * 30}end" for w in ("word ", "more "))
+    pages = [body, None, "", body, f"<form action=x>{body}</form>", f"<form><h1>T</h1>{body}</form><div>out</div>", f"{body}<form>Name <p>{'comment here ' * 20}</p></form>"]
+    pages += [f'<div class="{c}">{body}</div>' for c in ("layout-with-nav-top", "no-ads", "post share-enabled", "article-comments-open")]
+    rows = [(None if i == 3 else i, None if i == 1 else "u", h, "x", 7) for i, h in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.op2(table).collect()}
+    assert html_text.op2(table).count() == len(pages) and html_text.op2(table.limit(0)).count() == 0
+    assert got[1] == (None, "", 0) and got[2] == ("u", "", 0) and got[5][1] == f"T\n{want}\nout"
+    assert all(got[i] == ("u", want, len(want)) for i in (None, 0, 4, 6, 7, 8, 9, 10))
+
+
+def test_hostile_markup_takes_linear_time():
+    for bad in ("<a ", "<p class='", '<p class="a', "<!--", "<svg ", "</", "</p", "<script>", "=\"'<x ", "<li>"):
+        began = time.process_time()
+        html_text.main_text(bad * (1_000_000 // len(bad)))
+        assert time.process_time() - began < 20, bad
+
+
+def test_near_dedup(docs, monkeypatch):
     got = {(r["doc_id"], r["n_shingles"]): r for r in near_dedup.op3(docs).collect()}
     ids = {k[0]: r["component_id"] for k, r in got.items()}
     assert [ids[i] for i in range(4)] == [0, 0, 0, 0] and ids[6] == ids[7] == 6 and ids[4] == 4 and ids[5] == 5 and ids[8] == 8
     assert got[(4, 0)]["kept"] and got[(8, 1)]["n_shingles"] == 1
     assert near_dedup.op3(docs.limit(0)).count() == 0
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert {(r["doc_id"], r["n_shingles"]): r for r in near_dedup.op3(docs).collect()} == got
+    clash = docs.withColumn("_kept", F.lit(5))
+    assert near_dedup.representatives(clash).columns == clash.columns
 
 
 def test_near_dedup_blocks(spark, monkeypatch):
@@ -160,11 +220,17 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.op3(docs).collect()} == dict(enumerate(first))
 
 
-def test_url_lists(spark):
+def test_url_lists(spark, monkeypatch):
     caps = spark.createDataFrame([(1, "http://a.b.com/x", 5), (2, "http://a.b.com/x", 15), (3, "http://c.org/", 5), (4, None, 5), (5, "http://c.org/", None), (5, "http://c.org/", None)], "page_id long, url string, fetched_at long")
     entries = spark.createDataFrame([("l", "host:b.com", "add", 0), ("l", "host:b.com", "remove", 10), ("m", "url:c.org", "add", 5), ("m", None, "add", 1)], "list string, key string, action string, at long")
     got = {(r["page_id"], r["fetched_at"]): (r["n_active"], r["blocked"]) for r in url_lists.evaluate(caps, entries).collect()}
     assert got == {(1, 5): (1, True), (2, 15): (0, False), (3, 5): (1, True), (4, 5): (0, False), (5, None): (0, False)}
+    clash = caps.select("*", F.lit("x").alias("lists"), F.lit("x").alias("key"), F.lit("x").alias("n"), F.lit("x").alias("Blocked"), F.lit("x").alias("at"))
+    out = url_lists.evaluate(clash, entries)
+    assert out.columns == ["page_id", "url", "fetched_at", "key", "n", "at", "n_active", "lists", "blocked"]
+    assert {(r["page_id"], r["fetched_at"]): (r["n_active"], r["blocked"]) for r in out.collect()} == got
+    monkeypatch.setattr(url_lists, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, url_lists.evaluate(clash, entries).collect())) == sorted(map(str, out.collect()))
     assert url_lists.evaluate(caps.limit(0), entries).count() == 0 and url_lists.evaluate(caps, entries.limit(0)).filter("blocked").count() == 0
 
 
@@ -230,6 +296,11 @@ def test_exact_dedup(docs):
             assert (r["keep_id"], r["group_size"]) == (5, 2)
     kept = exact_dedup.distinct_documents(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == [1, 2, 3, 5, 7, 8, 9]
+    salted = exact_dedup.verdicts(docs, hot_rows=1)  # every repeated digest is hot
+    assert sorted(map(tuple, salted.select("id", "keep_id", "group_size", "kept").collect()), key=str) == sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=str)
+    assert exact_dedup.groups_of_equal_texts(docs, hot_rows=1)[2].count() == 3
+    clash = docs.select("*", F.lit(1).alias("_id"), F.lit(2).alias("_digest"), F.lit(3).alias("_place"))
+    assert sorted(map(str, exact_dedup.distinct_documents(clash).collect())) == sorted(str(r) for r in kept.select("*", F.lit(1).alias("_id"), F.lit(2).alias("_digest"), F.lit(3).alias("_place")).collect())
     weak = lambda c: F.unhex(F.hex(F.char_length(c) % 2))  # noqa: E731  every digest stands for many texts
     a = {(r["id"], r["keep_id"], r["group_size"]) for r in exact_dedup.verdicts(docs, digest=weak).collect()}
     assert a == {(r["doc_id"], r["keep_id"], r["group_size"]) for r in got}
@@ -352,7 +423,7 @@ def brute_hits(text, items):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     line = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     items = [(1, line), (2, "short item É"), (10, line + " nu"), (3, None), (4, "")]
     texts = [line.upper(), "x " + line.replace("zeta", "zeta,") + " y " + line, " ".join(line.split()[:9]), "a short item É b", "a short item é b", None, "", line * 200]
@@ -364,10 +435,28 @@ def test_decontamination(spark):
         n, hit, found = brute_hits(line if r["doc_id"] is None else texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, hit, len(found), hit > 0)
         assert r["items_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest()
+    clash = docs.select("*", F.lit(1).alias("_id"), F.lit(2).alias("_th"), F.lit(3).alias("id"))
+    kept = decontam.clean_documents(clash, bench)
+    assert kept.columns == clash.columns and sorted(r["text"] or "" for r in kept.collect()) == ["", "", texts[2], texts[4]]
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # nothing is broadcast
+    assert sorted(map(str, decontam.op9(docs, bench).collect())) == sorted(map(str, got))
     assert decontam.clean_documents(docs, bench).columns == docs.columns and decontam.op9(docs.limit(0), bench).count() == 0
     assert decontam.op9(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_archives_of_members_and_broken_ones(spark, tmp_path):
+    records = [warc.record(i, f"http://a/{i}", f"body {i} ".encode() * 50, "d", None, None) for i in range(3)]
+    whole = b"".join(map(gzip.compress, records))
+    for name, data in (("members", whole), ("short", gzip.compress(b"".join(records))[:-20]), ("head", gzip.compress(records[0] + b"WARC/1.1\r\nWARC-Type")), ("other", gzip.compress(b"no archive\r\n\r\n")), ("empty", b"")):
+        (tmp_path / name).write_bytes(data)
+    found = lambda name: warc.normalise(spark, spark.createDataFrame([(f"file://{tmp_path / name}",)], "path string"), f"file://{tmp_path}/out")
+    assert [(r["record_type"], r["target_uri"]) for r in found("members").orderBy("offset").collect()] == [("response", f"http://a/{i}") for i in range(3)]
+    assert found("empty").count() == 0
+    for name, words in (("short", "breaks off"), ("head", "breaks off"), ("other", "no WARC archive")):
+        with pytest.raises(Exception, match=words):
+            found(name)
+
+
 def test_warc(spark, tmp_path):
     html = "é" * 100_000
     rows = [(1, "http://a/ b", "x" * 100), (2, None, "x" * 100), (3, "u", "x" * 99), (4, "u", "x" * 99), (5, "u", None), (6, "u", html), (7, "u", html), (None, "u", html), (2, None, "x" * 100)]
@@ -377,4 +466,15 @@ def test_warc(spark, tmp_path):
     want = [(None, html, "revisit", 6)] + [(1, "x" * 100, "response", None), (2, "x" * 100, "revisit", 1), (2, "x" * 100, "revisit", 1), (3, "x" * 99, "response", None), (4, "x" * 99, "response", None), (5, "", "response", None), (6, html, "response", None), (7, html, "revisit", 6)]
     assert got == [(i, len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), k, f) for i, t, k, f in want]
     assert index.count() == streams.agg(F.sum("records")).first()[0] == 9
+    # Small archives: each begins anew, the index beside each file says what the table says.
+    streams, index = warc.archive_pages(pages, archive_bytes=200)
+    assert streams.count() > 4 and sorted((tuple(r) for r in warc.read_records(index).collect()), key=lambda r: (r[0] or 0, r[1])) == got
+    beside = {}
+    for r in index.collect():
+        beside.setdefault(r["path"], []).append({k: v for k, v in r.asDict().items() if k != "path"})
+    for path, rows in beside.items():
+        side = [json.loads(x) for x in open(path.removeprefix("file://") + ".idx")]
+        assert side == sorted(rows, key=lambda r: r["offset"])
+    ids = [r["record_id"] for r in index.collect()]
+    assert len(set(ids)) == 9 and all(i.startswith("<urn:uuid:") for i in ids)
     assert warc.op10(pages.limit(0)).count() == 0
