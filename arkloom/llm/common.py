@@ -30,6 +30,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's default.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, once its session sends whole texts to Python workers in batches of ``BATCH_BYTES``.
+
+    Spark's default of 64 MB a batch is held by the JVM and by each worker several times over.
+    A session that has another setting keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) in ("67108864b", "67108864", "64m"):
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 

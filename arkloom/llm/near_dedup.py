@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, keep
+from .common import broadcast_if_small, fresh, keep, small_batches
 
 #: Words of a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, NEAR, OF = 5, 75, 100
@@ -146,7 +146,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["id", "digest", "n_shingles", "sketch", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, digest binary, n_shingles long, sketch binary, bands array<long>")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, digest binary, n_shingles long, sketch binary, bands array<long>")
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

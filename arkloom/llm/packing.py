@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 from .ranks import positions
 
 #: Tokens of a sequence, and the id that ends each document.
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids:
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:

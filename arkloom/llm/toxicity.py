@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Hash buckets of terms.
 BUCKETS = 1 << 18
 #: At most so many labelled rows are learnt from (those with the smallest md5 of their id).
@@ -107,7 +109,7 @@ def _pairs(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray) -> np.ndarra
     seen = np.bincount(terms, minlength=BUCKETS)
     often = np.argsort(-seen, kind="stable")[:PAIRED]
     often = often[seen[often] >= LEAST_BOTH]
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[often] = np.arange(len(often))
     at = place[terms]
     rows, at = rows[at >= 0], at[at >= 0]
@@ -214,13 +216,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
                 lists = pa.array([terms_of(x.as_py(), known) for x in part.column(2)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "label", "terms"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text")
+    found = small_batches(docs).select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text")
     lists = found.mapInArrow(run, f"id {dict(few.dtypes)['_id']}, label int, terms array<int>")
     got = lists.groupBy("id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("id")
+    toxic = np.asarray(got.column("label")).astype(float)
     lists = got.column("terms").combine_chunks()
-    sizes = np.asarray(lists.value_lengths()) if len(got) else np.empty(0, int)
-    terms = np.asarray(lists.flatten()) if len(got) else np.empty(0, int)
-    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), terms, np.asarray(got.column("label")).astype(float))
+    del got  # the driver holds the lists once
+    sizes = np.asarray(lists.value_lengths()) if len(toxic) else np.empty(0, int)
+    terms = np.asarray(lists.flatten()) if len(toxic) else np.empty(0, int)
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), terms, toxic)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +236,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1), known), pa.float64())], names=["id", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,6 +260,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            yield batch.filter(pa.array(machine.score(batch.column("text"), known) < 0.5))
+            for cut in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(cut, AT_ONCE)
+                yield part.filter(pa.array(machine.score(part.column("text"), known) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

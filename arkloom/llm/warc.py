@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, text_or_empty, work_dir
+from .common import broadcast_if_small, keep, small_batches, text_or_empty, work_dir
 
 #: Payloads below this size are always stored in full.
 LEAST_SHARED_BYTES = 100
@@ -126,7 +126,7 @@ def write_streams(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
         if out is not None:
             yield ended()
 
-    return keep(rows.mapInArrow(write, "path string, records long"), "streams")
+    return keep(small_batches(rows).mapInArrow(write, "path string, records long"), "streams")
 
 
 def _inflated(stream) -> Iterator[bytes]:
