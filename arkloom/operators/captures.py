@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from arkloom.functions import urls
+from arkloom.work import broadcast_if_small, keep, ranked
 
 MATCHES = ("exact", "prefix", "host", "domain")
 
@@ -26,6 +26,7 @@ class Target:
     html_only: bool = True
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    localize_assets: bool = False
 
     def __post_init__(self) -> None:
         if self.match not in MATCHES:
@@ -36,7 +37,9 @@ class Target:
 class Settings:
     snapshot: str = "latest"
     ignore: tuple[str, ...] = ()
+    external_asset: bool = False
     external_exclude: tuple[str, ...] = ()
+    kill_redirects: bool = False
     targets: tuple[Target, ...] = field(default_factory=tuple)
 
     def __post_init__(self) -> None:
@@ -72,32 +75,64 @@ def capture_filter(captures: DataFrame, since: str = "", until: str = "", html_o
     out = captures.filter(F.col("statuscode") == status)
     if html_only:
         out = out.filter(F.col("mimetype") == "text/html")
+    return out.filter(_in_window(since, until))
+
+
+def _in_window(since: str, until: str) -> Column:
+    inside = F.lit(True)
     if since:
-        out = out.filter(F.col("timestamp") >= since.ljust(14, "0"))
-    if until:
-        out = out.filter(F.col("timestamp") <= until.ljust(14, "9"))
-    return out
+        inside = inside & (F.col("timestamp") >= since.ljust(14, "0"))
+    return inside & (F.col("timestamp") <= until.ljust(14, "9")) if until else inside
+
+
+def _bare_key(url: Column) -> Column:
+    """The canonical key without its scheme."""
+    return F.regexp_replace(urls.normalize_url(url), "^[a-z][a-z0-9+.-]*://", "")
+
+
+def _matches(host: Column, key: Column, url: str, match: str) -> Column:
+    wanted = F.lit(url if "//" in url else f"http://{url}")
+    if match in ("host", "domain"):
+        base = urls.host_of(wanted)
+        return host == base if match == "host" else urls.host_in_scope(host, base)
+    return key == _bare_key(wanted) if match == "exact" else F.startswith(key, _bare_key(wanted))
 
 
 def matches(original: Column, url: str, match: str) -> Column:
     """Whether a capture belongs to a URL: exactly, as a prefix, by its host, or by its domain."""
-    key = F.regexp_replace(urls.normalize_url(original), "^[a-z][a-z0-9+.-]*://", "")
-    wanted = F.regexp_replace(urls.normalize_url(F.lit(url if "//" in url else f"http://{url}")), "^[a-z][a-z0-9+.-]*://", "")
-    host, base = urls.host_of(original), urls.host_of(F.lit(url if "//" in url else f"http://{url}"))
-    return {"exact": key == wanted, "prefix": F.startswith(key, wanted), "host": host == base, "domain": urls.host_in_scope(host, base)}[match]
+    return _matches(urls.host_of(original), _bare_key(original), url, match)
+
+
+def of_targets(captures: DataFrame, targets: tuple[Target, ...]) -> DataFrame:
+    """The captures that belong to targets, with ``target`` and ``target_ord``, once for each target
+    that they belong to. The captures are gone through once for all targets."""
+    rows = captures.filter("statuscode = '200'")
+    if all(t.html_only for t in targets):
+        rows = rows.filter("mimetype = 'text/html'")
+    rows = urls.settled(rows, _host=urls.host_of(F.col("original")))
+    by_key = any(t.match in ("exact", "prefix") for t in targets)
+    rows = urls.settled(rows, _key=_bare_key(F.col("original"))) if by_key else rows.withColumn("_key", F.lit(None).cast("string"))
+    of = []
+    for n, t in enumerate(targets):
+        own = _matches(F.col("_host"), F.col("_key"), t.url, t.match) & _wanted(t.include, t.exclude) & _in_window(t.since, t.until)
+        of.append(F.when(own & (F.col("mimetype") == "text/html") if t.html_only else own, F.lit(n)))
+    names = F.array(*[F.lit(t.name) for t in targets])
+    rows = rows.withColumn("target_ord", F.explode(F.array_compact(F.array(*of)))) if of else rows.limit(0).withColumn("target_ord", F.lit(0))
+    return rows.withColumn("target", F.get(names, F.col("target_ord")) if of else F.lit("")).drop("_host", "_key")
+
+
+def _wanted(include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
+    found = F.lit(not include)
+    for p in include:
+        found = found | F.col("original").rlike(p)
+    for p in exclude:
+        found = found & ~F.col("original").rlike(p)
+    return found
 
 
 def include_exclude(captures: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
     """Rows whose ``original`` one of ``include`` finds (all if there is none) and none of ``exclude``."""
-    out = captures
-    if include:
-        found = F.lit(False)
-        for p in include:
-            found = found | F.col("original").rlike(p)
-        out = out.filter(found)
-    for p in exclude:
-        out = out.filter(~F.col("original").rlike(p))
-    return out
+    return captures.filter(_wanted(include, exclude))
 
 
 def select_snapshot(captures: DataFrame, strategy: str, by: tuple[str, ...] = ("target", "urlkey"), order: str = "seq", first: str = "grp_seq") -> DataFrame:
@@ -139,45 +174,94 @@ def _numbered(path: Column, n: Column) -> Column:
     return F.when(n <= 1, path).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), F.when(html, F.lit(".html")).otherwise(F.lit(""))))
 
 
-def dedupe_paths(rows: DataFrame, order: str, path: str = "path", by: tuple[str, ...] = ("prefix",), used: DataFrame | None = None) -> DataFrame:
-    """``rows`` with their ``path`` made unique in ``order``: a taken one gets _2, _3 ... before
-    ``.html`` or at its end. ``used`` (by, path) holds paths that are taken already.
+def _parent(path: Column) -> tuple[Column, Column]:
+    """The path that a name would be made from and its number, null where it is made from none:
+    a_2.html from a.html, a.png_2 from a.png."""
+    form = r"^(.+)_([1-9][0-9]{0,17})([.]html)?$"
+    stem, number, html = (F.regexp_extract(path, form, k) for k in (1, 2, 3))
+    made = (number != "") & ((number != "1")) & ((html != "") | ~F.endswith(stem, F.lit(".html")))
+    return F.when(made, F.concat(stem, html)), F.when(made, number.try_cast("long"))
+
 
-    Where no name of a family ends in a number by nature, the place among equal paths is the
-    number, by a window. Only families that have such names are gone through one by one;
-    names of different families never meet.
+def _tangled(names: DataFrame, contested: DataFrame, by: tuple[str, ...], path: str) -> DataFrame | None:
+    """(by, path) of the names that the numbering of contested ones may meet, and of what meets
+    them; None if nothing does.
+
+    A path that k rows claim in vain gives at most the numbers up to k + 1 and as many more as
+    there are names with a number of it. A name so met may be displaced and be numbered in
+    turn, so its own numbers are looked for next; names get longer each time.
+    """
+    parent, number = _parent(F.col(path))
+    children = names.select(*by, path, "n", parent.alias("_parent"), number.alias("_number")).filter("_parent IS NOT NULL")
+    claims = contested.select(*by, F.col(path).alias("_parent"), F.col("claims"))
+    found = None
+    while True:
+        own = children.join(broadcast_if_small(claims), [*by, "_parent"])
+        many = own.groupBy(*by, "_parent").agg(F.count(F.lit(1)).alias("_many"))
+        met = keep(own.join(many, [*by, "_parent"]).filter("_number <= claims + 1 + _many").select(*by, path, "n", "_parent"), "met_names")
+        if met.isEmpty():
+            return found
+        new = met.select(*by, path).union(met.select(*by, "_parent")).distinct()
+        found = keep(new if found is None else found.union(new).distinct(), "tangled")
+        claims = keep(met.filter("n > 0").select(*by, F.col(path).alias("_parent"), F.col("n").alias("claims")), "displaced")
+
+
+def dedupe_paths(rows: DataFrame, order: str, path: str = "path", by: tuple[str, ...] = ("prefix",), used: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their ``path`` made unique in ``order`` (a whole number): a taken one gets _2,
+    _3 ... before ``.html`` or at its end, skipping what is taken by then. ``used`` (by, path)
+    holds paths that are taken already. ``by`` and ``path`` are not null.
+
+    1. Paths that one row has and ``used`` has not stay as they are; one aggregate tells them.
+    2. Where no other name ends in a number that the numbering of a path comes to, the place
+       among the rows with this path is the number. Places are counted in parts, so a path of
+       very many rows is no burden.
+    3. What is left, the rows of paths whose numbers meet other names and of these names, is
+       gone through family by family; only paths and places are sent there.
     """
-    family = F.regexp_replace(F.regexp_replace(path, "[.]html$", ""), r"(_\d+)+$", "")
-    all_rows = rows.withColumns({"_used": F.lit(False), "_order": F.struct(F.lit(1).alias("late"), F.col(order).cast("long").alias("at"))})
+    keys = [*by, path]
+    claimed = rows.select(*keys, F.lit(1).alias("n"), F.lit(False).alias("used"))
     if used is not None:
-        taken = used.select(*by, F.col(path), F.lit(True).alias("_used"), F.struct(F.lit(0).alias("late"), F.lit(0).cast("long").alias("at")).alias("_order"))
-        all_rows = all_rows.unionByName(taken, allowMissingColumns=True)
-    all_rows = all_rows.withColumn("_family", family)
-    whole = Window.partitionBy(*by, "_family")
-    natural = F.regexp_replace(path, "[.]html$", "").rlike(r"_\d+$")
-    all_rows = all_rows.withColumn("_natural", F.max(natural).over(whole))
-    place = F.row_number().over(Window.partitionBy(*by, "_family", path).orderBy("_order"))
-    simple = all_rows.filter(~F.col("_natural")).withColumn("_new", _numbered(F.col(path), place))
-    schema = simple.schema
+        claimed = claimed.union(used.select(*keys).distinct().select(*keys, F.lit(0), F.lit(True)))
+    names = claimed.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("used").alias("used"))
+    contested = keep(names.filter("n > 0 AND (n > 1 OR used)").withColumn("claims", F.col("n") - 1 + F.col("used").cast("int")), "contested")
+    if contested.isEmpty():
+        return rows
+    tangled = _tangled(names, contested, by, path)
+    settle = contested.select(*keys, "used", F.lit(False).alias("_tangled"))
+    if tangled is not None:
+        tangled = names.join(broadcast_if_small(tangled), keys, "left_semi").select(*keys, "used", F.lit(True).alias("_tangled"))
+        settle = keep(settle.union(tangled).groupBy(*keys).agg(F.max("used").alias("used"), F.max("_tangled").alias("_tangled")), "settle")
+    flags = broadcast_if_small(settle.select(*keys, F.col("used").alias("_used"), "_tangled"))
+    places = ranked(rows.join(flags, keys), keys, [order])
+    free = places.filter("NOT _tangled").withColumn(path, _numbered(F.col(path), F.col("_rank") + F.col("_used").cast("int")))
+    out = rows.join(broadcast_if_small(settle.select(*keys)), keys, "left_anti").select(rows.columns).unionByName(free.select(rows.columns))
+    if tangled is None:
+        return out
+
+    hard = keep(places.filter("_tangled"), "tangled_rows")
+    family = F.regexp_replace(F.regexp_replace(F.col(path), "[.]html$", ""), r"(_\d+)+$", "")
+    narrow = hard.select(*keys, F.col("_rank"), F.col(order).cast("long").alias("_at"), F.lit(False).alias("_used"))
+    narrow = narrow.union(settle.filter("_tangled AND used").select(*keys, F.lit(0), F.lit(None), F.lit(True))).withColumn("_family", family)
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_at").drop(columns="_at")
-        names, new = set(group.loc[group["_used"], path]), []
-        for taken, name in zip(group["_used"], group[path]):
+        names = set(group.loc[group["_used"], path])
+        group = group[~group["_used"]].sort_values(["_at", path, "_rank"])
+        last, new = {}, []  # the numbers up to the last one that a path was given are taken
+        for name in group[path]:
             html = name.endswith(".html")
-            stem, n, found = name[:-5] if html else name, 1, name
-            while not taken and found in names:
+            stem, n, found = name[:-5] if html else name, last.get(name, 1), name
+            while found in names:
                 n += 1
                 found = f"{stem}_{n}" + ".html" * html
+            last[name] = n
             names.add(found)
             new.append(found)
-        return group.assign(_new=new, _order=None)
+        return group[[*keys, "_rank"]].assign(_new=new)
 
-    hard = all_rows.filter("_natural").withColumn("_at", F.col("_order.late") * F.lit(1 << 60) + F.col("_order.at")).withColumn("_order", F.lit(None).cast(schema["_order"].dataType))
-    flat = [f for f in schema.fields if f.name != "_order"]
-    walked = hard.drop("_order").groupBy(*by, "_family").applyInPandas(lambda g: walk(g).drop(columns="_order"), StructType(flat))
-    both = simple.drop("_order").unionByName(walked)
-    return both.filter(~F.col("_used")).withColumn(path, F.col("_new")).drop("_used", "_family", "_natural", "_new")
+    kinds = dict(hard.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_rank long", "_new string"])
+    walked = narrow.groupBy(*by, "_family").applyInPandas(walk, schema)
+    return out.unionByName(hard.join(walked, [*keys, "_rank"]).withColumn(path, F.col("_new")).select(rows.columns))
 
 
 def assign_local_paths(rows: DataFrame, order: str, ignore: tuple[str, ...] = (), used: DataFrame | None = None) -> DataFrame:
@@ -205,13 +289,7 @@ def assign_local_paths(rows: DataFrame, order: str, ignore: tuple[str, ...] = ()
 def build_manifest(captures: DataFrame, settings: Settings) -> DataFrame:
     """One row per page of the targets: original, key, timestamp, wayback_url, local_path, target,
     and ``target_ord`` and ``key_seq`` to order them by."""
-    parts = None
-    for n, t in enumerate(settings.targets):
-        own = capture_filter(captures, t.since, t.until, t.html_only)
-        own = include_exclude(own.filter(matches(F.col("original"), t.url, t.match)), t.include, t.exclude)
-        own = own.withColumns({"target": F.lit(t.name), "target_ord": F.lit(n)})
-        parts = own if parts is None else parts.unionByName(own)
-    first = select_snapshot(parts, settings.snapshot)
+    first = select_snapshot(of_targets(captures, settings.targets), settings.snapshot)
     one = collapse_canonical(first, settings.snapshot, settings.ignore)
     paths = assign_local_paths(one.withColumn("prefix", F.col("target")), "key_seq", settings.ignore)
     return paths.select("original", "key", "timestamp", urls.capture_url(F.col("timestamp"), F.col("original")).alias("wayback_url"), "local_path", "target", "target_ord", "key_seq")
@@ -222,14 +300,19 @@ def limit_urls(manifest: DataFrame, n: int) -> DataFrame:
     return manifest.orderBy("target_ord", "target", "key").limit(n)
 
 
-def merge_manifest(existing: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """``existing`` and those of ``new`` (original, timestamp, target, local_path, key_seq ...) whose
-    key it lacks; new paths give way to existing ones. Existing rows stay as they are."""
+def new_entries(existing: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Those of ``new`` (original, timestamp, target, local_path, key_seq ...) whose key ``existing``
+    lacks; their paths give way to existing ones."""
     key = urls.normalize_url(F.col("original"), ignore)
     known = existing.select(key.alias("key")).distinct()
     fresh = urls.settled(new, key=key).join(known, "key", "left_anti")
-    named = dedupe_paths(fresh.withColumn("_all", F.lit(1)), "key_seq", "local_path", ("_all",), existing.select(F.lit(1).alias("_all"), "local_path")).drop("_all")
-    return existing.unionByName(named, allowMissingColumns=True)
+    taken = existing.select(F.lit(1).alias("_all"), "local_path")
+    return dedupe_paths(fresh.withColumn("_all", F.lit(1)), "key_seq", "local_path", ("_all",), taken).drop("_all")
+
+
+def merge_manifest(existing: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """``existing``, whose rows stay as they are, and its :func:`new_entries`."""
+    return existing.unionByName(new_entries(existing, new, ignore), allowMissingColumns=True)
 
 
 def remap_manifest(manifest: DataFrame, ignore: tuple[str, ...] = (), order: str = "key_seq") -> DataFrame:
