@@ -91,55 +91,83 @@ def decode_text(content: Column) -> Column:
 
 # --- the scanner and the rewriter -------------------------------------------------------
 
-_TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:(\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
-_RAW = frozenset(("script", "style"))
+# Comments, tags and other declarations, each up to its end or the page's. A quote holds a >
+# only after an =. Nothing is gone back over, so the time is in proportion to the page.
+_TOKEN = re.compile(
+    r"<!--(?P<comment>.*?)(?:-->|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
+)
+_ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
+#: Elements whose content is text; those that hide the rest of the page if they never end come first.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea")}
+_TO_THE_END = ("script", "style")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
+def _spans(text: str) -> tuple[dict[str, tuple[str, int, int]], int]:
+    """The attributes of a tag's text, the first of each name, as (value, start, end), and where
+    the last one ends."""
+    out: dict[str, tuple[str, int, int]] = {}
+    last = 0
     for m in _ATTR.finditer(text):
-        out.setdefault(m[1].lower(), unescape((m[3] or "").strip("\"'")))
-    return out
+        value, last = m[2] or "", m.end()
+        quoted = len(value) > 1 and value[0] in "\"'" and value[-1] == value[0]
+        out.setdefault(m[1].lower(), (unescape(value[1:-1] if quoted else value), m.start(), m.end()))
+    return out, last
 
 
 def _tokens(html: str) -> Iterator[tuple[re.Match, str]]:
-    """Tags and comments in order, each with the raw text of a script or style after it."""
-    at = 0
+    """Tags and comments in order, each with the raw text of a script, style or title after it."""
+    at, endless = 0, set()
     while m := _TOKEN.search(html, at):
-        at, raw = m.end(), ""
-        if m["name"] and not m["end"] and m["name"].lower() in _RAW:
-            close = re.compile(rf"</{m['name']}\s*>", re.I).search(html, at)
-            raw = html[at : close.start() if close else len(html)]
-            at += len(raw)
+        at, raw, name = m.end(), "", (m["name"] or "").lower()
+        if name in _RAW and not m["end"] and name not in endless:
+            close = _RAW[name].search(html, at)
+            if close or name in _TO_THE_END:
+                raw = html[at : close.start() if close else len(html)]
+                at += len(raw)
+            else:
+                endless.add(name)
         yield m, raw
 
 
-def _references(html: str) -> list[tuple]:
-    """(ord, grp, tag, attr, rel, value): references in document order; ``grp`` is the place of
-    their kind among the kinds that win over each other."""
+_CSS_VALUE = re.compile(CSS_URL)
+
+
+def _scanned(html: str) -> tuple[str, list[tuple]]:
+    """The title and (ord, grp, tag, attr, rel, value) of the references in document order; ``grp``
+    is the place of their kind among the kinds that win over each other."""
     out, groups = [], {pair: k for k, pair in enumerate(ASSET_ATTRIBUTES)}
     lazy = {a: len(groups) + 1 + k for k, a in enumerate(LAZY_ATTRIBUTES)}
-    css = re.compile(CSS_URL)
+    title: list[str] | None = None
+    heading: list[str] | None = None
+    at, inside = 0, False
     for n, (m, raw) in enumerate(_tokens(html)):
-        if not m["name"] or m["end"]:
+        if inside:
+            heading.append(html[at : m.start()])
+        at = m.end() + len(raw)
+        tag = (m["name"] or "").lower()
+        if not tag or m["end"]:
+            inside = inside and tag != "h1"
             continue
-        tag, attrs = m["name"].lower(), _attributes(m["attrs"])
+        if tag == "title" and title is None:
+            title = re.split("<[^>]*>", raw)
+        elif tag == "h1" and heading is None:
+            heading, inside = [], True
+        attrs = {k: v for k, (v, _, _) in _spans(m["attrs"])[0].items()}
         for attr, value in attrs.items():
             grp = groups.get((tag, attr), lazy.get(attr, len(groups) if (tag, attr) == ("link", "href") else None))
             if (tag, attr) == ("a", "href") or attr in ("src", "href") or grp is not None:
                 out.append((n, 99 if grp is None else grp, tag, attr, attrs.get("rel", ""), value))
             elif attr == "style":
-                out += [(n, 41, tag, "style", "", v[1]) for v in css.finditer(value)]
+                out += [(n, 41, tag, "style", "", v[1]) for v in _CSS_VALUE.finditer(value)]
         if tag == "style":
-            out += [(n, 40, tag, "text", "", v[1]) for v in css.finditer(raw)]
-    return out
-
-
-def _title(html: str) -> str:
-    found = re.search(r"<title\b[^>]*>(.*?)</title\s*>", html, re.S | re.I) or re.search(r"<h1\b[^>]*>(.*?)</h1\s*>", html, re.S | re.I)
-    return "".join(unescape(x).strip() for x in re.split(r"<[^>]*>", found[1])) if found else ""
+            out += [(n, 40, tag, "text", "", v[1]) for v in _CSS_VALUE.finditer(raw)]
+    if inside:
+        heading.append(html[at:])
+    return "".join(unescape(x).strip() for x in (title if title is not None else heading or ())), out
 
 
 _REFERENCE = T.StructType([T.StructField(n, t) for n, t in (("ord", T.IntegerType()), ("grp", T.IntegerType()), ("tag", T.StringType()), ("attr", T.StringType()), ("rel", T.StringType()), ("value", T.StringType()))])
@@ -148,19 +176,31 @@ _REFERENCE = T.StructType([T.StructField(n, t) for n, t in (("ord", T.IntegerTyp
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("refs", T.ArrayType(_REFERENCE))]))
 def scan_html(html: pd.Series) -> pd.DataFrame:
     """Title and references of pages, each page gone through once. Null is an empty page."""
-    texts = [x or "" for x in html]
-    return pd.DataFrame({"title": [_title(x) for x in texts], "refs": [[dict(zip(("ord", "grp", "tag", "attr", "rel", "value"), r)) for r in _references(x)] for x in texts]})
+    names = ("ord", "grp", "tag", "attr", "rel", "value")
+    scanned = [_scanned(x or "") for x in html]
+    return pd.DataFrame({"title": [title for title, _ in scanned], "refs": [[dict(zip(names, r)) for r in refs] for _, refs in scanned]})
 
 
 def page_title(html: Column, fallback: Column) -> Column:
     return F.coalesce(F.nullif(scan_html(html)["title"], F.lit("")), fallback)
 
 
+def with_scan(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with ``title`` and ``refs`` in the place of their html: all that later steps need
+    from one pass over the markup."""
+    rest = [c for c in pages.columns if c not in (html, "title", "refs")]
+    return pages.select(*rest, scan_html(F.col(html)).alias("_s")).select(*rest, "_s.title", "_s.refs")
+
+
+def references_of(scanned: DataFrame) -> DataFrame:
+    """The rows of :func:`with_scan`, one per reference: ord, grp, tag, attr, rel, value."""
+    rest = [c for c in scanned.columns if c not in ("title", "refs")]
+    return scanned.select(*rest, F.explode("refs").alias("_r")).select(*rest, "_r.*")
+
+
 def extract_references(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` without their html, one row per reference: ord, grp, tag, attr, rel, value."""
-    rest = [c for c in pages.columns if c != html]
-    scanned = pages.select(*rest, scan_html(F.col(html)).alias("_s"))
-    return scanned.select(*rest, F.explode("_s.refs").alias("_r")).select(*rest, "_r.*")
+    return references_of(with_scan(pages, html))
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -239,7 +279,7 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
             if name != "base":
                 out.append(source)
             continue
-        attrs = _attributes(m["attrs"])
+        attrs = {k: v for k, (v, _, _) in _spans(m["attrs"])[0].items()}
         target = attrs.get("src") or attrs.get("href") or ""
         foreign = attrs.get("id") in TOOLBAR_IDS or name in ("script", "style", "link") and (re.search(TOOLBAR_HOST, target) or re.search(TOOLBAR_CODE, raw) or re.search(TOOLBAR_CODE, target) or re.search(DEAD_LOCAL, target))
         if foreign or name == "base" or kill_redirects and name == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
@@ -247,16 +287,21 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
                 skip, depth = name, 1
                 at += len(raw)
             continue
+        changes: dict[str, str] = {}
+        styles: dict[str, dict[str, str]] = {"text": {}, "style": {}}
         for e in by_ord.get(n, ()):
-            if e["attr"] == "text":
-                raw = raw.replace(e["old"], e["new"])
-            elif e["attr"] == "style":
-                source = source.replace(e["old"], e["new"])
+            if e["attr"] in styles:
+                styles[e["attr"]][e["old"]] = e["new"]
             else:
-                source = _with_attribute(source, e["attr"], e["new"])
+                changes[e["attr"]] = e["new"]
                 if e["dead"]:
-                    classes = " ".join([*attrs.get("class", "").split(), "dead"])
-                    source = _with_attribute(_with_attribute(source, "data-broken", e["dead"]), "class", classes)
+                    changes |= {"data-broken": e["dead"], "class": " ".join([*attrs.get("class", "").split(), "dead"])}
+        if styles["text"]:
+            raw = _with_css(raw, styles["text"])
+        if styles["style"]:
+            changes["style"] = _with_css(attrs["style"], styles["style"])
+        if changes:
+            source = _with_attributes(m, changes)
         if kill_redirects and name == "script" and "src" not in attrs and "redirectToJSPage" in raw:
             raw = re.sub(REDIRECT_CALL, "", raw)
         out += [source, raw]
@@ -276,15 +321,25 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
     return page
 
 
-def _with_attribute(tag: str, attr: str, value: str) -> str:
-    quoted = f'{attr}="{escape(value)}"'
-    inside = re.compile(rf"(?<=\s){re.escape(attr)}(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>])", re.I)
-    if inside.search(tag):
-        return inside.sub(lambda _: quoted, tag, count=1)
-    return re.sub(r"\s*/?>$", lambda m: f" {quoted}{m[0].strip() if m[0].strip() == '>' else ' />'}", tag)
+def _with_css(text: str, new: dict[str, str]) -> str:
+    """A stylesheet's text with the url() of the values in ``new`` replaced, where they stand."""
+    return _CSS_VALUE.sub(lambda m: f'url("{new[m[1]]}")' if m[1] in new else m[0], text)
+
+
+def _with_attributes(m: re.Match, changes: dict[str, str]) -> str:
+    """A tag with attributes changed in their places, or added after the last one."""
+    spans, last = _spans(m["attrs"])
+    attrs, out, at = m["attrs"], [], 0
+    for name in sorted((x for x in changes if x in spans), key=lambda x: spans[x][1]):
+        _, start, end = spans[name]
+        out += [attrs[at:start], f'{name}="{escape(changes[name])}"']
+        at = end
+    out.append(attrs[at:last])
+    out += [f' {name}="{escape(value)}"' for name, value in changes.items() if name not in spans]
+    return f"<{m['name']}{''.join(out)}{attrs[last:]}{'>' if m[0].endswith('>') else ''}"
 
 
-def rewrite_pages(pages: DataFrame, edits: DataFrame, key: list[str], css_href: str | None = None, js_href: str | None = None, kill_redirects: bool = False, html: str = "html") -> DataFrame:
+def rewrite_pages(pages: DataFrame, edits: DataFrame, key: list[str], css_href: str | Column | None = None, js_href: str | Column | None = None, kill_redirects: bool = False, html: str = "html") -> DataFrame:
     """``pages`` with archive artefacts gone and ``edits`` (key, ord, attr, old, new, dead) applied.
 
     The edits of a page are gathered beside it, bounded by the page itself; the html moves once.
@@ -292,10 +347,12 @@ def rewrite_pages(pages: DataFrame, edits: DataFrame, key: list[str], css_href:
     listed = edits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "attr", "old", "new", "dead"))).alias("_edits"))
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series, edit_lists: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _rewritten(t, [e if isinstance(e, dict) else e.asDict() for e in ([] if x is None else list(x))], css_href, js_href, kill_redirects) for t, x in zip(texts, edit_lists)])
+    def run(texts: pd.Series, edit_lists: pd.Series, css: pd.Series, js: pd.Series) -> pd.Series:
+        rows = zip(texts, edit_lists, css, js)
+        return pd.Series([None if t is None else _rewritten(t, [e if isinstance(e, dict) else e.asDict() for e in ([] if x is None else list(x))], c, j, kill_redirects) for t, x, c, j in rows])
 
-    return pages.join(listed, key, "left").withColumn(html, run(F.col(html), F.col("_edits"))).drop("_edits")
+    css, js = (x if isinstance(x, Column) else F.lit(x).cast("string") for x in (css_href, js_href))
+    return pages.join(listed, key, "left").withColumn(html, run(F.col(html), F.col("_edits"), css, js)).drop("_edits")
 
 
 def strip_archive_artifacts(html: Column, kill_redirects: bool = False) -> Column:
