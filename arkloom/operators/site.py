@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from arkloom.functions import urls
 from arkloom.operators import captures, content
+from arkloom.work import keep, ranked
 
+# The most waves of a discovery, and the names of a site's own style and script.
 MOST_WAVES = 5
+STYLE_FILE, SCRIPT_FILE = "_style.css", "_site.js"
 
 
 def build_url_map(main: DataFrame, external: DataFrame | None = None, raw: DataFrame | None = None, ignore: tuple[str, ...] = (), path: str = "local_path", order: str = "key_seq") -> DataFrame:
@@ -36,7 +39,11 @@ def in_scope(rows: DataFrame, scope: DataFrame, host: str = "host", keep: bool =
 
 def resolved_links(pages: DataFrame, url: str = "url", html: str = "html", ignore: tuple[str, ...] = ()) -> DataFrame:
     """Links with ``target`` (absolute, with fragment), ``base``, ``key`` and ``host``."""
-    links = urls.settled(content.extract_links(pages, html), target=urls.resolve_href(F.col("value"), F.col(url))).filter("target IS NOT NULL")
+    return _resolved(content.extract_links(pages, html), url, ignore)
+
+
+def _resolved(links: DataFrame, url: str, ignore: tuple[str, ...]) -> DataFrame:
+    links = urls.settled(links, target=urls.resolve_href(F.col("value"), F.col(url))).filter("target IS NOT NULL")
     base = urls.without_fragment(F.col("target"))
     return urls.settled(links, base=base, key=urls.normalize_url(base, ignore), host=urls.host_of(base))
 
@@ -77,19 +84,38 @@ def drop_known(rows: DataFrame, *manifests: DataFrame, key: str = "key") -> Data
 
 
 def dedupe_references(refs: DataFrame, order: Column) -> DataFrame:
-    """One row per base: fetch_url and kind of its first occurrence, and all pages it is on."""
-    return refs.groupBy("base").agg(F.min_by(F.struct("fetch_url", "kind"), order).alias("_f"), F.min_by("found_in", order).alias("found_in"), F.count_distinct("found_in").alias("n_pages")).select("base", "_f.fetch_url", "_f.kind", "found_in", "n_pages")
+    """One row per base: fetch_url and kind of its first occurrence, ``found_in`` and place
+    (``first``) of it, and the number of all pages that it is on."""
+    best = F.min_by(F.struct("fetch_url", "kind", "found_in"), order).alias("_f")
+    found = refs.groupBy("base").agg(best, F.min(order).alias("first"), F.count_distinct("found_in").alias("n_pages"))
+    return found.select("base", "_f.fetch_url", "_f.kind", "_f.found_in", "n_pages", "first")
+
+
+def _place(page: Column, grp: Column, pos: Column) -> Column:
+    return F.struct(page.alias("page"), grp.cast("int").alias("grp"), pos.cast("int").alias("pos"))
+
+
+def of_target(manifest: DataFrame, target: str | None) -> DataFrame:
+    """The entries of one target, of all if none is named."""
+    return manifest if target is None else manifest.filter(F.col("target") == target)
 
 
-def pending(manifest: DataFrame, done: DataFrame, path: str = "local_path") -> DataFrame:
+def pending(manifest: DataFrame, done: DataFrame, path: str = "local_path", target: str | None = None) -> DataFrame:
     """Entries whose file is not there yet."""
-    return manifest.join(done.select(path), path, "left_anti")
+    return of_target(manifest, target).join(done.select(path), path, "left_anti")
 
 
 def with_content(manifest: DataFrame, raw: DataFrame) -> DataFrame:
     return manifest.join(raw, "local_path")
 
 
+def scannable(manifest: DataFrame, raw: DataFrame) -> DataFrame:
+    """Entries with their content that discovery goes through: pages by name that do not begin
+    with an underscore."""
+    pages = F.endswith(F.col("local_path"), F.lit(".html")) & ~F.startswith(F.substring_index("local_path", "/", -1), F.lit("_"))
+    return with_content(manifest.filter(pages), raw)
+
+
 def run_progress(manifest: DataFrame, raw: DataFrame, clean: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Per target: total, on_disk, pending, cleaned and failed."""
     rows = manifest.select("target", "local_path").join(raw.select("local_path", F.lit(True).alias("_raw")).distinct(), "local_path", "left")
@@ -128,15 +154,28 @@ def external_references(pages: DataFrame, scope: DataFrame, known: DataFrame, fo
         refs = refs.filter(~F.col("base").rlike(p))
     refs = urls.settled(in_scope(refs, scope, keep=False), key=urls.normalize_url(F.col("base"), ignore))
     new = drop_known(refs, known).withColumn("found_in", F.col(found_in))
-    return dedupe_references(new, F.struct(found_in, "grp", "ord"))
+    return dedupe_references(new, _place(F.col(found_in), F.col("grp"), F.col("ord")))
+
+
+def _inscope(pages: DataFrame, scope: DataFrame, html: str, ignore: tuple[str, ...]) -> DataFrame:
+    refs = content.fetchable(content.extract_references(pages, html).filter("attr IN ('src', 'href')"))
+    refs = urls.settled(refs, host=urls.host_of(F.col("base")), key=urls.normalize_url(F.col("base"), ignore))
+    return in_scope(refs, scope)
 
 
 def inscope_references(pages: DataFrame, scope: DataFrame, known: DataFrame, found_in: str, html: str = "html", ignore: tuple[str, ...] = ()) -> DataFrame:
     """The bases in scope that any src or href of a page names and that ``known`` lacks."""
-    refs = content.fetchable(content.extract_references(pages, html).filter("attr IN ('src', 'href')"))
+    refs = _inscope(pages, scope, html, ignore).withColumns({"kind": F.lit("asset"), "found_in": F.col(found_in)})
+    return dedupe_references(drop_known(refs, known), _place(F.col(found_in), F.col("ord"), F.when(F.col("attr") == "src", 0).otherwise(1)))
+
+
+def inscope_css_references(sheets: DataFrame, scope: DataFrame, known: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """The bases in scope that stylesheets (local_path, css) name by absolute URLs and ``known`` lacks."""
+    refs = content.css_references(sheets.select("local_path", "css"), absolute=True)
+    base = urls.without_fragment(F.coalesce(urls.unwrap_archive_url(F.col("value")), F.col("value")))
+    refs = urls.settled(refs, base=base).withColumns({"fetch_url": F.col("value"), "found_in": F.col("local_path"), "kind": F.lit("asset")})
     refs = urls.settled(refs, host=urls.host_of(F.col("base")), key=urls.normalize_url(F.col("base"), ignore))
-    refs = in_scope(refs, scope).withColumns({"kind": F.lit("asset"), "found_in": F.col(found_in)})
-    return dedupe_references(drop_known(refs, known), F.struct(found_in, "ord", F.when(F.col("attr") == "src", 0).otherwise(1)))
+    return dedupe_references(drop_known(in_scope(refs, scope), known), _place(F.col("local_path"), F.col("grp"), F.col("pos")))
 
 
 def external_css_references(sheets: DataFrame, scope: DataFrame, known: DataFrame, exclude: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -147,74 +186,186 @@ def external_css_references(sheets: DataFrame, scope: DataFrame, known: DataFram
     refs = refs.withColumn("fetch_url", F.concat(F.lit(urls.ARCHIVE + "/web/"), F.coalesce("timestamp", F.lit("")), F.lit("id_/"), F.col("base"))).filter(~urls.is_archive_host(F.col("host")))
     for p in exclude:
         refs = refs.filter(~F.col("base").rlike(p))
-    return dedupe_references(drop_known(in_scope(refs, scope, keep=False), known), F.struct("original", "grp", "pos"))
+    return dedupe_references(drop_known(in_scope(refs, scope, keep=False), known), _place(F.col("original"), F.col("grp"), F.col("pos")))
 
 
-def external_entries(found: DataFrame, target: str, used: DataFrame | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Manifest rows of external bases, below a folder of their own for each host."""
-    rows = found.withColumnRenamed("base", "original")
-    rows = rows.withColumn("prefix", F.concat(F.lit(f"{target}/_external/"), urls.safe_host(urls.host_of(F.col("original"))))).withColumn("key_seq", F.xxhash64("original"))
+def _entries(found: DataFrame, prefix: Column, used: DataFrame | None, ignore: tuple[str, ...], wave: int) -> DataFrame:
+    """``found`` in the order of first occurrence (``key_seq``), with paths that ``used`` lacks."""
+    rows = ranked(found.withColumnRenamed("base", "original"), [], ["first", "original"], "key_seq")
+    rows = rows.withColumns({"key_seq": F.col("key_seq") + F.lit(wave << 40), "prefix": prefix, "wave": F.lit(wave)})
     named = captures.assign_local_paths(rows, "key_seq", ignore)
     if used is not None:
         named = captures.dedupe_paths(named.withColumn("_all", F.lit(1)), "key_seq", "local_path", ("_all",), used.select(F.lit(1).alias("_all"), "local_path")).drop("_all")
-    ts = urls.capture_timestamp(F.col("fetch_url"))
+    return named.withColumns({"key": urls.normalize_url(F.col("original"), ignore), "timestamp": urls.capture_timestamp(F.col("fetch_url"))})
+
+
+ENTRY = ("original", "key", "timestamp", "wayback_url", "local_path", "target", "kind", "found_in", "key_seq", "wave")
+
+
+def external_entries(found: DataFrame, target: str, used: DataFrame | None = None, ignore: tuple[str, ...] = (), wave: int = 0) -> DataFrame:
+    """Manifest rows of external bases, below a folder of their own for each host."""
+    named = _entries(found, F.concat(F.lit(f"{target}/_external/"), urls.safe_host(urls.host_of(F.col("original")))), used, ignore, wave)
+    ts = F.col("timestamp")
     playback = F.concat(F.lit(urls.ARCHIVE + "/web/"), F.when(ts != "", F.concat(ts, F.lit("/"))).otherwise(F.lit("")), F.col("original"))
     url = F.when(F.col("kind") == "iframe", playback).otherwise(urls.raw_capture_url(F.col("fetch_url")))
-    return named.select("original", urls.normalize_url(F.col("original"), ignore).alias("key"), ts.alias("timestamp"), url.alias("wayback_url"), "local_path", F.lit(target).alias("target"), "kind", "found_in", "key_seq")
+    return named.withColumns({"wayback_url": url, "target": F.lit(target)}).select(*ENTRY)
+
+
+def inscope_entries(found: DataFrame, target: str, used: DataFrame | None = None, ignore: tuple[str, ...] = (), wave: int = 0) -> DataFrame:
+    """Manifest rows of bases in scope, in the target's own folder."""
+    named = _entries(found, F.lit(target), used, ignore, wave)
+    return named.withColumns({"wayback_url": urls.raw_capture_url(F.col("fetch_url")), "target": F.lit(target)}).select(*ENTRY)
 
 
-def discover_external(pages: DataFrame, scope: DataFrame, manifest: DataFrame, archive: DataFrame, target: str, save, exclude: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
+def discover_external(pages: DataFrame, scope: DataFrame, manifest: DataFrame, archive: DataFrame, target: str, exclude: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
     """All external entries in waves: what pages load, then what the iframes and stylesheets so
     obtained load, at most ``MOST_WAVES`` times.
 
-    ``pages`` has local_path and html, ``archive`` key, html and media of what can be had.
-    ``save(df, name)`` writes a wave and reads it back, which cuts the lineage.
+    ``pages`` has local_path and html, ``archive`` the key and content of what can be had.
+    Stylesheets are known by their content. Where a page and a stylesheet of one wave name the
+    same base, the stylesheet's URL counts. Each wave is written, which cuts the lineage.
     """
     found, frontier, known, sheets = None, pages.select("local_path", "html"), manifest.select("key"), None
     for wave in range(MOST_WAVES):
-        refs = external_references(frontier, scope, known, "local_path", exclude=exclude, ignore=ignore)
+        refs = external_references(frontier, scope, known, "local_path", exclude=exclude, ignore=ignore).withColumn("src", F.lit(0))
         if sheets is not None:
-            more = external_css_references(sheets, scope, known, exclude, ignore)
-            refs = refs.join(more.select("base"), "base", "left_anti").unionByName(more)
-        new = save(external_entries(refs, target, None if found is None else found, ignore).withColumn("wave", F.lit(wave)), f"wave{wave}")
+            refs = refs.unionByName(external_css_references(sheets, scope, known, exclude, ignore).withColumn("src", F.lit(1)))
+            last = F.max_by(F.struct("fetch_url", "kind", "found_in", "n_pages"), "src").alias("l")
+            refs = refs.groupBy("base").agg(last, F.min(F.struct("src", "first")).alias("first")).select("base", "l.*", "first")
+        else:
+            refs = refs.withColumn("first", F.struct("src", "first"))
+        new = keep(external_entries(refs, target, found, ignore, wave), f"external_wave{wave}")
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
         known = manifest.select("key").union(found.select("key"))
-        got = new.join(archive, "key")
-        frontier = got.filter("kind = 'iframe'").select("local_path", "html")
-        sheets = got.filter("media = 'css'").select("original", "timestamp", F.col("html").alias("css"))
+        got = content.with_media(new.join(archive.select("key", "content"), "key"))
+        page = (F.col("kind") == "iframe") & F.endswith(F.col("local_path"), F.lit(".html"))
+        frontier = got.filter(page).select("local_path", content.decode_text(F.col("content")).alias("html"))
+        sheets = got.filter(~page & (F.col("media") == "css")).select("original", "timestamp", content.decode_text(F.col("content")).alias("css"))
     return found if found is not None else new
 
 
-def clean_pages(pages: DataFrame, url_map: DataFrame, scope: DataFrame, localize: bool = True, kill_redirects: bool = False, css_href: str | None = None, js_href: str | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """Cleaned pages (local_path, url, html): artefacts gone, links local, dead or as they were,
-    assets local where the map has them."""
-    here = F.col("local_path")
-    links = classify_links(resolved_links(pages, ignore=ignore), url_map, scope, here)
-    edits = links.filter("state <> 'external'").select("local_path", "ord", "attr", F.col("value").alias("old"), F.col("new_href").alias("new"), F.when(F.col("state") == "dead", F.col("base")).alias("dead"))
-    if localize:
-        refs = rewrite_assets(content.extract_references(pages).filter(content.is_asset_reference()), url_map, "url", here, ignore)
-        edits = edits.unionByName(refs.filter("state <> 'kept'").select("local_path", "ord", "attr", F.col("value").alias("old"), "new", F.lit(None).cast("string").alias("dead")))
-    return content.rewrite_pages(pages, edits, ["local_path"], css_href, js_href, kill_redirects)
+def discover_inscope(clean: DataFrame, scope: DataFrame, manifest: DataFrame, archive: DataFrame, target: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Entries in scope in waves: what clean pages (local_path, html) still name elsewhere, then what
+    the stylesheets so obtained name, at most ``MOST_WAVES`` times. Only files named .css are
+    gone through again. Paths give way to the manifest's; each wave is written.
+    """
+    found, known, sheets = None, manifest.select("key"), None
+    for wave in range(MOST_WAVES):
+        if sheets is None:
+            refs = inscope_references(clean.select("local_path", "html"), scope, known, "local_path", ignore=ignore)
+        else:
+            refs = inscope_css_references(sheets, scope, known, ignore)
+        used = manifest.select("local_path") if found is None else manifest.select("local_path").union(found.select("local_path"))
+        new = keep(inscope_entries(refs, target, used, ignore, wave), f"inscope_wave{wave}")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
+        known = manifest.select("key").union(found.select("key"))
+        got = new.filter(F.endswith(F.col("local_path"), F.lit(".css"))).join(archive.select("key", "content"), "key")
+        sheets = keep(got.select("local_path", content.decode_text(F.col("content")).alias("css")), f"sheets{wave}")
+        if sheets.isEmpty():
+            break
+    return found if found is not None else new
+
 
+def clean_pages(pages: DataFrame, url_map: DataFrame, scope: DataFrame, localize: bool | Column = True, kill_redirects: bool = False, css_href: str | Column | None = None, js_href: str | Column | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Cleaned pages (local_path, url, html ...) with their ``title``: artefacts gone, links local,
+    dead or as they were, assets local where the map has them (on pages to localize).
 
-def clean_site(manifest: DataFrame, raw: DataFrame, scope: DataFrame, done: DataFrame | None = None, localize: bool = True, kill_redirects: bool = False, ignore: tuple[str, ...] = ()) -> DataFrame:
+    One pass over a page gives its title, links and assets, which are written; a second one
+    applies what is to change.
+    """
+    here = F.col("local_path")
+    wanted = localize if isinstance(localize, Column) else F.lit(localize)
+    scanned = keep(content.with_scan(pages.select("local_path", "url", wanted.alias("localize"), "html")), "scanned")
+    refs = content.references_of(scanned)
+    links = classify_links(_resolved(refs.filter("tag = 'a' AND attr = 'href'"), "url", ignore), url_map, scope, here)
+    edits = links.filter("state <> 'external'").select("local_path", "ord", "attr", F.col("value").alias("old"), F.col("new_href").alias("new"), F.when(F.col("state") == "dead", F.col("base")).alias("dead"))
+    assets = rewrite_assets(refs.filter(F.col("localize") & content.is_asset_reference()), url_map, "url", here, ignore)
+    edits = edits.unionByName(assets.filter("state <> 'kept'").select("local_path", "ord", "attr", F.col("value").alias("old"), "new", F.lit(None).cast("string").alias("dead")))
+    titled = pages.drop("title").join(scanned.select("local_path", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title")), "local_path")
+    return content.rewrite_pages(titled, edits, ["local_path"], css_href, js_href, kill_redirects)
+
+
+def clean_site(
+    manifest: DataFrame,
+    raw: DataFrame,
+    scope: DataFrame,
+    done: DataFrame | None = None,
+    external: DataFrame | None = None,
+    settings: captures.Settings | None = None,
+    target: str | None = None,
+    only: DataFrame | None = None,
+    inject: bool = True,
+) -> DataFrame:
     """(target, path, media, content, title) of every entry that has bytes and, unless all are to be
     redone, is not in ``done`` (path): binaries and others as they are, stylesheets and pages
-    rewritten."""
-    kinds = content.with_media(with_content(manifest, raw))
+    rewritten.
+
+    ``external`` holds entries of other hosts, which links lead to only where their bytes are
+    there. ``settings`` says what of the query keys ignore, whose assets become local (those of
+    a target that asks for it, or all with external assets) and whether redirects go; without
+    it assets become local. ``target`` narrows all to one target, ``only`` (local_path) the
+    result to some entries. Pages load the site's own style and script unless ``inject`` is
+    off. The title of what is no page is its URL.
+    """
+    settings = settings or captures.Settings(external_asset=True)
+    ignore = settings.ignore
+    main = of_target(manifest, target)
+    other = of_target(external, target) if external is not None else main.limit(0)
+    fields = ["original", "target", "local_path", "key_seq"]
+    entries = main.select(*fields, F.lit(False).alias("external")).union(other.select(*fields, F.lit(True)))
+    kinds = content.with_media(with_content(entries, raw))
     named = urls.settled(kinds, path=content.effective_path(F.col("local_path"), F.col("media")))
     moved = named.filter("path <> local_path").select("local_path", F.col("path").alias("_p"))
-    renamed = manifest.join(moved, "local_path", "left").withColumn("path", F.coalesce("_p", "local_path")).drop("_p")
-    url_map = build_url_map(renamed, ignore=ignore, path="path")
+    renamed = entries.join(moved, "local_path", "left").withColumn("path", F.coalesce("_p", "local_path")).drop("_p")
+    url_map = keep(build_url_map(renamed.filter("NOT external"), renamed.filter("external"), raw, ignore, "path"), "url_map")
     if done is not None:
         named = named.join(done.select("path"), "path", "left_anti")
+    if only is not None:
+        named = named.join(only.select("local_path").distinct(), "local_path", "left_semi")
     text = content.decode_text(F.col("content"))
-    copied = named.filter("media NOT IN ('css', 'html')").select("target", "path", "media", "content", F.lit(None).cast("string").alias("title"))
+    columns = ["target", "path", "media", "content", "title"]
+    copied = named.filter("media NOT IN ('css', 'html')").withColumn("title", F.col("original")).select(*columns)
     sheets = content.rewrite_css(named.filter("media = 'css'").select("target", "media", "path", "original", text.alias("css")), url_map, "path", ignore=ignore)
-    sheets = sheets.select("target", "path", "media", F.encode("css", "UTF-8").alias("content"), F.lit(None).cast("string").alias("title"))
+    sheets = sheets.select("target", "path", "media", F.encode("css", "UTF-8").alias("content"), F.col("original").alias("title"))
+    asked = F.col("target").isin([t.name for t in settings.targets if t.localize_assets]) | F.lit(settings.external_asset)
     pages = named.filter("media = 'html'").select("target", "media", F.col("path").alias("local_path"), F.col("original").alias("url"), text.alias("html"))
-    done_pages = clean_pages(pages, url_map, scope, localize, kill_redirects, ignore=ignore)
-    titled = done_pages.select("target", F.col("local_path").alias("path"), "media", F.encode("html", "UTF-8").alias("content"), content.page_title(F.col("html"), F.col("url")).alias("title"))
-    return copied.unionByName(sheets).unionByName(titled)
+    own = [urls.relative_path(F.col("local_path"), F.concat("target", F.lit(f"/{f}"))) if inject else None for f in (STYLE_FILE, SCRIPT_FILE)]
+    cleaned = clean_pages(pages, url_map, scope, asked, settings.kill_redirects, *own, ignore)
+    return copied.unionByName(sheets).unionByName(cleaned.select("target", F.col("local_path").alias("path"), "media", F.encode("html", "UTF-8").alias("content"), "title"))
+
+
+def reclean_affected(clean: DataFrame, obtained: DataFrame, manifest: DataFrame, raw: DataFrame, scope: DataFrame, settings: captures.Settings | None = None, external: DataFrame | None = None) -> DataFrame:
+    """The new state of all pages and stylesheets (clean: local_path, html; media) that refer to what
+    has been ``obtained`` (original) since, for :func:`clean_site`'s result to be replaced with.
+
+    All referrers count, not only the first one, and stylesheets as well.
+    """
+    pages = clean.filter("media = 'html'")
+    refs = content.fetchable(content.extract_references(pages.select("local_path", "html")).filter("attr IN ('src', 'href') OR grp IN (40, 41)"))
+    sheets = content.css_references(clean.filter("media = 'css'").select("local_path", F.col("html").alias("css")), absolute=True)
+    named = urls.without_fragment(F.coalesce(urls.unwrap_archive_url(F.col("value")), F.col("value")))
+    found = refs.select("base", F.col("local_path").alias("found_in")).union(sheets.select(named.alias("base"), F.col("local_path").alias("found_in")))
+    affected = affected_pages(found, obtained.select(F.col("original").alias("base")), manifest)
+    return clean_site(manifest, raw, scope, external=external, settings=settings, only=affected)
+
+
+def archive_pipeline(rows: DataFrame, settings: captures.Settings, archive: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """From captures to the clean site: (manifest, external entries or None, clean site).
+
+    ``archive`` has the key and content of what can be had, a row for each key. Without ``external_asset`` in the
+    settings nothing is discovered.
+    """
+    spark = rows.sparkSession
+    manifest = keep(captures.build_manifest(rows, settings), "manifest")
+    scope = spark.createDataFrame([(t.url if "//" in t.url else f"http://{t.url}",) for t in settings.targets], "url string").select(urls.host_of(F.col("url")).alias("host"))
+    raw = keep(manifest.join(archive.select("key", "content"), "key").select("local_path", "content"), "raw")
+    external = None
+    if settings.external_asset:
+        pages = scannable(manifest, raw).select("local_path", content.decode_text(F.col("content")).alias("html"))
+        external = discover_external(pages, scope, manifest, archive, settings.targets[0].name, settings.external_exclude, settings.ignore)
+        raw = raw.unionByName(external.join(archive.select("key", "content"), "key").select("local_path", "content"))
+    return manifest, external, clean_site(manifest, raw, scope, external=external, settings=settings)
