@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arkloom.work import keep
+
 MANIFEST = "original string, key string, timestamp string, wayback_url string, local_path string, target string, kind string"
 FIELDS = ("urlkey", "timestamp", "original", "statuscode", "mimetype", "digest")
 
@@ -14,12 +16,18 @@ def read_cdx(spark: SparkSession, path: str) -> DataFrame:
     """Captures from index responses: JSON arrays of rows under a first row of names.
 
     Rows of another length are dropped, which takes the empty row and the resume key at the
-    end with it. ``seq`` orders the rows by file and place.
+    end with it. ``seq``, a whole number, orders the rows by file and place.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "array<array<string>>").alias("rows"))
-    body = files.select("file", F.get("rows", F.lit(0)).alias("names"), F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("pos", "row"))
+    places = Window.orderBy("file")  # of the files' names alone, a row for each response
+    numbers = files.select("file").distinct().withColumn("file_no", F.row_number().over(places).cast("long"))
+    body = files.join(numbers, "file").select("file_no", F.get("rows", F.lit(0)).alias("names"), F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("pos", "row"))
     rows = body.filter((F.size("row") == F.size("names")) & (F.size("names") > 1)).withColumn("m", F.map_from_arrays("names", "row"))
-    return rows.select(*[F.try_element_at("m", F.lit(f)).alias(f) for f in FIELDS], F.struct("file", "pos").alias("seq"))
+    return rows.select(*[F.try_element_at("m", F.lit(f)).alias(f) for f in FIELDS], (F.shiftleft("file_no", 32) + F.col("pos")).alias("seq"))
+
+
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_manifest(spark: SparkSession, path: str, may_be_missing: bool = False) -> DataFrame:
@@ -28,14 +36,15 @@ def read_manifest(spark: SparkSession, path: str, may_be_missing: bool = False)
         if path.endswith(".json"):
             return spark.read.schema(MANIFEST).json(path, multiLine=True)
         return spark.read.parquet(path)
-    except AnalysisException:
-        if may_be_missing:
+    except AnalysisException as error:
+        if may_be_missing and _missing(error):
             return spark.createDataFrame([], MANIFEST)
         raise
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").partitionBy("target").parquet(path)
+    """By target, keys ascending in each file and from file to file."""
+    manifest.repartitionByRange("target", "key").sortWithinPartitions("target", "key").write.mode("overwrite").partitionBy("target").parquet(path)
 
 
 def read_raw(spark: SparkSession, root: str) -> DataFrame:
@@ -45,17 +54,33 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_clean(clean: DataFrame, path: str, force: bool = False) -> None:
-    """Write clean content by target: all anew with ``force``, else only paths not there yet."""
+    """Write clean content by target: all anew with ``force``, else only paths not there yet.
+
+    A page written before under the name of what has turned out to be a stylesheet or script
+    goes; only targets that have such a page are written anew.
+    """
     spark = clean.sparkSession
+    if not force:
+        try:
+            there = spark.read.parquet(path)
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+            force = True
     if force:
         clean.write.mode("overwrite").partitionBy("target").parquet(path)
         return
-    try:
-        there = spark.read.parquet(path).select("target", "path")
-        clean = clean.join(there, ["target", "path"], "left_anti")
-    except AnalysisException:
-        pass
-    clean.write.mode("append").partitionBy("target").parquet(path)
+    new = keep(clean.join(there.select("target", "path"), ["target", "path"], "left_anti"), "clean")
+    former = new.filter("media IN ('css', 'js')").select("target", F.regexp_replace("path", "[.](css|js)$", ".html").alias("path"))
+    stale = keep(there.select("target", "path").join(former, ["target", "path"], "left_semi"), "stale")
+    if stale.isEmpty():
+        new.write.mode("append").partitionBy("target").parquet(path)
+        return
+    touched = stale.select("target").distinct()
+    rest = there.join(touched, "target", "left_semi").join(stale, ["target", "path"], "left_anti")
+    anew = keep(rest.unionByName(new.join(touched, "target", "left_semi"), allowMissingColumns=True), "anew")
+    new.join(touched, "target", "left_anti").write.mode("append").partitionBy("target").parquet(path)
+    anew.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target").parquet(path)
 
 
 def write_index(index: DataFrame, path: str) -> None:

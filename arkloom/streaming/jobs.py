@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from arkloom.operators import captures, site
 
 
-def clean_stream(raw: DataFrame, manifest: Callable[[], DataFrame], scope: DataFrame, out: str, checkpoint: str, available_now: bool = True, ignore: tuple[str, ...] = ()) -> StreamingQuery:
+def clean_stream(raw: DataFrame, manifest: Callable[[], DataFrame], scope: DataFrame, out: str, checkpoint: str, available_now: bool = True, settings: captures.Settings | None = None) -> StreamingQuery:
     """Clean what arrives in the raw store (local_path, content) and append it below ``out``.
 
     The manifest is read anew for each batch. Paths written before are skipped, so a batch that
@@ -24,7 +24,7 @@ def clean_stream(raw: DataFrame, manifest: Callable[[], DataFrame], scope: DataF
             done = rows.sparkSession.read.parquet(out).select("path")
         except AnalysisException:
             done = None
-        clean = site.clean_site(manifest(), rows, scope, done, ignore=ignore)
+        clean = site.clean_site(manifest(), rows, scope, done, settings=settings)
         clean.write.mode("append").partitionBy("target").parquet(out)
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -34,16 +34,20 @@ def clean_stream(raw: DataFrame, manifest: Callable[[], DataFrame], scope: DataF
 def merge_stream(rows: DataFrame, settings: captures.Settings, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Build manifests from batches of captures and merge them below ``out``; rows that are there win.
 
-    Each batch writes a new version beside the last (out/v=<batch>), so a batch that is run
-    again replaces its own version only.
+    Each batch writes only the entries that the batches before it lack, beside theirs
+    (out/v=<batch>), so a batch that is run again replaces its own and the work does not grow
+    with what is there but for its keys. The manifest is the whole table ``out``.
     """
 
     def batch(new: DataFrame, n: int) -> None:
         spark = new.sparkSession
         fresh = captures.build_manifest(new, settings)
-        old = spark.read.parquet(f"{out}/v={n - 1}") if n else None
-        merged = fresh if old is None else captures.merge_manifest(old, fresh, settings.ignore)
-        merged.write.mode("overwrite").parquet(f"{out}/v={n}")
+        try:
+            fresh = captures.new_entries(spark.read.parquet(out).filter(F.col("v") < n).drop("v"), fresh, settings.ignore)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        fresh.write.mode("overwrite").parquet(f"{out}/v={n}")
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")).start()
