@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from arkloom.functions import urls
 from arkloom.operators import captures, content, site
 from arkloom.plans import fixtures as fx
 from arkloom.streaming import jobs
+from arkloom.work import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,22 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the shared one; a local one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _saver(spark: SparkSession):
-    root = _shared(spark)
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return save
-
-
 def _sql_key(url: str, ignore: str = "") -> str:
     """The canonical key in SQL, for URLs that need no decoding."""
     q = f"CASE WHEN contains({url}, '?') THEN substr({url}, strpos({url}, '?') + 1) ELSE '' END"
@@ -156,14 +140,14 @@ def counts_by_target(spark, d):
     return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("n_urls"))
 
 
-@query()
+@query(f"WITH {fx.PATHS} SELECT {BASE} AS original, local_path FROM paths_v JOIN pages USING (page_id)")
 def assign_local_paths(spark, d):
-    return captures.assign_local_paths(fx.manifest(spark, d).drop("local_path").withColumn("prefix", F.col("target")), "key_seq").select("original", "local_path")
+    return captures.assign_local_paths(fx.whole_manifest(spark, d).drop("local_path").withColumn("prefix", F.col("target")), "key_seq").select("original", "local_path")
 
 
-@query()
+@query(f"WITH {fx.PATHS} SELECT {BASE} AS original, {_sql_key(BASE)} AS key, local_path FROM paths_v JOIN pages USING (page_id)")
 def remap_manifest(spark, d):
-    return captures.remap_manifest(fx.manifest(spark, d)).select("original", "key", "local_path")
+    return captures.remap_manifest(fx.whole_manifest(spark, d)).select("original", "key", "local_path")
 
 
 @query(rf"""WITH p AS (SELECT regexp_replace(split_part({BASE}, '?', 1), '^https?://[^/]*', '') AS path, contains({BASE}, '?') AS q FROM pages),
@@ -174,11 +158,16 @@ def directory_stems(spark, d):
     return captures.directory_stems(parts).select("stem_key")
 
 
-@query(f"WITH {fx.MANIFEST}, n AS (SELECT key FROM manifest_v UNION SELECT {_sql_key(BASE)} FROM pages WHERE page_id % 5 = 0) SELECT key FROM n")
+@query(f"""WITH {fx.MANIFEST}, k AS (SELECT page_id, {BASE} AS original, {_sql_key(BASE)} AS key FROM pages),
+n AS (SELECT k.* FROM k WHERE key NOT IN (SELECT key FROM manifest_v)),
+p AS (SELECT *, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS r, EXISTS (SELECT 1 FROM manifest_v m WHERE m.local_path = 'site/' || (n.page_id % 10 + 1) || '.html') AS there FROM n)
+SELECT original, key, local_path, timestamp FROM manifest_v UNION ALL
+SELECT original, key, 'site/' || (page_id % 10 + 1) || CASE WHEN r + CAST(there AS INT) = 1 THEN '' ELSE '_' || (r + CAST(there AS INT)) END || '.html', '2014' FROM p""")
 def merge_manifest(spark, d):
-    base = urls.without_fragment(F.col("url"))
-    new = fx.pages(spark, d).select(base.alias("original"), F.col("page_id").alias("key_seq"), F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("local_path"), F.lit("site").alias("target"))
-    return captures.merge_manifest(fx.manifest(spark, d), new).select("key").distinct()
+    # Every page again, under few names, most of them taken.
+    i = F.col("page_id")
+    new = fx.pages(spark, d).select(urls.without_fragment(F.col("url")).alias("original"), i.alias("key_seq"), F.concat(F.lit("site/"), (i % 10 + 1).cast("string"), F.lit(".html")).alias("local_path"), F.lit("2014").alias("timestamp"), F.lit("site").alias("target"))
+    return captures.merge_manifest(fx.manifest(spark, d), new).select("original", "key", "local_path", "timestamp")
 
 
 # --- progress and maps ---------------------------------------------------------------
@@ -197,9 +186,13 @@ def run_progress(spark, d):
     return site.run_progress(m, fx.raw(spark, d), m.filter("key_seq % 3 = 1"), log)
 
 
-@query(f"WITH {fx.MANIFEST} SELECT key, path FROM url_map_v")
+@query(f"""WITH {fx.MANIFEST} SELECT key, arg_max(path, (src, k)) AS path FROM (
+  SELECT key, local_path AS path, 0 AS src, key_seq AS k FROM whole_v UNION ALL
+  SELECT key, concat('site/_external/', key_seq, '.html'), 1, key_seq FROM whole_v WHERE key_seq % 7 = 0 AND key_seq % 2 = 0) GROUP BY key""")
 def url_map(spark, d):
-    return site.build_url_map(fx.manifest(spark, d))
+    whole = fx.whole_manifest(spark, d)
+    other = whole.filter("key_seq % 7 = 0").withColumn("local_path", F.concat(F.lit("site/_external/"), F.col("key_seq").cast("string"), F.lit(".html")))
+    return site.build_url_map(whole, other, other.filter("key_seq % 2 = 0"))
 
 
 @query(f"WITH {fx.MANIFEST} SELECT page_id, {_sql_key(BASE)} AS key FROM pages WHERE {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v)")
@@ -231,14 +224,17 @@ def link_counts(spark, d):
     return classify_links(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_TITLE = "coalesce(nullif(trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')), ''), url)"
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
 def page_title(spark, d):
     return fx.pages(spark, d).select("page_id", content.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
-@query()
+@query(f"SELECT 'site' AS target, concat(page_id, '.html') AS rel_path, {_TITLE} AS title, count(*) OVER () AS n_pages FROM pages")
 def page_index(spark, d):
-    rows = fx.manifest(spark, d).join(fx.pages(spark, d).select(F.col("page_id").alias("key_seq"), "html", "url"), "key_seq")
+    rows = fx.whole_manifest(spark, d).join(fx.pages(spark, d).select(F.col("page_id").alias("key_seq"), "html", "url"), "key_seq")
     return site.page_index(rows.select("target", "local_path", content.page_title(F.col("html"), F.col("url")).alias("title")))
 
 
@@ -254,10 +250,14 @@ def external_refs(spark, d):
     return site.external_references(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), "page_id").select("base", "kind", "n_pages")
 
 
-@query(f"WITH {_REFS} SELECT kind, count(*) AS n, count(DISTINCT base) AS n_bases FROM r GROUP BY kind")
+_FETCH = """CASE WHEN base LIKE 'http://cdn%/i%' THEN concat('https://web.archive.org/web/20130101000000im_/', base)
+  WHEN kind = 'iframe' THEN concat('https://web.archive.org/web/20130101000000if_/', base) ELSE concat('https://web.archive.org/web/id_/', base) END"""
+
+
+@query(f"WITH {_REFS} SELECT base, min({_FETCH}) AS fetch_url, min(kind) AS kind, min(page_id) AS found_in, count(DISTINCT page_id) AS n_pages FROM r GROUP BY base")
 def dedupe_references(spark, d):
-    refs = site.asset_references(fx.archived(spark, d))
-    return refs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("base").alias("n_bases"))
+    refs = site.asset_references(fx.archived(spark, d)).withColumn("found_in", F.col("page_id"))
+    return site.dedupe_references(refs, F.struct("page_id", "grp", "ord")).drop("first")
 
 
 @query(f"WITH {fx.MANIFEST} SELECT DISTINCT {BASE} AS base FROM pages WHERE (ends_with('.' || {HOST}, '.example.com') OR ends_with('.' || {HOST}, '.example.net')) AND {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v)")
@@ -284,18 +284,47 @@ def css_rewrite(spark, d):
     return content.rewrite_css(sheets, known).select("page_id", "css")
 
 
-@query("""SELECT page_id, CASE WHEN k = 0 THEN 'archive' ELSE 'kept' END AS state, count(*) AS n FROM pages CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k) GROUP BY ALL""")
+@query(f"""WITH {_REFS} SELECT page_id, base, CASE WHEN base LIKE '%/i1.png' OR kind = 'iframe' THEN 'local' WHEN base LIKE 'http://cdn%/i%' THEN 'archive' ELSE 'kept' END AS state,
+CASE WHEN base LIKE '%/i1.png' THEN concat('_external/', page_id % 3, '.png') WHEN kind = 'iframe' THEN concat('_external/w', page_id % 4, '.html')
+WHEN base LIKE 'http://cdn%/i%' THEN {_FETCH} ELSE base END AS new FROM r""")
 def asset_rewrite(spark, d):
-    refs = content.extract_references(fx.archived(spark, d).select("page_id", "url", "html")).filter(content.is_asset_reference())
-    return site.rewrite_assets(refs, site.build_url_map(fx.manifest(spark, d))).groupBy("page_id", "state").agg(F.count(F.lit(1)).alias("n"))
+    refs = content.extract_references(fx.archived(spark, d).select("page_id", "url", "html", "local_path")).filter(content.is_asset_reference())
+    known = fx.pages(spark, d).select(
+        F.explode(F.array(
+            F.struct(F.concat(F.lit("http://cdn"), (F.col("page_id") % 3).cast("string"), F.lit(".test/i1.png")).alias("key"), F.concat(F.lit("site/_external/"), (F.col("page_id") % 3).cast("string"), F.lit(".png")).alias("path")),
+            F.struct(F.concat(F.lit("http://widgets.test/w?id="), (F.col("page_id") % 4).cast("string")).alias("key"), F.concat(F.lit("site/_external/w"), (F.col("page_id") % 4).cast("string"), F.lit(".html")).alias("path")),
+        )).alias("e")
+    ).select("e.*").distinct()
+    base = F.coalesce(urls.unwrap_archive_url(F.col("value")), F.col("value"))
+    return site.rewrite_assets(refs, known, from_path=F.col("local_path")).select("page_id", base.alias("base"), "state", "new")
+
 
+_EXTERNAL = f"""e AS (SELECT base AS original, {_FETCH} AS fetch_url, kind, CASE WHEN base LIKE 'http://cdn%/i%' OR kind = 'iframe' THEN '20130101000000' ELSE '' END AS timestamp,
+  'site/_external/' || CASE WHEN kind = 'iframe' THEN 'widgets.test/w/id/' || right(base, 1) || '.html' WHEN base LIKE '%.css?v=%' THEN 'cdn1.test/s.css/v/' || right(base, 1) || '.html' ELSE substr(base, 8) END AS local_path
+  FROM (SELECT DISTINCT base, kind FROM r)),
+x AS (SELECT original, original AS key, timestamp, CASE WHEN kind = 'iframe' THEN concat('https://web.archive.org/web/20130101000000/', original)
+  WHEN timestamp <> '' THEN concat('https://web.archive.org/web/20130101000000id_/', original) ELSE fetch_url END AS wayback_url, local_path, kind FROM e)"""
 
-@query()
+
+@query(f"WITH {_REFS}, {_EXTERNAL} SELECT * FROM x")
 def external_paths(spark, d):
     refs = site.external_references(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), "page_id")
     return site.external_entries(refs, "site").select("original", "key", "timestamp", "wayback_url", "local_path", "kind")
 
 
+@query(f"""WITH {fx.MANIFEST}, n AS (SELECT page_id, {BASE} AS base, {_sql_key(BASE)} AS key FROM pages WHERE ends_with('.' || {HOST}, '.example.com') OR ends_with('.' || {HOST}, '.example.net'))
+SELECT base, concat('https://web.archive.org/web/20130101000000id_/', base, '#top') AS wayback_url, '20130101000000' AS timestamp, 0 AS wave FROM n WHERE key NOT IN (SELECT key FROM manifest_v)
+UNION ALL SELECT 'http://www.example.com/main.css', 'https://web.archive.org/web/id_/http://www.example.com/main.css', '', 0
+UNION ALL SELECT DISTINCT concat('http://www.example.com/img/', page_id % 4, '.png'), concat('http://www.example.com/img/', page_id % 4, '.png'), '', 1 FROM pages""")
+def discover_inscope(spark, d):
+    # Clean pages still name what the manifest lacks; a stylesheet found there names images.
+    clean = fx.archived(spark, d).select("local_path", F.concat(F.lit('<link rel="stylesheet" href="http://www.example.com/main.css">'), "html").alias("html"))
+    images = fx.pages(spark, d).select((F.col("page_id") % 4).alias("i")).distinct().agg(F.array_join(F.collect_list(F.concat(F.lit("a{background:url(http://www.example.com/img/"), F.col("i").cast("string"), F.lit(".png)}"))), " ").alias("css"))
+    archive = images.select(F.lit("http://www.example.com/main.css").alias("key"), F.encode("css", "UTF-8").alias("content"))
+    found = site.discover_inscope(clean, fx.scope(spark), fx.manifest(spark, d), archive, "site")
+    return found.select(F.col("original").alias("base"), "wayback_url", "timestamp", "wave")
+
+
 @query(f"WITH {fx.MANIFEST}, {_REFS} SELECT DISTINCT local_path FROM manifest_v JOIN r ON r.page_id = key_seq WHERE base LIKE 'http://cdn0.test/i%'")
 def affected_pages(spark, d):
     pages = fx.archived(spark, d)
@@ -303,10 +332,20 @@ def affected_pages(spark, d):
     return site.affected_pages(refs, refs.filter("base LIKE 'http://cdn0.test/i%'"), fx.manifest(spark, d)).select("local_path")
 
 
-@query()
+def _widgets(spark, d):
+    """(key, content) of the widgets and stylesheets that the archived pages load."""
+    i = F.col("page_id")
+    widget = F.struct(F.concat(F.lit("http://widgets.test/w?id="), (i % 4).cast("string")).alias("key"), F.lit('<img src="http://deep.test/x.png">').alias("text"))
+    sheet = F.struct(F.concat(F.lit("http://cdn1.test/s.css?v="), (i % 2).cast("string")).alias("key"), F.lit('p{background:url("b.png")}').alias("text"))
+    return fx.pages(spark, d).select(F.explode(F.array(widget, sheet)).alias("e")).distinct().select("e.key", F.encode("e.text", "UTF-8").alias("content"))
+
+
+@query(f"""WITH {_REFS}, {_EXTERNAL} SELECT original, local_path, kind, timestamp, 0 AS wave FROM x
+UNION ALL SELECT 'http://deep.test/x.png', 'site/_external/deep.test/x.png', 'asset', '', 1
+UNION ALL SELECT 'http://cdn1.test/b.png', 'site/_external/cdn1.test/b.png', 'asset', '', 1""")
 def external_waves(spark, d):
-    archive = fx.pages(spark, d).select(F.concat(F.lit("http://widgets.test/w?id="), (F.col("page_id") % 4).cast("string")).alias("key"), F.lit('<img src="http://deep.test/x.png">').alias("html"), F.lit("html").alias("media")).distinct()
-    return site.discover_external(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), archive, "site", _saver(spark)).select("original", "local_path", "kind", "wave")
+    found = site.discover_external(fx.archived(spark, d), fx.scope(spark), fx.manifest(spark, d), _widgets(spark, d), "site")
+    return found.select("original", "local_path", "kind", "timestamp", "wave")
 
 
 # --- content -------------------------------------------------------------------------
@@ -319,44 +358,87 @@ def detect_media(spark, d):
     return media.select("page_id", "media", content.effective_path(F.col("p"), F.col("media")).alias("path"))
 
 
-@query()
+_CLEAN_LINKS = f"""l AS (SELECT page_id, value, url, target FROM links_v UNION ALL
+  SELECT page_id, concat('https://web.archive.org/web/20130101000000/', {BASE}, '#top'), url, {BASE} || '#top' FROM pages UNION ALL
+  SELECT page_id, 'http://outside.test/x', url, 'http://outside.test/x' FROM pages),
+k AS (SELECT *, regexp_extract(target, '^https?://([^/?#]*)', 1) AS host, {_sql_key("regexp_replace(target, '#.*$', '')")} AS key, CASE WHEN contains(target, '#') THEN '#top' ELSE '' END AS frag FROM l)"""
+
+
+@query(f"""WITH {fx.MANIFEST}, {fx.LINKS}, {_CLEAN_LINKS}
+SELECT page_id, CASE WHEN path IS NOT NULL THEN substr(path, 6) || frag WHEN ends_with('.' || host, '.example.com') OR ends_with('.' || host, '.example.net') THEN '#' ELSE value END AS value FROM k LEFT JOIN url_map_v USING (key)""")
 def clean_pages(spark, d):
     out = site.clean_pages(fx.archived(spark, d), site.build_url_map(fx.manifest(spark, d)), fx.scope(spark), css_href="/style.css", js_href="/script.js")
-    return out.select("page_id", "html")
+    return content.extract_links(out.select("page_id", "html")).select("page_id", "value")
+
+
+@query("SELECT page_id, concat('/style.css|https://web.archive.org/web/20130101000000im_/http://cdn', page_id % 3, '.test/i', page_id % 10, '.png') AS loaded, false AS archived FROM pages")
+def clean_page_assets(spark, d):
+    out = site.clean_pages(fx.archived(spark, d), site.build_url_map(fx.manifest(spark, d)), fx.scope(spark), css_href="/style.css")
+    first = lambda p: F.regexp_extract("html", p, 1)
+    loaded = F.concat_ws("|", first('<link rel="stylesheet" href="([^"]*)"'), first('<img src="([^"]*)"'))
+    return out.select("page_id", loaded.alias("loaded"), F.contains("html", F.lit('src="/web/')).alias("archived"))
+
 
+_SITE = f"SELECT 'site' AS target, concat('site/', page_id, '.html') AS path, 'html' AS media, {_TITLE} AS title FROM pages"
 
-@query()
+
+@query(_SITE)
 def clean_site(spark, d):
     raw = fx.archived(spark, d).select("local_path", F.encode("html", "UTF-8").alias("content"))
-    return site.clean_site(fx.manifest(spark, d), raw, fx.scope(spark)).select("target", "path", "media", "title", F.sha2("content", 256).alias("digest"))
+    return site.clean_site(fx.whole_manifest(spark, d), raw, fx.scope(spark)).select("target", "path", "media", "title")
+
+
+@query(f"{_MANIFEST_SQL} SELECT target, key FROM c UNION ALL SELECT 'com', concat('http://cdn', i, '.test/i.png') FROM (SELECT DISTINCT page_id % 3 AS i FROM pages)")
+def archive_pipeline(spark, d):
+    rows, settings = fx.captures(spark, d), fx.EXTERNAL
+    html = F.concat("html", F.lit('<img src="http://cdn'), (F.col("page_id") % 3).cast("string"), F.lit('.test/i.png">'))
+    archive = fx.pages(spark, d).select(urls.normalize_url(F.col("url"), settings.ignore).alias("key"), F.encode(html, "UTF-8").alias("content"))
+    images = fx.pages(spark, d).select(F.concat(F.lit("http://cdn"), (F.col("page_id") % 3).cast("string"), F.lit(".test/i.png")).alias("key"), F.encode(F.lit("GIF\x00"), "UTF-8").alias("content")).distinct()
+    archive = archive.unionByName(images).groupBy("key").agg(F.min("content").alias("content"))
+    manifest, external, clean = site.archive_pipeline(rows, settings, archive)
+    entries = manifest.select("target", "key", "local_path").union(external.select("target", "key", "local_path"))
+    return entries.join(clean.select(F.col("path").alias("local_path")), "local_path").select("target", "key")
+
+
+@query(f"WITH {fx.MANIFEST} SELECT local_path FROM whole_v WHERE key_seq % 3 = 1 AND key_seq % 10 <> 1")
+def reclean_affected(spark, d):
+    # Images of one server have come; the pages that load them are cleaned again.
+    pages = fx.archived(spark, d)
+    raw = pages.select("local_path", F.encode("html", "UTF-8").alias("content"))
+    clean = pages.select("local_path", "html", F.lit("html").alias("media"))
+    obtained = pages.filter("page_id % 10 <> 1").select(F.concat(F.lit("http://cdn1.test/i"), (F.col("page_id") % 10).cast("string"), F.lit(".png")).alias("original")).distinct()
+    return site.reclean_affected(clean, obtained, fx.whole_manifest(spark, d), raw, fx.scope(spark)).select(F.col("path").alias("local_path"))
 
 
 # --- streams -------------------------------------------------------------------------
 
 
-def _in_files(spark: SparkSession, rows: DataFrame, root: str, files: int = 4) -> DataFrame:
-    rows.repartition(files).write.parquet(root)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+def _in_files(rows: DataFrame, root: str) -> DataFrame:
+    """``rows`` as a stream of at least two batches: a written table, about half its files at a time."""
+    spark = rows.sparkSession
+    rows.repartition(max(2, rows.rdd.getNumPartitions())).write.parquet(root)
+    files = spark.read.parquet(root).select("_metadata.file_path").distinct().count()
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // 2)).parquet(root)
 
 
-@query()
+@query(_SITE)
 def clean_stream(spark, d):
-    root = _shared(spark)
+    root = work_dir(spark, "clean_stream")
     raw = fx.archived(spark, d).select("local_path", F.encode("html", "UTF-8").alias("content"))
-    jobs.clean_stream(_in_files(spark, raw, f"{root}/raw", 2), lambda: fx.manifest(spark, d), fx.scope(spark), f"{root}/clean", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/clean").select("target", "path", "media", "title", F.sha2("content", 256).alias("digest"))
+    jobs.clean_stream(_in_files(raw, f"{root}/raw"), lambda: fx.whole_manifest(spark, d), fx.scope(spark), f"{root}/clean", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/clean").select("target", "path", "media", "title")
 
 
-@query(f"{_MANIFEST_SQL} SELECT DISTINCT key FROM c")
+@query(f"{_MANIFEST_SQL} SELECT target, key, count(*) AS n FROM c GROUP BY ALL")
 def merge_stream(spark, d):
-    root = _shared(spark)
-    jobs.merge_stream(_in_files(spark, fx.captures(spark, d), f"{root}/captures", 2), fx.SETTINGS, f"{root}/manifest", f"{root}/state").awaitTermination()
-    return spark.read.parquet(f"{root}/manifest/v=1").select("key").distinct()
+    root = work_dir(spark, "merge_stream")
+    jobs.merge_stream(_in_files(fx.captures(spark, d), f"{root}/captures"), fx.SETTINGS, f"{root}/manifest", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/manifest").groupBy("target", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {fx.MANIFEST} SELECT target, CASE WHEN key_seq % 6 = 0 THEN 'fail' ELSE 'ok' END AS outcome, count(*) AS n FROM manifest_v GROUP BY ALL")
 def progress_stream(spark, d):
-    root, name = _shared(spark), f"progress_{uuid.uuid4().hex}"
+    root, name = work_dir(spark, "progress_stream"), f"progress_{uuid.uuid4().hex}"
     log = fx.manifest(spark, d).select("target", F.when(F.col("key_seq") % 6 == 0, F.lit("fail")).otherwise(F.lit("ok")).alias("outcome"))
-    jobs.progress_stream(_in_files(spark, log, f"{root}/log"), name, f"{root}/state").awaitTermination()
+    jobs.progress_stream(_in_files(log, f"{root}/log"), name, f"{root}/state").awaitTermination()
     return spark.table(name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SETTINGS = Settings(
     targets=(Target("com", "example.com", exclude=("/de/",)), Target("net", "example.net", exclude=("/de/",))),
 )
 
+EXTERNAL = replace(SETTINGS, external_asset=True)
+
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
@@ -46,10 +50,14 @@ captures_v AS (SELECT *, regexp_replace(regexp_replace(original, '#.*$', ''), '^
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four fifths of the pages as captured."""
+    """Four fifths of the pages as captured, so that links are dead and entries unknown."""
+    return whole_manifest(spark, sf_dir).filter("key_seq % 5 <> 0")
+
+
+def whole_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captured."""
     base = F.regexp_replace("url", "#.*$", "")
-    rows = pages(spark, sf_dir).filter("page_id % 5 <> 0")
-    return rows.select(
+    return pages(spark, sf_dir).select(
         F.col("page_id").alias("key_seq"), base.alias("original"), F.regexp_replace(base, "(.)/$", "$1").alias("key"),
         F.concat(F.lit("2013"), F.lpad((F.col("page_id") % 12 + 1).cast("string"), 2, "0"), F.lit("01000000")).alias("timestamp"),
         F.concat(F.lit("site/"), F.col("page_id").cast("string"), F.lit(".html")).alias("local_path"), F.lit("site").alias("target"),
@@ -57,10 +65,11 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MANIFEST = r"""
-manifest_v AS (SELECT page_id AS key_seq, regexp_replace(url, '#.*$', '') AS original,
+whole_v AS (SELECT page_id AS key_seq, regexp_replace(url, '#.*$', '') AS original,
   regexp_replace(regexp_replace(url, '#.*$', ''), '(.)/$', '\1') AS key,
   concat('2013', lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0'), '01000000') AS timestamp,
-  concat('site/', CAST(page_id AS VARCHAR), '.html') AS local_path, 'site' AS target FROM pages WHERE page_id % 5 <> 0),
+  concat('site/', CAST(page_id AS VARCHAR), '.html') AS local_path, 'site' AS target FROM pages),
+manifest_v AS (SELECT * FROM whole_v WHERE key_seq % 5 <> 0),
 url_map_v AS (SELECT key, arg_max(local_path, key_seq) AS path FROM manifest_v GROUP BY key),
 raw_v AS (SELECT local_path FROM manifest_v WHERE key_seq % 3 <> 0)"""
 
@@ -99,3 +108,15 @@ sheets_v AS (SELECT page_id, concat('a{background:url(http://cdn', CAST(page_id
 LINKS = r"""
 links_v AS (SELECT page_id, url, ord, value, CASE WHEN value LIKE '/%' THEN concat(regexp_extract(url, '^(https?://[^/?#]*)', 1), value) ELSE value END AS target
   FROM (SELECT page_id, url, unnest(hrefs) AS value, unnest(range(len(hrefs))) AS ord FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS hrefs FROM pages)))"""
+
+
+PATHS = r"""
+p AS (SELECT page_id, url, regexp_replace(split_part(regexp_replace(url, '#.*$', ''), '?', 1), '^https?://[^/]*', '') AS path,
+  CASE WHEN contains(url, '?') THEN split_part(regexp_replace(url, '#.*$', ''), '?', 2) ELSE '' END AS q FROM pages),
+s AS (SELECT page_id, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[^A-Za-z0-9._()-]', '_', 'g'), '(?i)^(.+)\.(html|htm|php)$', '\1')) AS stem,
+  list_filter(string_split_regex(q, '[&=]'), lambda x: x <> '') AS parts, ends_with(path, '/') AND path <> '/' AS slash FROM p),
+folders AS (SELECT array_to_string(stem[1:i], '/') AS stem_key FROM (SELECT stem, unnest(range(1, len(stem))) AS i FROM s) UNION SELECT array_to_string(stem, '/') FROM s WHERE len(parts) > 0 OR slash),
+named AS (SELECT page_id, 'site/' || CASE WHEN len(parts) > 0 THEN array_to_string(stem || parts, '/') || '.html' WHEN len(stem) = 0 THEN 'index.html'
+  WHEN array_to_string(stem, '/') IN (SELECT stem_key FROM folders) THEN array_to_string(stem, '/') || '/index.html' ELSE array_to_string(stem, '/') || '.html' END AS path FROM s),
+placed AS (SELECT page_id, path, row_number() OVER (PARTITION BY path ORDER BY page_id) AS n FROM named),
+paths_v AS (SELECT page_id, CASE WHEN n = 1 THEN path ELSE regexp_replace(path, '\.html$', '') || '_' || n || '.html' END AS local_path FROM placed)"""
