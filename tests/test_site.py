@@ -1,10 +1,13 @@
+import json
 import random
+import time
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
 
 from arkloom.functions import urls
 from arkloom.operators import captures, content, site
+from arkloom.sources import tables
 
 
 def values(spark, rows, schema, *columns):
@@ -47,11 +50,9 @@ def test_local_paths(spark):
     assert got == {"/": "index.html", "/index.php": "index_2.html", "/a": "a/index.html", "/a/b.asp": "a/b.html", "/p.php?k=1": "p/k/1.html", "/i.png": "i.png"}
 
 
-def test_unique_paths_equal_sequential_ones(spark):
-    rng = random.Random(5)
-    names = [rng.choice(["a.html", "a_2.html", "a_3.html", "b.png", "b.png_2", "c.html"]) for _ in range(60)]
-    used, want = {"a.html", "c.html"}, []
-    taken = set(used)
+def sequential_paths(names, used):
+    """The rule itself: one name after the other."""
+    taken, out = set(used), []
     for name in names:
         html = name.endswith(".html")
         stem, n, found = name[:-5] if html else name, 1, name
@@ -59,10 +60,50 @@ def test_unique_paths_equal_sequential_ones(spark):
             n += 1
             found = f"{stem}_{n}" + ".html" * html
         taken.add(found)
-        want.append(found)
-    rows = spark.createDataFrame([(i, x, "p") for i, x in enumerate(names)], "n long, path string, prefix string").repartition(3)
-    there = spark.createDataFrame([("p", x) for x in used], "prefix string, path string")
-    assert [r["path"] for r in captures.dedupe_paths(rows, "n", used=there).orderBy("n").collect()] == want
+        out.append(found)
+    return out
+
+
+def test_unique_paths_equal_sequential_ones(spark):
+    rng = random.Random(5)
+    pools = [
+        (["a.html", "a_2.html", "a_3.html", "b.png", "b.png_2", "c.html"], ["a.html", "c.html", "a_2_2.html"]),
+        (["i", "i_2", "i_2_2", "i_3", "i_02", "i_1", "i.html_2", "i.html", "i_2.html"], []),
+        ([f"n_{k}.html" for k in range(40)] + ["n.html"] * 3, ["n_7.html", "n.html"]),
+        (["x.html"] * 3 + [f"y{k}" for k in range(20)], ["x_5.html"]),
+    ]
+    rows, there, want = [], [], {}
+    for p, (pool, used) in enumerate(pools * 4):
+        names = [rng.choice(pool) for _ in range(60)]
+        want |= {(f"p{p}", i): x for i, x in enumerate(sequential_paths(names, used))}
+        rows += [(i, x, f"p{p}", "kept") for i, x in enumerate(names)]
+        there += [(f"p{p}", x) for x in used]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "n long, path string, prefix string, more string")
+    got = captures.dedupe_paths(table, "n", used=spark.createDataFrame(there, "prefix string, path string"))
+    assert got.columns == table.columns and {(r["prefix"], r["n"]): r["path"] for r in got.collect()} == want
+
+
+def test_a_family_without_duplicates_needs_no_walk(spark):
+    names = spark.range(100_000).select(F.col("id").alias("n"), F.concat(F.lit("p_"), "id", F.lit(".html")).alias("path"), F.lit("s").alias("prefix"))
+    more = names.union(spark.createDataFrame([(100_000, "p_5.html", "s"), (100_001, "p_5.html", "s")], names.schema))
+    got = captures.dedupe_paths(more, "n")
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+    assert got.select("path").distinct().count() == 100_002
+    assert {r["n"]: r["path"] for r in got.filter("n >= 99999").collect()} == {99_999: "p_99999.html", 100_000: "p_5_2.html", 100_001: "p_5_3.html"}
+
+
+def test_index_responses_become_a_manifest(spark, tmp_path):
+    head = ["urlkey", "timestamp", "original", "statuscode", "mimetype", "digest"]
+    row = lambda k, ts: [f"com,a)/{k}", ts, f"http://a.com/{k}", "200", "text/html", "d"]
+    (tmp_path / "b.json").write_text(json.dumps([head, row("x", "20130101000000"), row("y", "20130101000000"), [], ["resume"]]))
+    (tmp_path / "a.json").write_text(json.dumps([head, row("x", "20120101000000")]))
+    (tmp_path / "c.json").write_text("[]")
+    found = tables.read_cdx(spark, f"file://{tmp_path}")
+    assert [(r["timestamp"], r["original"][-1]) for r in found.orderBy("seq").collect()] == [("20120101000000", "x"), ("20130101000000", "x"), ("20130101000000", "y")]
+    settings = captures.Settings(snapshot="first", targets=(captures.Target("t", "a.com"), captures.Target("e", "http://a.com/y", match="exact")))
+    got = captures.build_manifest(found, settings).orderBy("target_ord", "key").collect()
+    assert [(r["target"], r["key"], r["timestamp"], r["local_path"]) for r in got] == [("t", "http://a.com/x", "20120101000000", "t/x.html"), ("t", "http://a.com/y", "20130101000000", "t/y.html"), ("e", "http://a.com/y", "20130101000000", "e/y.html")]
 
 
 def test_closest_is_a_distance_of_digits(spark):
@@ -89,3 +130,85 @@ def test_clean_page(spark):
     assert "wm-ipp" not in out and "ARCHIVED" not in out and 'var t="</p>"' in out and "<base" not in out
     assert '<a href="b.html#f">b</a>' in out and 'href="#"' in out and 'data-broken="http://a.com/gone"' in out and 'class="k dead"' in out
     assert '<a href="http://o.test/">' in out and 'src="https://web.archive.org/web/2013im_/http://c.test/i.png"' in out
+
+
+def rewritten(html, *edits):
+    return content._rewritten(html, [dict(zip(("ord", "attr", "old", "new", "dead"), e)) for e in edits], None, None, False)
+
+
+def test_edits_stand_where_they_belong():
+    assert rewritten('<a title="go href=/b now" href="/b">', (0, "href", "/b", "x.html", None)) == '<a title="go href=/b now" href="x.html">'
+    assert rewritten('<style>a{b:url(a.png)} c{d:url( "xa.png" )}</style>', (0, "text", "a.png", "../l/a.png", None)) == '<style>a{b:url("../l/a.png")} c{d:url( "xa.png" )}</style>'
+    assert rewritten('<p style="b:url(a.png?x=1&amp;y=2)">', (0, "style", "a.png?x=1&y=2", "l/a.png", None)) == '<p style="b:url(&quot;l/a.png&quot;)">'
+    assert rewritten("<a href=/x/ ><b>", (0, "href", "/x/", "#", "http://d/")) == '<a href="#" data-broken="http://d/" class="dead" ><b>'
+    assert rewritten("<a class=k href='/y' id=z/>", (0, "href", "/y", "#", "http://e")) == '<a class="k dead" href="#" id=z/ data-broken="http://e">'
+
+
+def test_titles_and_references_of_one_pass():
+    assert content._scanned("<!-- <title>old</title> --><script>'<title>s</title>'</script><title> new &amp; x </title><h1>a</h1>")[0] == "new & x"
+    assert content._scanned("<title></title><h1>x</h1>")[0] == ""
+    assert content._scanned("<h1> a <b> b </b><!-- c -->d</h1>e")[0] == "abd"
+    assert [r[3:] for r in content._scanned("<title>x<a href='/k&amp;l' rel=r>")[1]] == [("href", "r", "/k&l")]
+    assert [r[5] for r in content._scanned('<script>"<img src=no>"</script><img src=a><textarea><img src=no></textarea><img src = "b">')[1]] == ["a", "b"]
+
+
+def test_hostile_markup_takes_linear_time():
+    for bad in ("<a ", "<p class='", '<p class="a', "<!--", "</", "<script>", "<title>", "<h1>", "=\"'<x ", '<a href="', "<a b= "):
+        text, began = bad * (500_000 // len(bad)), time.process_time()
+        content._scanned(text)
+        content._rewritten(text, [], None, None, True)
+        assert time.process_time() - began < 20, bad
+
+
+def test_externals_are_numbered_in_order(spark):
+    found = [(f"http://x.test/{'p' if k % 2 else 'P'}?{k}#f" if k % 100 == 0 else f"http://x.test/p_{k}", k) for k in range(1000)]
+    refs = spark.createDataFrame(found, "base string, k long").select("base", F.concat(F.lit("https://web.archive.org/web/2013id_/"), "base").alias("fetch_url"), F.lit("asset").alias("kind"), F.lit("a").alias("found_in"), F.lit(1).alias("n_pages"), F.struct("k").alias("first"))
+    got = site.external_entries(refs.repartition(7), "t").orderBy("key_seq").collect()
+    assert [r["original"] for r in got] == [u for u, _ in found] and len({r["local_path"] for r in got}) == 1000
+    assert got[5]["local_path"] == "t/_external/x.test/p_5.html" and got[5]["timestamp"] == "2013"
+
+
+def test_no_broadcast_changes_nothing(spark, monkeypatch):
+    import arkloom.work
+
+    rows = spark.createDataFrame([(i, x, "p") for i, x in enumerate(["a", "a_2", "a", "b", "b", "a_2"])], "n long, path string, prefix string")
+    want = [r["path"] for r in captures.dedupe_paths(rows, "n").orderBy("n").collect()]
+    assert want == sequential_paths([r["path"] for r in rows.orderBy("n").collect()], [])
+    for name in ("captures", "site"):
+        monkeypatch.setattr(f"arkloom.operators.{name}.broadcast_if_small", lambda df, most=0: df, raising=False)
+    monkeypatch.setattr(arkloom.work, "BROADCAST_ROWS", 0)
+    assert [r["path"] for r in captures.dedupe_paths(rows, "n").orderBy("n").collect()] == want
+    hosts, scope = spark.createDataFrame([("a.b.com",), ("c.org",)], "host string"), spark.createDataFrame([("b.com",)], "host string")
+    for most in (0, 10):
+        assert [r["host"] for r in site.in_scope(hosts, scope, most=most).collect()] == ["a.b.com"]
+
+
+def test_stale_pages_go(spark, tmp_path):
+    path = f"file://{tmp_path}/clean"
+    row = lambda t, p, m, c: (t, p, m, bytearray(c), "u")
+    schema = "target string, path string, media string, content binary, title string"
+    tables.write_clean(spark.createDataFrame([row("t", "t/a.html", "html", b"1"), row("t", "t/b.html", "html", b"1"), row("u", "u/a.html", "html", b"1")], schema), path)
+    tables.write_clean(spark.createDataFrame([row("t", "t/a.css", "css", b"2"), row("t", "t/b.html", "html", b"2"), row("u", "u/c.html", "html", b"2")], schema), path)
+    got = {(r["path"], bytes(r["content"])) for r in spark.read.parquet(path).collect()}
+    assert got == {("t/a.css", b"2"), ("t/b.html", b"1"), ("u/a.html", b"1"), ("u/c.html", b"2")}
+
+
+def test_a_site_with_external_content(spark):
+    manifest = spark.createDataFrame([("http://a.com/", "t", "t/index.html", 1), ("http://a.com/s", "t", "t/s.html", 2), ("http://a.com/f.bin", "t", "t/f.bin", 3), ("http://b.com/", "o", "o/index.html", 4)], "original string, target string, local_path string, key_seq long")
+    external = spark.createDataFrame([("http://c.test/i.png", "t", "t/_external/c.test/i.png", 1), ("http://c.test/gone.png", "t", "t/_external/c.test/gone.png", 2)], "original string, target string, local_path string, key_seq long")
+    page = '<title>T</title><link rel="stylesheet" href="/s"><img src="http://c.test/i.png"><img src="http://c.test/gone.png"><a href="http://a.com/f.bin">f</a>'
+    raw = spark.createDataFrame([("t/index.html", bytearray(page.encode())), ("t/s.html", bytearray(b"a{b:url(http://c.test/i.png)}")), ("t/f.bin", bytearray(b"x")), ("t/_external/c.test/i.png", bytearray(b"\0")), ("o/index.html", bytearray(page.encode()))], "local_path string, content binary")
+    scope = spark.createDataFrame([("a.com",), ("b.com",)], "host string")
+    settings = captures.Settings(targets=(captures.Target("t", "a.com", localize_assets=True), captures.Target("o", "b.com")))
+    out = {r["path"]: r for r in site.clean_site(manifest, raw, scope, external=external, settings=settings).collect()}
+    assert set(out) == {"t/index.html", "t/s.css", "t/f.bin", "t/_external/c.test/i.png", "o/index.html"}
+    html = bytes(out["t/index.html"]["content"]).decode()
+    assert 'href="s.css"' in html and 'src="_external/c.test/i.png"' in html and 'src="http://c.test/gone.png"' in html and 'href="f.bin"' in html
+    assert '<link rel="stylesheet" href="_style.css">' in html and '<script src="_site.js">' in html
+    other = bytes(out["o/index.html"]["content"]).decode()
+    assert 'src="http://c.test/i.png"' in other and 'href="../t/f.bin"' in other  # its assets stay, its links do not
+    assert bytes(out["t/s.css"]["content"]) == b'a{b:url("_external/c.test/i.png")}'
+    assert {p: r["title"] for p, r in out.items()} == {"t/index.html": "T", "t/s.css": "http://a.com/s", "t/f.bin": "http://a.com/f.bin", "t/_external/c.test/i.png": "http://c.test/i.png", "o/index.html": "T"}
+    one = site.clean_site(manifest, raw, scope, external=external, settings=settings, target="o").collect()
+    assert [r["path"] for r in one] == ["o/index.html"]
+    assert [r["local_path"] for r in site.scannable(manifest.withColumn("local_path", F.when(F.col("key_seq") == 4, F.lit("o/_i.html")).otherwise(F.col("local_path"))), raw).orderBy("local_path").collect()] == ["t/index.html", "t/s.html"]
