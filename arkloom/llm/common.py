@@ -1,34 +1,13 @@
-"""What the operators of this subpackage share: the shared work folder and written cuts."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arkloom.work import broadcast_if_small, keep, shared_dir, work_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI without a slash at its end.
-
-    It is read from ``spark.checkpoint.dir``. Only a local master may go without that
-    setting (tests); on a cluster a missing setting is an error, as a machine's own
-    temporary folder would be invisible to the other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+__all__ = ["broadcast_if_small", "fresh", "keep", "shared_dir", "small_batches", "text_or_empty", "work_dir"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's default.
 BATCH_BYTES = 8 << 20
@@ -46,18 +25,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    This cuts the lineage: what follows survives lost executors without computing ``df``
-    again, and several readers don't compute it twice.
-    """
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores at its end until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}
@@ -68,11 +35,3 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``most`` rows; else Spark shuffles as it sees fit.
-
-    ``df`` is counted up to that bound, so it should be a written table.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

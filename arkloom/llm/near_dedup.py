@@ -26,7 +26,8 @@ BANDS, ROWS = 32, 4
 #: Equal bytes of two sketches (one byte per coordinate) below which a pair is not compared:
 #: a pair at 0.75 has 96 of 128 on average, and 70 or fewer with a probability of 1e-7.
 LEAST_EQUAL = 70
-BROADCAST_ROWS = 1_000_000
+#: Broadcasts stay below so many rows (about 100 bytes each); beyond, Spark shuffles.
+BROADCAST_ROWS = 200_000
 #: About how many members, and shingles of members, a block of a cluster has.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Shingles that so many members of two blocks have are counted by matrix products.
@@ -344,10 +345,17 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, all columns kept: that with the smallest id."""
-    name = fresh(docs, "_kept")
-    kept = keep(groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(name)).distinct(), "kept")
-    return docs.join(broadcast_if_small(kept, BROADCAST_ROWS), docs[id_col].eqNullSafe(kept[name]), "left_semi")
+    """``docs`` with one row of each group, all columns kept: that with the smallest id.
+
+    Rows that share an id stay or go together: they stay if :func:`groups` keeps one of them.
+    So do rows without an id, which stay if one of them has words that no other text has or
+    none at all. Other cases as in :func:`groups`. The rows that go, mostly the fewer, are
+    named by their ids and dropped by a join that moves no text while they are few.
+    """
+    name = fresh(docs, "_gone")
+    gone = groups(docs, id_col, text_col).groupBy(F.col(id_col).alias(name)).agg(F.max("kept").alias("_stays")).filter("NOT _stays").select(name)
+    gone = keep(gone, "gone")
+    return docs.join(broadcast_if_small(gone, BROADCAST_ROWS), docs[id_col].eqNullSafe(gone[name]), "left_anti")
 
 
 SQL = r"""

@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: b
     cut = keep(pieces(docs, tokenizer_path, length, with_ids, id_col, text_col), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(ranges(patterns(histogram, length)))
-    spread = cut.withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(BUCKETS)).cast("int"))
+    spread = cut.withColumn("part", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     ranked = positions(spread, ["length"], "part", ["id", "start", "doc_tokens", "ids_crc32"], "rank").drop("part")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

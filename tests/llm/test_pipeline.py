@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -93,3 +94,17 @@ def test_stages_keep_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls, empty texts, repeated rows, clashing columns, and a table without rows."""
+    rows = [(1, "a b c", "en", "s", 5, "x"), (1, "a b c", "en", "s", 5, "x"), (None, None, None, None, None, None), (None, "w " * 9, None, None, None, "y"), (2, "", "en", "s", 0, None), (3, None, "en", "s", 0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _digest string").select("*", *[F.lit(1).alias(c) for c in ("_id", "_kept", "_gone", "_th", "_nb", "id", "th", "_stays")])
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns
+        texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+        assert texts == ([] if table is not docs else [(0, "w " * 9), (1, "a b c"), (3, "")])
+        assert corpus_pipeline.packed(spark, kept, SF).count() == len(texts)
