@@ -99,7 +99,8 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 20240, id_col: str
         rooms[r["shard"]] -= r["n"] - (r["last"]["n"] if r["n"] > rooms[r["shard"]] else 0)
     direct += _placed(over, rooms)
 
-    named = F.broadcast(spark.createDataFrame(direct, "digest binary, shard int"))
+    listed = F.array(*[F.struct(F.lit(bytearray(d)).alias("digest"), F.lit(s).cast("int").alias("shard")) for d, s in direct]).cast("array<struct<digest:binary,shard:int>>")
+    named = F.broadcast(spark.range(1).select(F.explode(listed).alias("g")).select("g.*"))
     rest = fractions.join(named, "digest", "left_anti").join(small.select("digest", "shard"), "digest", "left")
     dealt = keep(fractions.join(named, "digest").unionByName(rest), "dealt")
     order = ["fraction", "shuffled", "id", "source", "text_crc32", "size"]
