@@ -12,6 +12,8 @@ from .common import broadcast_if_small, keep
 
 #: Intervals are broadcast up to this number (about 100 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 200_000
+#: Intervals of a key from which on captures meet only those of their own slice of time, and slices.
+HISTORY, SLICES = 64, 1024
 #: After the end of any list.
 FOREVER = 1 << 62
 
@@ -52,6 +54,21 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("until", F.coalesce(after, F.lit(FOREVER))).filter("action = 'add'").select("list", "key", F.col("at").alias("since"), "until")
 
 
+def _of_long_histories(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """(url, at, list) of the captures and the intervals at their time, of keys that have so many that
+    a capture must not meet all of them: both are dealt to slices of time first. An interval
+    goes to each slice that it reaches, in all to no more than there are intervals and slices."""
+    times = keyed.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    lo, hi = (times["lo"] or 0), (times["hi"] or 0)
+    slice_of = lambda at: F.floor((at - F.lit(lo)) / F.lit((hi - lo) // SLICES + 1)).cast("int")
+    first, last = F.greatest("since", F.lit(lo)), F.least(F.col("until") - 1, F.lit(hi))
+    sliced = spans.filter(first <= last).withColumn("slice", F.explode(F.sequence(slice_of(first), slice_of(last))))
+    sliced = broadcast_if_small(keep(sliced, "sliced_intervals"), BROADCAST_ROWS)
+    own = keyed.withColumn("own", slice_of(F.col("at")))
+    same = (own["key"] == sliced["of"]) & (own["own"] == sliced["slice"])
+    return own.join(sliced, same & (sliced["since"] <= own["at"]) & (own["at"] < sliced["until"])).select("url", "at", "list")
+
+
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """``captures`` with ``n_active`` (entries active when each was fetched), ``lists`` (their lists,
     sorted) and ``blocked`` (whether there is any), all columns kept.
@@ -59,7 +76,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     The as-of join is an equality on the key and an interval test on the time: the intervals
     of one key in one list do not overlap, so a capture meets one entry of a list and key at
     most. Captures of a common host meet the host's few entries; Spark may split such a key,
-    as nothing is grouped by it. What was found is counted per distinct (url, time).
+    as nothing is grouped by it. Of a key with more than ``HISTORY`` intervals they meet those
+    of their slice of time only. What was found is counted per distinct (url, time).
 
     A null url has no keys and a null time meets no interval: such captures are not blocked.
     Repeated captures get equal results; columns of ``captures`` that are named like the three
@@ -68,8 +86,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     """
     asked = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("at")).filter("url IS NOT NULL AND at IS NOT NULL").distinct()
     keyed = asked.select("url", "at", F.explode(keys_of(F.col("url"))).alias("key"))
-    spans = broadcast_if_small(keep(intervals(entries), "intervals"), BROADCAST_ROWS)
-    active = keyed.join(spans, (keyed["key"] == spans["key"]) & (spans["since"] <= keyed["at"]) & (keyed["at"] < spans["until"]))
+    spans = intervals(entries).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    spans = keep(spans.withColumnsRenamed({"key": "of", "n": "history"}), "intervals")
+    now = (spans["since"] <= keyed["at"]) & (keyed["at"] < spans["until"])
+    active = keyed.join(broadcast_if_small(spans.filter(F.col("history") <= HISTORY), BROADCAST_ROWS), (keyed["key"] == spans["of"]) & now).select("url", "at", "list")
+    long = spans.filter(F.col("history") > HISTORY)
+    if not long.isEmpty():
+        active = active.unionByName(_of_long_histories(keyed, long))
     found = active.groupBy("url", "at").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("list")).alias("names"))
     kept = [c for c in captures.columns if c.lower() not in ("n_active", "lists", "blocked")]
     c, f = captures.alias("captures_"), found.alias("found_")

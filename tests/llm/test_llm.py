@@ -229,6 +229,15 @@ def test_url_lists(spark, monkeypatch):
     out = url_lists.evaluate(clash, entries)
     assert out.columns == ["page_id", "url", "fetched_at", "key", "n", "at", "n_active", "lists", "blocked"]
     assert {(r["page_id"], r["fetched_at"]): (r["n_active"], r["blocked"]) for r in out.collect()} == got
+    days = [("l", "host:b.com", ("add", "remove")[d % 2], 3 * d) for d in range(400)] + [("k", "host:b.com", "add", 100), ("l", "host:c.org", "add", 7)]
+    history = spark.createDataFrame(days, "list string, key string, action string, at long")
+    times = spark.createDataFrame([(i, "http://a.b.com/x" if i % 5 else "http://c.org/", i * 7 % 1300) for i in range(600)], "page_id long, url string, fetched_at long")
+    for most in (url_lists.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(url_lists, "BROADCAST_ROWS", most)
+        for r in url_lists.evaluate(times, history).collect():
+            at = r["fetched_at"]
+            want = (["k"] if at >= 100 else []) + (["l"] if at < 1200 and at // 3 % 2 == 0 else []) if "b.com" in r["url"] else ["l"] * (at >= 7)
+            assert r["lists"] == want and r["n_active"] == len(want)
     monkeypatch.setattr(url_lists, "BROADCAST_ROWS", 0)
     assert sorted(map(str, url_lists.evaluate(clash, entries).collect())) == sorted(map(str, out.collect()))
     assert url_lists.evaluate(caps.limit(0), entries).count() == 0 and url_lists.evaluate(caps, entries.limit(0)).filter("blocked").count() == 0
