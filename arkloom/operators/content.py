@@ -255,14 +255,13 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
     for n, (m, raw) in enumerate(_tokens(html)):
         if not skip:
             out.append(html[at : m.start()])
-        at = m.end()
+        at = m.end() + len(raw)  # both go on from here, whatever becomes of them
         name, source = (m["name"] or "").lower(), m[0]
         if skip:
             if name == skip:
                 depth += -1 if m["end"] else 1
                 if not depth:
                     skip = ""
-            at += len(raw)
             continue
         if m["comment"] is not None:
             c = m["comment"]
@@ -285,7 +284,6 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
         if foreign or name == "base" or kill_redirects and name == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
             if name not in _VOID:
                 skip, depth = name, 1
-                at += len(raw)
             continue
         changes: dict[str, str] = {}
         styles: dict[str, dict[str, str]] = {"text": {}, "style": {}}
@@ -305,7 +303,6 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
         if kill_redirects and name == "script" and "src" not in attrs and "redirectToJSPage" in raw:
             raw = re.sub(REDIRECT_CALL, "", raw)
         out += [source, raw]
-        at += len(raw)
         if name == "head" and head is None:
             out.append(link)
             head = "open"

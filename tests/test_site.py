@@ -3,6 +3,7 @@ import random
 import time
 from urllib.parse import urljoin
 
+import pytest
 from pyspark.sql import functions as F
 
 from arkloom.functions import urls
@@ -212,3 +213,39 @@ def test_a_site_with_external_content(spark):
     one = site.clean_site(manifest, raw, scope, external=external, settings=settings, target="o").collect()
     assert [r["path"] for r in one] == ["o/index.html"]
     assert [r["local_path"] for r in site.scannable(manifest.withColumn("local_path", F.when(F.col("key_seq") == 4, F.lit("o/_i.html")).otherwise(F.col("local_path"))), raw).orderBy("local_path").collect()] == ["t/index.html", "t/s.html"]
+
+
+def test_tables_round_trip(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = [("http://a.com/b", "http://a.com/b", "2013", "w", "t/b.html", "t", None), ("http://a.com/a", "http://a.com/a", "2013", "w", "t/a.html", "t", None), ("http://c.com/", "http://c.com/", "2013", "w", "u/index.html", "u", "asset")]
+    manifest = spark.createDataFrame(rows, tables.MANIFEST)
+    tables.write_manifest(manifest, f"{root}/manifest")
+    back = tables.read_manifest(spark, f"{root}/manifest")
+    assert {tuple(r[c] for c in manifest.columns) for r in back.collect()} == set(rows)
+    (tmp_path / "m.json").write_text(json.dumps([dict(zip(manifest.columns, r)) for r in rows[:1]], indent=2))
+    assert [tuple(r) for r in tables.read_manifest(spark, f"{root}/m.json").collect()] == rows[:1]
+    assert tables.read_manifest(spark, f"{root}/none", may_be_missing=True).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_manifest(spark, f"{root}/none")
+    (tmp_path / "raw" / "t" / "x").mkdir(parents=True)
+    (tmp_path / "raw" / "t" / "x" / "a.png").write_bytes(b"\x89")
+    assert [(r["local_path"], bytes(r["content"])) for r in tables.read_raw(spark, f"{root}/raw").collect()] == [("t/x/a.png", b"\x89")]
+    index = site.page_index(spark.createDataFrame([("t", "t/b.html", "B"), ("t", "t/a.html", "A"), ("u", "u/index.html", "U")], "target string, local_path string, title string"))
+    tables.write_index(index, f"{root}/index")
+    assert sorted((r["target"], r["rel_path"], r["title"], r["n_pages"]) for r in spark.read.parquet(f"{root}/index").collect()) == [("t", "a.html", "A", 2), ("t", "b.html", "B", 2), ("u", "index.html", "U", 1)]
+
+
+def test_what_external_discovery_leaves_out(spark):
+    html = '<img src="https://web-static.archive.org/x.png"><img src="http://archive.org/y.png"><img src="http://ads.test/z.png"><img src="http://a.com/own.png"><img src="http://c.test/known.png"><img src="http://c.test/new.png#f"><img src="data:x"><img src="rel.png"><a href="http://c.test/page">p</a>'
+    pages = spark.createDataFrame([("t/a.html", html)], "local_path string, html string")
+    scope, known = spark.createDataFrame([("a.com",)], "host string"), spark.createDataFrame([("http://c.test/known.png",)], "key string")
+    got = site.external_references(pages, scope, known, "local_path", exclude=(r"ads\.",)).collect()
+    assert [(r["base"], r["fetch_url"], r["kind"], r["found_in"], r["n_pages"]) for r in got] == [("http://c.test/new.png", "https://web.archive.org/web/id_/http://c.test/new.png", "asset", "t/a.html", 1)]
+
+
+def test_redirects_and_broken_bytes(spark):
+    html = '<head><meta http-equiv="Refresh" content="0;url=x"></head><script>a(1,["NoscriptOverride","redirectToJSPage",[],["u"]]);</script><p>x'
+    kept, gone = content._rewritten(html, [], None, None, False), content._rewritten(html, [], None, None, True)
+    assert kept == html and gone == "<head></head><script>a(1);</script><p>x"
+    one = spark.createDataFrame([(bytearray(b"a\xffb"),)], "c binary").select(content.decode_text(F.col("c"))).first()[0]
+    assert one == "a\ufffdb"
