@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arkloom.work import broadcast_if_small, keep, shared_dir, work_dir
 
-__all__ = ["broadcast_if_small", "fresh", "keep", "shared_dir", "small_batches", "text_or_empty", "work_dir"]
+__all__ = ["broadcast_if_small", "fresh", "keep", "lean", "shared_dir", "small_batches", "text_or_empty", "work_dir"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, where the session has Spark's default.
 BATCH_BYTES = 8 << 20
@@ -25,6 +29,30 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a Python worker that hands freed memory back to the system after each batch and
+    at its end; Arrow's and C's allocators would hold what the largest batch took as long as
+    the worker is used again."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than GNU's
+            pass
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in run(batches):
+                yield batch
+                del batch
+                give_back()
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores at its end until ``df`` has no such column in any case."""
     taken = {c.lower() for c in df.columns}

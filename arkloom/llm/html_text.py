@@ -11,7 +11,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Lines in a sliding window, and the characters in one from which text surges.
 WINDOW, SURGE = 3, 86
@@ -306,7 +306,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
-    return small_batches(pages).select("page_id", "url", html_col).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", html_col).mapInArrow(lean(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op2(pages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, fresh, keep, small_batches
+from .common import broadcast_if_small, fresh, keep, lean, small_batches
 
 #: Words of a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, NEAR, OF = 5, 75, 100
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["id", "digest", "n_shingles", "sketch", "bands"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, digest binary, n_shingles long, sketch binary, bands array<long>")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), f"id {dict(docs.dtypes)[id_col]}, digest binary, n_shingles long, sketch binary, bands array<long>")
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"])
 
     kind = dict(pairs.dtypes)["a"]
-    return sized.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return sized.select("a", "b", "sa", "sb").mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep_rows, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:

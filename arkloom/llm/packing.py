@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import keep, lean, small_batches
 from .ranks import positions
 
 #: Tokens of a sequence, and the id that ends each document.
@@ -92,16 +92,6 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for each worker process, whose later tasks find its words known."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents' ids and ``END_ID``, cut after every ``length`` ids.
 
@@ -110,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = Encoder(tokenizer_path)
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else []))}
@@ -125,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids:
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
     kind = dict(docs.dtypes)[id_col]
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
@@ -209,7 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, with_ids: b
             yield kept.append_column("sequence_id", pa.array(rows[at, 2] + rank - rows[at, 1])).append_column("offset", pa.array(rows[at, 3]))
 
     fields = ", ".join(f"{c} {t}" for c, t in ranked.dtypes if c != "rank")
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(lean(place), f"{fields}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def op8(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:

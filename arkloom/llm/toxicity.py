@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Hash buckets of terms.
 BUCKETS = 1 << 18
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "label", "terms"])
 
     found = small_batches(docs).select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("_id", "_toxic", "text")
-    lists = found.mapInArrow(run, f"id {dict(few.dtypes)['_id']}, label int, terms array<int>")
+    lists = found.mapInArrow(lean(run), f"id {dict(few.dtypes)['_id']}, label int, terms array<int>")
     got = lists.groupBy("id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).toArrow().sort_by("id")
     toxic = np.asarray(got.column("label")).astype(float)
     lists = got.column("terms").combine_chunks()
@@ -236,7 +236,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.score(batch.column(1), known), pa.float64())], names=["id", "score"])
 
-    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
+    return small_batches(docs).select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"{id_col} {dict(docs.dtypes)[id_col]}, score double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -264,4 +264,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = batch.slice(cut, AT_ONCE)
                 yield part.filter(pa.array(machine.score(part.column("text"), known) < 0.5))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, keep, small_batches, text_or_empty, work_dir
+from .common import broadcast_if_small, keep, lean, small_batches, text_or_empty, work_dir
 
 #: Payloads below this size are always stored in full.
 LEAST_SHARED_BYTES = 100
@@ -126,7 +126,7 @@ def write_streams(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
         if out is not None:
             yield ended()
 
-    return keep(small_batches(rows).mapInArrow(write, "path string, records long"), "streams")
+    return keep(small_batches(rows).mapInArrow(lean(write), "path string, records long"), "streams")
 
 
 def _inflated(stream) -> Iterator[bytes]:
@@ -208,7 +208,7 @@ def normalise(spark: SparkSession, streams: DataFrame, folder: str) -> DataFrame
 
     paths = streams.select("path")
     files = paths.count()
-    return keep(paths.repartition(max(files, 1), F.xxhash64("path")).mapInArrow(rewrite, INDEX), "warc_index") if files else spark.createDataFrame([], INDEX)
+    return keep(paths.repartition(max(files, 1), F.xxhash64("path")).mapInArrow(lean(rewrite), INDEX), "warc_index") if files else spark.createDataFrame([], INDEX)
 
 
 def _normalise_file(source: str, folder: str) -> Iterator[dict]:
@@ -267,7 +267,7 @@ def read_records(index: DataFrame) -> DataFrame:
         if stream is not None:
             stream.close()
 
-    return index.select("path", "offset", "length").mapInArrow(read, RECORDS)
+    return index.select("path", "offset", "length").mapInArrow(lean(read), RECORDS)
 
 
 def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, DataFrame]:
