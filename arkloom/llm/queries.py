@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, html_text, near_dedup, packing, secrets, sharding, toxicity, url_lists, warc
+from . import alignment, decontam, exact_dedup, html_text, near_dedup, packing, prefix_trie, secrets, sharding, toxicity, url_lists, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(_read(spark, sf_dir, "pages"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12(_read(spark, sf_dir, "conversations"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op13(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_winnowing,
         op10_warc,
+        op12_prefix_trie,
+        op13_alignment,
     )
 }
 
@@ -75,4 +85,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_winnowing": decontam.SQL,
     "op10_warc": warc.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
