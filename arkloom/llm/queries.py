@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, exact_dedup, html_text, near_dedup, packing, prefix_trie, secrets, sharding, toxicity, url_lists, warc
+from . import alignment, decontam, exact_dedup, html_text, imatch, near_dedup, packing, prefix_trie, secrets, sharding, toxicity, url_lists, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(_read(spark, sf_dir, "pages"))
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.op11(_read(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op12(_read(spark, sf_dir, "conversations"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_packing,
         op9_winnowing,
         op10_warc,
+        op11_imatch,
         op12_prefix_trie,
         op13_alignment,
     )
@@ -85,5 +90,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_winnowing": decontam.SQL,
     "op10_warc": warc.SQL,
+    "op11_imatch": imatch.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
 }
