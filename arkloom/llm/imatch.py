@@ -6,6 +6,8 @@ Only DataFrame functions: no Python code runs on the executors.
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +22,18 @@ from .decontam import LOWER, UPPER, words
 RARE, COMMON = 1000, 20
 #: Random subsets of the lexicon, and how often each can be thinned to a quarter.
 SUBSETS, DEEPEST = 16, 7
+#: A term's lower bits, times a subset's odd factor and modulo this, are its place in the subset.
+PLACES = 1 << 31
+FACTORS = [int(sha256(f"subset {s}".encode()).hexdigest()[:7], 16) * 2 + 1 for s in range(SUBSETS)]
 
 
 def lexicon(texts: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
-    """(term, id, levels) of the terms in the band, from the distinct terms (array ``words``) of all texts.
-
-    ``id`` is a number from the term's MD5. ``levels`` has four bits for each subset: the term stays
-    in the subset when it is thinned so often, from four digits each of the term's SHA-256.
-    """
+    """(term, id) of the terms in the band, from the distinct terms (array ``words``) of all texts; ``id``
+    is a number from the term's MD5."""
     n = texts.count()
     counts = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     inside = counts.filter((F.col("df") * rare >= n) & (F.col("df") * common <= n))
-    digits = F.sha2("term", 256)
-    level = lambda s: sum((F.conv(F.substring(digits, 4 * s + 1, 4), 16, 10).cast("int") < 4 ** (8 - k)).cast("long") for k in range(1, DEEPEST + 1))
-    levels = sum((F.shiftleft(level(s), 4 * s) for s in range(1, SUBSETS)), level(0))
-    return inside.select("term", F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long").alias("id"), levels.alias("levels"))
+    return inside.select("term", F.conv(F.substring(F.md5("term"), 1, 15), 16, 10).cast("long").alias("id"))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -46,12 +45,13 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(row, next_row, doc_id, text, next_text): each text and the one behind it in descending order of
-    doc_id, the first one behind the last. ``row`` is a number of its own for each row.
+    """(bucket, place, own, doc_id, text, next_text): each text and the one behind it in descending order
+    of doc_id, the first one behind the last.
 
     Ids are cut into as many ranges as there are shuffle partitions, by quantiles; a range is
-    sorted in one task, texts move once, and each range gets a copy of the next one's first row.
-    Null ids come last, by their texts' hashes in ranges of these; equal ids stand by hash.
+    sorted in one task, texts move once, and each range has a copy (not ``own``) of the next
+    one's first row at its end. Null ids come last, by their texts' hashes in ranges of these;
+    equal ids stand by hash. ``place`` is a row's in its ``bucket``, by which the result is dealt.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,25 +68,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("fh"))).dropDuplicates(["into"])
     every = rows.select("bucket", "doc_id", "h", "text", F.lit(None).cast("int").alias("home")).union(copies.select("into", "doc_id", "h", "text", "home"))
     order = Window.partitionBy("bucket").orderBy(F.col("home").asc_nulls_first(), F.desc_nulls_last("doc_id"), "h")
-    number = lambda bucket, n: F.shiftleft(bucket.cast("long"), 40) + n
-    placed = every.withColumn("row", F.coalesce(number(F.col("home"), F.lit(1)), number(F.col("bucket"), F.row_number().over(order))))
-    nexts = placed.withColumns({"next_row": F.lead("row").over(order), "next_text": F.lead("text").over(order)})
-    return nexts.filter("home IS NULL").select("row", "next_row", "doc_id", "text", "next_text")
+    placed = every.withColumns({"place": F.row_number().over(order), "next_text": F.coalesce(F.lead("text").over(order), F.lit(""))})
+    return placed.select("bucket", "place", F.col("home").isNull().alias("own"), "doc_id", "text", "next_text")
 
 
 def _signature(terms: Column) -> Column:
     """Of sorted terms the hash of their ids; none of no terms."""
-    ids = F.array_join(F.transform(terms, lambda t: t["id"].cast("string")), ",")
+    ids = F.array_join(F.transform(terms, lambda t: t.cast("string")), ",")
     return F.when(F.size(terms) > 0, F.substring(F.md5(ids), 1, 8)).otherwise(F.lit(""))
 
 
-def _kept(terms: str | Column, shift: Column, times: Column) -> Column:
-    """The terms that stay in the subset with these bits when it is thinned so many times."""
-    return F.filter(terms, lambda t: F.call_function("shiftright", t["levels"], shift).bitwiseAND(F.lit(15)) >= times)
+def _kept(terms: str | Column, factor: int, limit: Column) -> Column:
+    """The terms whose places in the subset with this factor are below the limit."""
+    return F.filter(terms, lambda t: (t % PLACES * factor) % PLACES < limit)
 
 
 def fingerprinted(rows: DataFrame, terms: str, whole: Column, out: str) -> DataFrame:
-    """``rows`` with the fingerprint ``out`` of their sorted ``terms`` (id, levels).
+    """``rows`` with the fingerprint ``out`` of their sorted ``terms`` (ids).
 
     Of each random subset of the lexicon, thinned until one to four of the text's terms are
     to be expected, and thinned once more, the text's terms are hashed:
@@ -94,12 +92,13 @@ def fingerprinted(rows: DataFrame, terms: str, whole: Column, out: str) -> DataF
     ``whole`` of all its terms, one without terms nothing.
     """
     times = sum((F.size(terms) >= 4**k).cast("int") for k in range(1, DEEPEST + 1))
-    rows = settled(rows, _times=times)
-    rows = settled(rows, _kept=F.array(*[_kept(terms, F.lit(4 * s), F.col("_times")) for s in range(SUBSETS)]))
+    limit = F.call_function("shiftright", F.lit(PLACES), times * 2)
+    rows = settled(settled(rows, _times=times), _limit=limit)
+    rows = settled(rows, _kept=F.array(*[_kept(terms, f, F.col("_limit")) for f in FACTORS]))
     once = F.array_join(F.transform("_kept", _signature), ",")
-    more = F.array_join(F.transform("_kept", lambda k, s: _signature(_kept(k, s * 4, F.col("_times") + 1))), ",")
+    more = F.array_join(F.array(*[_signature(_kept(F.get("_kept", F.lit(s)), f, F.shiftright("_limit", 2))) for s, f in enumerate(FACTORS)]), ",")
     value = F.when(F.size(terms) > 0, F.concat(F.col("_times").cast("string"), F.lit(":"), once, F.lit(";"), more)).otherwise(F.when(whole != "", F.concat(F.lit("whole:"), whole)).otherwise(F.lit("")))
-    return settled(rows, **{out: value}).drop("_times", "_kept")
+    return settled(rows, **{out: value}).drop("_times", "_limit", "_kept")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,8 +129,7 @@ def op11(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """The contract's columns for every row of ``docs``.
 
     Terms are runs of letters, digits and other characters above ASCII, A-Z in lower case. The
-    lexicon comes from all texts; it is broadcast while it is small, else terms that too many
-    documents have are dropped by a broadcast first, so that no key of the join is common. A
+    lexicon comes from all texts and is broadcast while it is small, else joined by terms. A
     text's terms of the band come together again by one aggregate, its facts along with them.
 
     Null texts are empty; an empty text has no terms and fingerprint '', like to any other such
@@ -147,39 +145,39 @@ def op11(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))
     rows = settled(rows, edited=edited).withColumn("n_chars", n.cast("long"))
-    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.coalesce("edited", F.lit("")).alias("t")))
-    texts = rows.select("row", "next_row", "doc_id", "n_chars", F.explode(both).alias("v")).select("row", "next_row", "doc_id", "n_chars", "v.kind", "v.t")
+    key = ["bucket", "place", "own"]
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    texts = rows.select(*key, "doc_id", "n_chars", F.explode(both).alias("v")).select(*key, "doc_id", "n_chars", "v.kind", "v.t")
     texts = settled(texts, words=terms_of(F.col("t")))
-    # No term begins with #: the text's own facts travel behind its terms.
-    texts = texts.withColumn("term", F.explode(F.array_append("words", F.concat(F.lit("#"), F.col("row").cast("string")))))
+    # No term begins with #: a text's own facts travel behind its terms.
+    texts = texts.withColumn("term", F.explode(F.array_append("words", F.concat_ws("#", F.lit(""), "bucket", "place"))))
     whole = F.when(F.size("words") > 0, F.md5(F.array_join(F.sort_array("words"), " "))).otherwise(F.lit(""))
     fact = F.startswith(F.col("term"), F.lit("#"))
-    facts = {"next_row": F.col("next_row"), "doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "sha256": F.sha2("t", 256), "whole": whole}
-    found = texts.select("row", "kind", "term", *[F.when(fact, c).alias(name) for name, c in facts.items()]).join(band, "term", "left").filter(fact | F.col("id").isNotNull())
-
-    term = F.when(F.col("id").isNotNull(), F.struct("id", "levels"))
-    of = lambda kind, c: F.when(F.col("kind") == kind, c)
-    grouped = found.groupBy("row").agg(
-        *[F.any_value(c, True).alias(c) for c in ("next_row", "doc_id", "n_chars")],
-        F.any_value(of(1, F.col("sha256")), True).alias("edited_sha256"),
-        *[F.any_value(of(k, F.col("whole")), True).alias(f"whole{k}") for k in (0, 1)],
-        *[F.array_sort(F.collect_list(of(k, term))).alias(f"terms{k}") for k in (0, 1)],
+    facts = {"doc_id": F.col("doc_id"), "n_chars": F.col("n_chars"), "sha256": F.sha2("t", 256), "whole": whole}
+    found = texts.select(*key, "kind", "term", *[F.when(fact, c).alias(name) for name, c in facts.items()]).join(band, "term", "left").filter(fact | F.col("id").isNotNull())
+
+    # Rows are dealt by their buckets, so neither what follows here nor the next row's fingerprint moves them.
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    grouped = found.groupBy(*key).agg(
+        *[F.any_value(c, True).alias(c) for c in ("doc_id", "n_chars")],
+        F.any_value(of(1, "sha256"), True).alias("edited_sha256"),
+        *[F.any_value(of(k, "whole"), True).alias(f"whole{k}") for k in (0, 1)],
+        *[F.array_sort(F.collect_list(of(k, "id"))).alias(f"terms{k}") for k in (0, 1)],
     )
     marked = fingerprinted(grouped, "terms0", F.col("whole0"), "fingerprint").drop("terms0")
     marked = fingerprinted(marked, "terms1", F.col("whole1"), "edited_fingerprint").drop("terms1")
-    narrow = keep(marked.drop("whole0", "whole1"), "fingerprints")
-    after = narrow.select(F.col("row").alias("next_row"), F.col("fingerprint").alias("_next"))
+    after = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
     own = F.col("fingerprint")
-    out = narrow.join(after, "next_row").withColumns({"near_edited": likeness(own, F.col("edited_fingerprint")), "near_next": likeness(own, F.col("_next"))})
+    out = settled(marked.withColumn("_next", after).filter("own"), near_edited=likeness(own, F.col("edited_fingerprint")), near_next=likeness(own, F.col("_next")))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def _sql_fingerprint(kind: int) -> str:
-    sign = "lambda k: CASE WHEN len(k) > 0 THEN substr(md5(array_to_string(list_transform(k, lambda t: CAST(t.id AS VARCHAR)), ',')), 1, 8) ELSE '' END"
-    stays = lambda times: f"list_transform(range({SUBSETS}), lambda s: list_filter(terms{kind}, lambda t: ((t.levels >> (4 * s)) & 15) >= {times}))"
-    times = " + ".join(f"CAST(len(terms{kind}) >= {4**k} AS INT)" for k in range(1, DEEPEST + 1))
-    hashed = lambda t: f"array_to_string(list_transform({stays(t)}, {sign}), ',')"
-    return f"CASE WHEN len(terms{kind}) > 0 THEN ({times}) || ':' || {hashed(f'({times})')} || ';' || {hashed(f'({times}) + 1')} WHEN whole{kind} <> '' THEN 'whole:' || whole{kind} ELSE '' END"
+    sign = lambda k: f"CASE WHEN len({k}) > 0 THEN substr(md5(array_to_string({k}, ',')), 1, 8) ELSE '' END"
+    times = "(" + " + ".join(f"CAST(len(terms{kind}) >= {4**k} AS INT)" for k in range(1, DEEPEST + 1)) + ")"
+    stays = lambda f, t: f"list_filter(terms{kind}, lambda t: (t % {PLACES} * {f}) % {PLACES} < ({PLACES} >> (2 * {t})))"
+    hashed = lambda t: " || ',' || ".join(sign(stays(f, t)) for f in FACTORS)
+    return f"CASE WHEN len(terms{kind}) > 0 THEN {times} || ':' || {hashed(times)} || ';' || {hashed(f'({times} + 1)')} WHEN whole{kind} <> '' THEN 'whole:' || whole{kind} ELSE '' END"
 
 
 def _sql_likeness(a: str, b: str) -> str:
@@ -195,17 +193,14 @@ def _sql_likeness(a: str, b: str) -> str:
 
 
 _SQL_WORDS = rf"list_distinct(list_filter(regexp_split_to_array(translate(%s, '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> ''))"
-_SQL_LEVEL = "(" + " + ".join(f"CAST(CAST('0x' || substr(sha256(term), 4 * s + 1, 4) AS INT) < {4 ** (8 - k)} AS BIGINT)" for k in range(1, DEEPEST + 1)) + ")"
-
 SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS r FROM documents),
 n AS (SELECT count(*) AS n FROM d),
 e AS (SELECT d.*, CAST(length(d.text) AS BIGINT) AS n_chars, substr(d.text, 1, length(d.text) - length(d.text) // 3) || substr(x.text, 1, length(d.text) // 3) AS edited, x.r AS next_r
   FROM d CROSS JOIN n JOIN d x ON x.r = d.r % n.n + 1),
 v AS (SELECT r, 0 AS kind, {_SQL_WORDS % "text"} AS words FROM e UNION ALL SELECT r, 1, {_SQL_WORDS % "edited"} FROM e),
 t AS (SELECT r, kind, unnest(words) AS term FROM v),
-l AS (SELECT term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS id, list_sum(list_transform(range({SUBSETS}), lambda s: {_SQL_LEVEL} * (CAST(1 AS BIGINT) << (4 * s))))::BIGINT AS levels
-  FROM (SELECT term, count(*) AS df FROM t WHERE kind = 0 GROUP BY term) CROSS JOIN n WHERE df * {RARE} >= n AND df * {COMMON} <= n),
-g AS (SELECT r, kind, list({{'id': id, 'levels': levels}} ORDER BY id, levels) AS terms FROM t JOIN l USING (term) GROUP BY r, kind),
+l AS (SELECT term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS id FROM (SELECT term, count(*) AS df FROM t WHERE kind = 0 GROUP BY term) CROSS JOIN n WHERE df * {RARE} >= n AND df * {COMMON} <= n),
+g AS (SELECT r, kind, list(id ORDER BY id) AS terms FROM t JOIN l USING (term) GROUP BY r, kind),
 w AS (SELECT e.*, coalesce(g0.terms, []) AS terms0, coalesce(g1.terms, []) AS terms1,
     CASE WHEN len(v0.words) > 0 THEN md5(array_to_string(list_sort(v0.words), ' ')) ELSE '' END AS whole0, CASE WHEN len(v1.words) > 0 THEN md5(array_to_string(list_sort(v1.words), ' ')) ELSE '' END AS whole1
   FROM e JOIN v v0 ON v0.r = e.r AND v0.kind = 0 JOIN v v1 ON v1.r = e.r AND v1.kind = 1 LEFT JOIN g g0 ON g0.r = e.r AND g0.kind = 0 LEFT JOIN g g1 ON g1.r = e.r AND g1.kind = 1),
