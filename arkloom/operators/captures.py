@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def dedupe_paths(rows: DataFrame, order: str, path: str = "path", by: tuple[str,
        among the rows with this path is the number. Places are counted in parts, so a path of
        very many rows is no burden.
     3. What is left, the rows of paths whose numbers meet other names and of these names, is
-       gone through family by family; only paths and places are sent there.
+       numbered in waves by :func:`_wave`; only paths and places are sent there.
     """
     keys = [*by, path]
     claimed = rows.select(*keys, F.lit(1).alias("n"), F.lit(False).alias("used"))
@@ -238,30 +239,79 @@ def dedupe_paths(rows: DataFrame, order: str, path: str = "path", by: tuple[str,
     if tangled is None:
         return out
 
-    hard = keep(places.filter("_tangled"), "tangled_rows")
-    family = F.regexp_replace(F.regexp_replace(F.col(path), "[.]html$", ""), r"(_\d+)+$", "")
-    narrow = hard.select(*keys, F.col("_rank"), F.col(order).cast("long").alias("_at"), F.lit(False).alias("_used"))
-    narrow = narrow.union(settle.filter("_tangled AND used").select(*keys, F.lit(0), F.lit(None), F.lit(True))).withColumn("_family", family)
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        names = set(group.loc[group["_used"], path])
-        group = group[~group["_used"]].sort_values(["_at", path, "_rank"])
-        last, new = {}, []  # the numbers up to the last one that a path was given are taken
-        for name in group[path]:
-            html = name.endswith(".html")
-            stem, n, found = name[:-5] if html else name, last.get(name, 1), name
-            while found in names:
-                n += 1
-                found = f"{stem}_{n}" + ".html" * html
-            last[name] = n
-            names.add(found)
-            new.append(found)
-        return group[[*keys, "_rank"]].assign(_new=new)
-
-    kinds = dict(hard.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "_rank long", "_new string"])
-    walked = narrow.groupBy(*by, "_family").applyInPandas(walk, schema)
-    return out.unionByName(hard.join(walked, [*keys, "_rank"]).withColumn(path, F.col("_new")).select(rows.columns))
+    hard = keep(places.filter("_tangled").select(*keys, F.col("_rank"), F.col(order).cast("long").alias("_at")), "tangled_rows")
+    first = hard.filter("_rank = 1").select(*keys, "_at")
+    parent, number = _parent(F.col(path))
+    waiting = settle.filter("_tangled").select(*keys, "used").join(first, keys, "left").withColumns({"_parent": parent, "_number": number})
+    waiting = keep(waiting, "tangled_names")
+    above = waiting.select(*by, F.col(path).alias("_parent"))
+    now = waiting.join(above, [*by, "_parent"], "left_anti").select(*keys, F.col("used").alias("taken"))
+    found = None
+    while True:
+        named, now = _wave(keep(now, "wave"), hard, waiting, by, path)
+        found = named if found is None else found.union(named)
+        if now.isEmpty():
+            break
+    walked = places.filter("_tangled").join(found, [*keys, "_rank"]).withColumn(path, F.col("_new"))
+    return out.unionByName(walked.select(rows.columns))
+
+
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Goes through the names that paths' numbering may meet (by, path, number, before, rows, ...) in
+    order, with one count as its state: how many numbers of the path are passed over so far.
+    Adds that count and whether the name is passed over (2), given away (1) or not come to (0)."""
+    group, passed = None, 0
+    for batch in batches:
+        *keys, number, before, rows = (batch.column(c).to_pylist() for c in range(batch.num_columns))
+        counts, states = [], []
+        for *key, n, b, m in zip(*keys, number, before, rows):
+            if key != group:
+                group, passed = key, 0
+            place = n - 1 - passed  # of the row that comes to this number
+            states.append(0 if place > m else 2 if place > b else 1)
+            passed += states[-1] == 2
+            counts.append(passed)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(states, pa.int32())], names=[*batch.schema.names, "passed", "state"])
+
+
+def _wave(now: DataFrame, hard: DataFrame, waiting: DataFrame, by: tuple[str, ...], path: str) -> tuple[DataFrame, DataFrame]:
+    """The new names (keys, _rank, _new) of the rows of names ``now`` (keys, taken), and the names that
+    come next: those with a number of theirs, each with whether it is taken before its own rows come.
+
+    The j-th row that finds its path taken comes to the smallest number that no row before it
+    has come to and that is free at its time. A name with such a number is passed over if its
+    own first row stands before, else it is given away. Which ones are is told by one pass
+    over them in order; the numbers are then the rows' places among rows and passed names,
+    counted in parts. So neither a path of many rows nor one with many numbered names is a
+    group in memory.
+    """
+    keys = [*by, path]
+    rows = hard.join(now, keys).withColumn("_j", F.col("_rank") - F.when(F.col("taken"), F.lit(0)).otherwise(F.lit(1)))
+    rows = keep(rows.select(*keys, "_rank", "_at", "_j"), "wave_rows")
+    late = rows.filter("_j > 0")
+    to_parent = [*by, F.col("_parent").alias(path)]
+    met = waiting.join(now.select(*by, F.col(path).alias("_parent")), [*by, "_parent"])
+    met = keep(met.select(*to_parent, F.col(path).alias("_name"), "_number", "used", "_at"), "wave_names")
+    # How many late rows stand before a name's first own row: its place among both kinds less that among names.
+    timed = met.filter("NOT used")
+    both = late.select(*keys, "_at", F.col(path).alias("_name"), F.lit(False).alias("met")).union(timed.select(*keys, "_at", "_name", F.lit(True)))
+    among = ranked(both, keys, ["_at", "_name"], "_all").filter("met").select(*keys, "_name", "_all")
+    before = ranked(timed.select(*keys, "_at", "_name"), keys, ["_at", "_name"], "_own").join(among, [*keys, "_name"])
+    before = before.select(*keys, "_name", (F.col("_all") - F.col("_own")).alias("_before"))
+    many = late.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    asked = met.join(before, [*keys, "_name"], "left").join(many, keys, "left")
+    asked = asked.select(*keys, F.col("_number"), F.coalesce("_before", F.lit(0)).cast("long").alias("_before"), F.coalesce("_rows", F.lit(0)).cast("long").alias("_rows"))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in asked.dtypes)
+    told = keep(asked.repartition(*keys).sortWithinPartitions(*keys, "_number").mapInArrow(_passed, f"{kinds}, passed long, state int"), "wave_states")
+    # The i-th passed number s stands behind s - i rows; so a row's place among both is its number less 1.
+    marks = told.filter("state = 2").select(*keys, F.lit(None).cast("long").alias("_rank"), (F.col("_number") - F.col("passed")).alias("_pos"), F.lit(0).alias("row"))
+    mixed = late.select(*keys, F.col("_rank").cast("long").alias("_rank"), F.col("_j").cast("long").alias("_pos"), F.lit(1).alias("row")).union(marks)
+    numbered = ranked(mixed, keys, ["_pos", "row"], "_n").filter("row = 1")
+    named = numbered.select(*keys, "_rank", _numbered(F.col(path), F.col("_n") + 1).alias("_new"))
+    named = named.union(rows.filter("_j = 0").select(*keys, F.col("_rank").cast("long"), F.col(path).alias("_new")))
+    states = told.select(*keys, "_number", "state")
+    following = met.join(states, [*keys, "_number"]).select(*by, F.col("_name").alias(path), (F.col("used") | (F.col("state") == 1)).alias("taken"))
+    return keep(named, "wave_named"), following
 
 
 def assign_local_paths(rows: DataFrame, order: str, ignore: tuple[str, ...] = (), used: DataFrame | None = None) -> DataFrame:
