@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ from arkloom.functions import urls
 from arkloom.work import broadcast_if_small, keep, ranked
 
 MATCHES = ("exact", "prefix", "host", "domain")
+#: Targets up to which each one is an expression of its own.
+MOST_EXPRESSIONS = 32
 
 
 @dataclass(frozen=True)
@@ -104,22 +107,89 @@ def matches(original: Column, url: str, match: str) -> Column:
     return _matches(urls.host_of(original), _bare_key(original), url, match)
 
 
-def of_targets(captures: DataFrame, targets: tuple[Target, ...]) -> DataFrame:
-    """The captures that belong to targets, with ``target`` and ``target_ord``, once for each target
-    that they belong to. The captures are gone through once for all targets."""
+def site_key(host: Column) -> Column:
+    """A host's labels from the last one on, with a dot behind each: those of a domain begin alike."""
+    return F.concat(F.array_join(F.reverse(F.split(host, "[.]")), "."), F.lit("."))
+
+
+def _pruned(captures: DataFrame, targets: tuple[Target, ...]) -> DataFrame:
+    """What no target can want dropped by plain comparisons of columns, which reach the scan: status,
+    type, the dates that all windows lie in and, where captures have a ``site`` (see
+    :func:`arkloom.sources.tables.write_captures`), the domains."""
     rows = captures.filter("statuscode = '200'")
     if all(t.html_only for t in targets):
         rows = rows.filter("mimetype = 'text/html'")
-    rows = urls.settled(rows, _host=urls.host_of(F.col("original")))
+    rows = rows.filter(_in_window(min((t.since for t in targets), default=""), "" if any(not t.until for t in targets) else max((t.until.ljust(14, "9") for t in targets), default="")))
+    if "site" in captures.columns and 0 < len(targets) <= MOST_EXPRESSIONS:
+        ends = [(".".join(_plain_host(t.url).split(".")[::-1]) + ".", t.match == "domain") for t in targets]
+        wanted = F.lit(False)
+        for end, below in ends:
+            wanted = wanted | (F.startswith("site", F.lit(end)) if below else F.col("site") == end)
+        rows = rows.filter(wanted)
+    return rows
+
+
+def _plain_host(url: str) -> str:
+    """The clean host of a target's URL, as :func:`arkloom.functions.urls.host_of` gives it."""
+    host = re.sub(r"^[a-z][a-z0-9+.-]*://", "", url.strip(), flags=re.I)
+    host = re.split("[/?#]", host)[0].strip().lower()
+    return re.sub(r":(80|443)$", "", host).removesuffix(".")
+
+
+def of_targets(captures: DataFrame, targets: tuple[Target, ...]) -> DataFrame:
+    """The captures that belong to targets, with ``target`` and ``target_ord``, once for each target
+    that they belong to. The captures are gone through once for all targets.
+
+    A few targets are one expression each; more than ``MOST_EXPRESSIONS`` are a table that captures
+    are joined with, see :func:`_joined`.
+    """
+    if not targets:
+        return captures.limit(0).withColumns({"target_ord": F.lit(0), "target": F.lit("")})
+    rows = urls.settled(_pruned(captures, targets), _host=urls.host_of(F.col("original")))
     by_key = any(t.match in ("exact", "prefix") for t in targets)
     rows = urls.settled(rows, _key=_bare_key(F.col("original"))) if by_key else rows.withColumn("_key", F.lit(None).cast("string"))
+    if len(targets) > MOST_EXPRESSIONS:
+        return _joined(rows, targets).drop("_host", "_key")
     of = []
     for n, t in enumerate(targets):
         own = _matches(F.col("_host"), F.col("_key"), t.url, t.match) & _wanted(t.include, t.exclude) & _in_window(t.since, t.until)
         of.append(F.when(own & (F.col("mimetype") == "text/html") if t.html_only else own, F.lit(n)))
     names = F.array(*[F.lit(t.name) for t in targets])
-    rows = rows.withColumn("target_ord", F.explode(F.array_compact(F.array(*of)))) if of else rows.limit(0).withColumn("target_ord", F.lit(0))
-    return rows.withColumn("target", F.get(names, F.col("target_ord")) if of else F.lit("")).drop("_host", "_key")
+    rows = rows.withColumn("target_ord", F.explode(F.array_compact(F.array(*of))))
+    return rows.withColumn("target", F.get(names, F.col("target_ord"))).drop("_host", "_key")
+
+
+def _joined(rows: DataFrame, targets: tuple[Target, ...]) -> DataFrame:
+    """``rows`` (_host, _key ...) joined with the targets by equality, whatever their number.
+
+    A capture is looked up by its host, by its host's domains above, by its bare key, and by
+    the beginnings of this that are as long as some target's prefix; each only if there are
+    such targets. Windows and patterns are columns of the targets' table.
+    """
+    spark = rows.sparkSession
+    fields = "target_ord int, target string, url string, match string, since string, until string, html_only boolean, include array<string>, exclude array<string>"
+    listed = [(n, t.name, t.url if "//" in t.url else f"http://{t.url}", t.match, t.since.ljust(14, "0") if t.since else "", t.until.ljust(14, "9") if t.until else "", t.html_only, list(t.include), list(t.exclude)) for n, t in enumerate(targets)]
+    table = spark.createDataFrame(listed, fields)
+    sought = F.when(F.col("match").isin("host", "domain"), urls.host_of(F.col("url"))).otherwise(_bare_key(F.col("url")))
+    table = keep(table.withColumn("_sought", F.concat("match", F.lit(" "), sought)).withColumnsRenamed({"html_only": "_html", "since": "_since", "until": "_until", "include": "_include", "exclude": "_exclude"}).drop("url"), "targets")
+    kinds = {t.match for t in targets}
+    asked = []
+    if "host" in kinds:
+        asked.append(F.array(F.concat(F.lit("host "), "_host")))
+    if "domain" in kinds:
+        asked.append(F.transform(urls.host_suffixes(F.col("_host")), lambda h: F.concat(F.lit("domain "), h)))
+    if "exact" in kinds:
+        asked.append(F.array(F.concat(F.lit("exact "), "_key")))
+    if "prefix" in kinds:
+        sizes = [r["n"] for r in table.filter("match = 'prefix'").select((F.char_length("_sought") - 7).alias("n")).distinct().collect()]  # lengths of URLs
+        fitting = F.filter(F.array(*[F.lit(n) for n in sorted(sizes)]), lambda n: n <= F.char_length("_key"))
+        asked.append(F.transform(fitting, lambda n: F.concat(F.lit("prefix "), F.substring(F.col("_key"), F.lit(1), n))))
+    sought = rows.withColumn("_sought", F.explode(F.array_compact(F.concat(*asked))))
+    found = sought.join(broadcast_if_small(table.drop("match")), "_sought")
+    within = ((F.col("_since") == "") | (F.col("timestamp") >= F.col("_since"))) & ((F.col("_until") == "") | (F.col("timestamp") <= F.col("_until")))
+    finds = lambda patterns: F.exists(patterns, lambda p: F.regexp_like("original", p))
+    wanted = within & (~F.col("_html") | (F.col("mimetype") == "text/html")) & ((F.size("_include") == 0) | finds("_include")) & ~finds("_exclude")
+    return found.filter(wanted).drop("_sought", "_since", "_until", "_html", "_include", "_exclude")
 
 
 def _wanted(include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
@@ -315,7 +385,8 @@ def _wave(now: DataFrame, hard: DataFrame, waiting: DataFrame, by: tuple[str, ..
 
 
 def assign_local_paths(rows: DataFrame, order: str, ignore: tuple[str, ...] = (), used: DataFrame | None = None) -> DataFrame:
-    """``rows`` (prefix, original) with ``local_path``, unique within a prefix.
+    """``rows`` (prefix, original) with ``local_path``, unique within a prefix. They are read twice, and
+    written with the paths that are to be made unique.
 
     A query becomes folders below the stem; a URL with others below it, or with a slash at its
     end, becomes an index; assets keep their names, pages get ``.html``.
@@ -333,14 +404,24 @@ def assign_local_paths(rows: DataFrame, order: str, ignore: tuple[str, ...] = ()
     )
     named = joined.withColumn("local_path", F.when(F.col("prefix") != "", F.concat("prefix", F.lit("/"), path)).otherwise(path))
     named = named.drop("stem", "query_parts", "slash", "stem_key", "folder")
-    return dedupe_paths(named, order, "local_path", ("prefix",), used)
+    return dedupe_paths(keep(named, "named_paths"), order, "local_path", ("prefix",), used)
+
+
+def page_snapshots(captures: DataFrame, settings: Settings) -> DataFrame:
+    """One capture per page of the targets, as it was chosen: what a manifest has but for its paths."""
+    first = select_snapshot(of_targets(captures, settings.targets).select("target", "target_ord", "urlkey", "original", "timestamp", "seq"), settings.snapshot)
+    one = collapse_canonical(first, settings.snapshot, settings.ignore)
+    return one.select("original", "key", "timestamp", "target", "target_ord", "key_seq")
 
 
 def build_manifest(captures: DataFrame, settings: Settings) -> DataFrame:
     """One row per page of the targets: original, key, timestamp, wayback_url, local_path, target,
-    and ``target_ord`` and ``key_seq`` to order them by."""
-    first = select_snapshot(of_targets(captures, settings.targets), settings.snapshot)
-    one = collapse_canonical(first, settings.snapshot, settings.ignore)
+    and ``target_ord`` and ``key_seq`` to order them by.
+
+    The captures are gone through once; the chosen ones, a narrow row per page, are written,
+    and paths are made from these.
+    """
+    one = keep(page_snapshots(captures, settings), "page_snapshots")
     paths = assign_local_paths(one.withColumn("prefix", F.col("target")), "key_seq", settings.ignore)
     return paths.select("original", "key", "timestamp", urls.capture_url(F.col("timestamp"), F.col("original")).alias("wayback_url"), "local_path", "target", "target_ord", "key_seq")
 
@@ -352,12 +433,16 @@ def limit_urls(manifest: DataFrame, n: int) -> DataFrame:
 
 def new_entries(existing: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """Those of ``new`` (original, timestamp, target, local_path, key_seq ...) whose key ``existing``
-    lacks; their paths give way to existing ones."""
+    lacks, the first of each key (by target_ord where there is one, key_seq and target); their
+    paths give way to existing ones."""
     key = urls.normalize_url(F.col("original"), ignore)
     known = existing.select(key.alias("key")).distinct()
     fresh = urls.settled(new, key=key).join(known, "key", "left_anti")
+    order = [c for c in ("target_ord", "key_seq", "target", "original", "local_path") if c in fresh.columns]
+    rest = [c for c in fresh.columns if c != "key"]
+    one = fresh.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_e")).select("key", "_e.*").select(fresh.columns)
     taken = existing.select(F.lit(1).alias("_all"), "local_path")
-    return dedupe_paths(fresh.withColumn("_all", F.lit(1)), "key_seq", "local_path", ("_all",), taken).drop("_all")
+    return dedupe_paths(keep(one.withColumn("_all", F.lit(1)), "fresh_entries"), "key_seq", "local_path", ("_all",), taken).drop("_all")
 
 
 def merge_manifest(existing: DataFrame, new: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import escape, unescape
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arkloom.functions import urls
+from arkloom.work import keep
 
 # What marks content kinds, references, and what an archive adds to pages.
 BINARY_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".ico", ".bmp", ".webp", ".swf", ".mp3", ".mp4", ".ogg", ".wav", ".flv", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".pdf", ".zip")
@@ -193,14 +195,19 @@ def with_scan(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def references_of(scanned: DataFrame) -> DataFrame:
-    """The rows of :func:`with_scan`, one per reference: ord, grp, tag, attr, rel, value."""
+    """The rows of :func:`with_scan`, one per reference: ord, grp, tag, attr, rel, value.
+
+    From a plain explode Spark infers a filter on the list's size, for which it would scan
+    the pages once more.
+    """
     rest = [c for c in scanned.columns if c not in ("title", "refs")]
-    return scanned.select(*rest, F.explode("refs").alias("_r")).select(*rest, "_r.*")
+    return scanned.select(*rest, F.explode_outer("refs").alias("_r")).select(*rest, "_r.*").filter("ord IS NOT NULL")
 
 
 def extract_references(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without their html, one row per reference: ord, grp, tag, attr, rel, value."""
-    return references_of(with_scan(pages, html))
+    """``pages`` without their html, one row per reference: ord, grp, tag, attr, rel, value. They are
+    written, as what follows reads them more than once."""
+    return keep(references_of(with_scan(pages, html)), "references")
 
 
 def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -208,13 +215,14 @@ def extract_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return extract_references(pages, html).filter("tag = 'a' AND attr = 'href'")
 
 
-def is_asset_reference() -> Column:
-    """Of the scanner's rows: those that load something, never links to other pages."""
+def is_asset_reference(any_css: bool = False) -> Column:
+    """Of the scanner's rows: those that load something, never links to other pages. A page's own
+    styles count where they name absolute URLs (discovery), or with all they name (rewriting)."""
     pair = F.lit(False)
     for tag, attr in ASSET_ATTRIBUTES:
         pair = pair | ((F.col("tag") == tag) & (F.col("attr") == attr))
     rels = F.exists(F.split("rel", r"\s+"), lambda r: r.isin(*LINK_RELS))
-    css = F.col("grp").isin(40, 41) & F.lower("value").rlike("^https?://")
+    css = F.col("grp").isin(40, 41) & F.lower("value").rlike("^https?://") if not any_css else F.col("grp").isin(40, 41)
     return pair | F.col("attr").isin(*LAZY_ATTRIBUTES) | ((F.col("tag") == "link") & (F.col("attr") == "href") & rels) | css
 
 
@@ -243,26 +251,56 @@ def css_references(sheets: DataFrame, css: str = "css", absolute: bool = False)
     return parts
 
 
+class _Open:
+    """The elements that are open at a place of a page, the innermost one last."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.counts: Counter[str] = Counter()
+
+    def enter(self, m: re.Match, name: str) -> None:
+        """A start tag, unless the element has no content or ends itself."""
+        if name not in _VOID and not m[0].endswith("/>"):
+            self.names.append(name)
+            self.counts[name] += 1
+
+    def leave(self, name: str) -> bool:
+        """An end tag ends the innermost element of that name and all within it; whether there was one."""
+        if not self.counts[name]:
+            return False
+        while True:
+            last = self.names.pop()
+            self.counts[last] -= 1
+            if last == name:
+                return True
+
+
 def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str | None, kill_redirects: bool) -> str:
-    """The page with its edits applied; text that nothing touches stays byte for byte."""
+    """The page with its edits applied; text that nothing touches stays byte for byte.
+
+    An element that goes takes what is in it: up to its own end tag, or, where that is missing,
+    to the end of the element around it.
+    """
     by_ord: dict[int, list[dict]] = {}
     for e in edits:
         by_ord.setdefault(e["ord"], []).append(e)
     out: list[str] = []
-    at, skip, depth, head = 0, "", 0, None
+    at, head = 0, None
+    around, gone = _Open(), _Open()
     link = f'<link rel="stylesheet" href="{escape(css_href)}">' if css_href else ""
     script = f'<script src="{escape(js_href)}"></script>' if js_href else ""
     for n, (m, raw) in enumerate(_tokens(html)):
-        if not skip:
+        if not gone.names:
             out.append(html[at : m.start()])
         at = m.end() + len(raw)  # both go on from here, whatever becomes of them
         name, source = (m["name"] or "").lower(), m[0]
-        if skip:
-            if name == skip:
-                depth += -1 if m["end"] else 1
-                if not depth:
-                    skip = ""
-            continue
+        if gone.names:
+            if not m["end"]:
+                gone.enter(m, name) if name else None
+                continue
+            if gone.leave(name) or not around.counts[name]:
+                continue
+            gone = _Open()  # the element around ends, and so does this one
         if m["comment"] is not None:
             c = m["comment"]
             if not ("archive.org" in c or "FILE ARCHIVED" in c or "WAYBACK" in c.upper()):
@@ -272,6 +310,7 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
             out.append(source)
             continue
         if m["end"]:
+            around.leave(name)
             if name == "head" and head == "open":
                 out.append(script)
                 head = "done"
@@ -282,9 +321,9 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
         target = attrs.get("src") or attrs.get("href") or ""
         foreign = attrs.get("id") in TOOLBAR_IDS or name in ("script", "style", "link") and (re.search(TOOLBAR_HOST, target) or re.search(TOOLBAR_CODE, raw) or re.search(TOOLBAR_CODE, target) or re.search(DEAD_LOCAL, target))
         if foreign or name == "base" or kill_redirects and name == "meta" and attrs.get("http-equiv", "").lower() == "refresh":
-            if name not in _VOID:
-                skip, depth = name, 1
+            gone.enter(m, name)
             continue
+        around.enter(m, name)
         changes: dict[str, str] = {}
         styles: dict[str, dict[str, str]] = {"text": {}, "style": {}}
         for e in by_ord.get(n, ()):
@@ -306,7 +345,7 @@ def _rewritten(html: str, edits: list[dict], css_href: str | None, js_href: str
         if name == "head" and head is None:
             out.append(link)
             head = "open"
-    if not skip:
+    if not gone.names:
         out.append(html[at:])
     page = "".join(out)
     if head is None and (link or script):

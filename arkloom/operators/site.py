@@ -15,13 +15,20 @@ STYLE_FILE, SCRIPT_FILE = "_style.css", "_site.js"
 
 
 def build_url_map(main: DataFrame, external: DataFrame | None = None, raw: DataFrame | None = None, ignore: tuple[str, ...] = (), path: str = "local_path", order: str = "key_seq") -> DataFrame:
-    """(key, path): the last entry of a key wins, external ones over all others; they count only
-    where their bytes are there."""
+    """(key, path): the last entry of a key wins (by target_ord where there is one, ``order`` and
+    target), external ones over all others; they count only where their bytes are there."""
     key = urls.normalize_url(F.col("original"), ignore)
-    rows = main.select(key.alias("key"), F.col(path).alias("path"), F.struct(F.lit(0).alias("src"), F.col(order).alias("at")).alias("o"))
+
+    def entries(df: DataFrame, src: int) -> DataFrame:
+        at = [F.col(c) for c in ("target_ord", order, "target") if c in df.columns]
+        at = [F.lit(0).alias("target_ord"), *at] if "target_ord" not in df.columns else at
+        at = at if "target" in df.columns else [*at, F.lit("").alias("target")]
+        return df.select(key.alias("key"), F.col(path).alias("path"), F.struct(F.lit(src).alias("src"), *at, F.col(path).alias("last")).alias("o"))
+
+    rows = entries(main, 0)
     if external is not None:
         there = external if raw is None else external.join(raw.select("local_path"), "local_path", "left_semi")
-        rows = rows.unionByName(there.select(key.alias("key"), F.col(path).alias("path"), F.struct(F.lit(1).alias("src"), F.col(order).alias("at")).alias("o")))
+        rows = rows.unionByName(entries(there, 1))
     return rows.groupBy("key").agg(F.max_by("path", "o").alias("path"))
 
 
@@ -283,12 +290,19 @@ def clean_pages(pages: DataFrame, url_map: DataFrame, scope: DataFrame, localize
     refs = content.references_of(scanned)
     links = classify_links(_resolved(refs.filter("tag = 'a' AND attr = 'href'"), "url", ignore), url_map, scope, here)
     edits = links.filter("state <> 'external'").select("local_path", "ord", "attr", F.col("value").alias("old"), F.col("new_href").alias("new"), F.when(F.col("state") == "dead", F.col("base")).alias("dead"))
-    assets = rewrite_assets(refs.filter(F.col("localize") & content.is_asset_reference()), url_map, "url", here, ignore)
+    assets = rewrite_assets(refs.filter(F.col("localize") & content.is_asset_reference(any_css=True)), url_map, "url", here, ignore)
     edits = edits.unionByName(assets.filter("state <> 'kept'").select("local_path", "ord", "attr", F.col("value").alias("old"), "new", F.lit(None).cast("string").alias("dead")))
     titled = pages.drop("title").join(scanned.select("local_path", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title")), "local_path")
     return content.rewrite_pages(titled, edits, ["local_path"], css_href, js_href, kill_redirects)
 
 
+def content_kinds(manifest: DataFrame, raw: DataFrame) -> DataFrame:
+    """(local_path, media, path) of the entries that have bytes: what they hold and the path that
+    follows from it."""
+    kinds = content.with_media(with_content(manifest.select("local_path").distinct(), raw.select("local_path", "content")))
+    return kinds.select("local_path", "media", content.effective_path(F.col("local_path"), F.col("media")).alias("path"))
+
+
 def clean_site(
     manifest: DataFrame,
     raw: DataFrame,
@@ -299,6 +313,8 @@ def clean_site(
     target: str | None = None,
     only: DataFrame | None = None,
     inject: bool = True,
+    kinds: DataFrame | None = None,
+    arrived: DataFrame | None = None,
 ) -> DataFrame:
     """(target, path, media, content, title) of every entry that has bytes and, unless all are to be
     redone, is not in ``done`` (path): binaries and others as they are, stylesheets and pages
@@ -310,49 +326,92 @@ def clean_site(
     it assets become local. ``target`` narrows all to one target, ``only`` (local_path) the
     result to some entries. Pages load the site's own style and script unless ``inject`` is
     off. The title of what is no page is its URL.
+
+    ``kinds`` is the written table of :func:`content_kinds` for ``raw``, made here if it is not given;
+    ``arrived`` (local_path, path) is the same of bytes that are not in ``raw`` but were there
+    before, to which links lead as well. Contents are read once for their kinds and once by
+    each of the three ways to treat them.
     """
     settings = settings or captures.Settings(external_asset=True)
     ignore = settings.ignore
     main = of_target(manifest, target)
     other = of_target(external, target) if external is not None else main.limit(0)
+    ord_ = lambda df: F.col("target_ord").cast("int") if "target_ord" in df.columns else F.lit(0)
     fields = ["original", "target", "local_path", "key_seq"]
-    entries = main.select(*fields, F.lit(False).alias("external")).union(other.select(*fields, F.lit(True)))
-    kinds = content.with_media(with_content(entries, raw))
-    named = urls.settled(kinds, path=content.effective_path(F.col("local_path"), F.col("media")))
-    moved = named.filter("path <> local_path").select("local_path", F.col("path").alias("_p"))
-    renamed = entries.join(moved, "local_path", "left").withColumn("path", F.coalesce("_p", "local_path")).drop("_p")
-    url_map = keep(build_url_map(renamed.filter("NOT external"), renamed.filter("external"), raw, ignore, "path"), "url_map")
+    entries = main.select(*fields, ord_(main).alias("target_ord"), F.lit(False).alias("external")).union(other.select(*fields, ord_(other), F.lit(True)))
+    kinds = keep(content_kinds(entries, raw), "kinds") if kinds is None else kinds
+    there = kinds.select("local_path", F.col("path").alias("_p"))
+    if arrived is not None:
+        there = there.union(arrived.select("local_path", "path")).groupBy("local_path").agg(F.min("_p").alias("_p"))
+    placed = entries.join(there, "local_path", "left").filter("NOT external OR _p IS NOT NULL").withColumn("path", F.coalesce("_p", "local_path"))
+    url_map = keep(build_url_map(placed.filter("NOT external"), placed.filter("external"), None, ignore, "path"), "url_map")
+    todo = entries.select("local_path", "target", "original").join(kinds, "local_path")
     if done is not None:
-        named = named.join(done.select("path"), "path", "left_anti")
+        todo = todo.join(done.select("path"), "path", "left_anti")
     if only is not None:
-        named = named.join(only.select("local_path").distinct(), "local_path", "left_semi")
+        todo = todo.join(only.select("local_path").distinct(), "local_path", "left_semi")
+    todo = keep(todo, "to_clean")
+    with_bytes = lambda kind: todo.filter(kind).join(raw.select("local_path", "content"), "local_path")
     text = content.decode_text(F.col("content"))
     columns = ["target", "path", "media", "content", "title"]
-    copied = named.filter("media NOT IN ('css', 'html')").withColumn("title", F.col("original")).select(*columns)
-    sheets = content.rewrite_css(named.filter("media = 'css'").select("target", "media", "path", "original", text.alias("css")), url_map, "path", ignore=ignore)
+    copied = with_bytes("media NOT IN ('css', 'html')").withColumn("title", F.col("original")).select(*columns)
+    sheets = content.rewrite_css(with_bytes("media = 'css'").select("target", "media", "path", "original", text.alias("css")), url_map, "path", ignore=ignore)
     sheets = sheets.select("target", "path", "media", F.encode("css", "UTF-8").alias("content"), F.col("original").alias("title"))
     asked = F.col("target").isin([t.name for t in settings.targets if t.localize_assets]) | F.lit(settings.external_asset)
-    pages = named.filter("media = 'html'").select("target", "media", F.col("path").alias("local_path"), F.col("original").alias("url"), text.alias("html"))
+    pages = with_bytes("media = 'html'").select("target", "media", F.col("path").alias("local_path"), F.col("original").alias("url"), text.alias("html"))
     own = [urls.relative_path(F.col("local_path"), F.concat("target", F.lit(f"/{f}"))) if inject else None for f in (STYLE_FILE, SCRIPT_FILE)]
     cleaned = clean_pages(pages, url_map, scope, asked, settings.kill_redirects, *own, ignore)
     return copied.unionByName(sheets).unionByName(cleaned.select("target", F.col("local_path").alias("path"), "media", F.encode("html", "UTF-8").alias("content"), "title"))
 
 
-def reclean_affected(clean: DataFrame, obtained: DataFrame, manifest: DataFrame, raw: DataFrame, scope: DataFrame, settings: captures.Settings | None = None, external: DataFrame | None = None) -> DataFrame:
-    """The new state of all pages and stylesheets (clean: local_path, html; media) that refer to what
-    has been ``obtained`` (original) since, for :func:`clean_site`'s result to be replaced with.
-
-    All referrers count, not only the first one, and stylesheets as well.
-    """
-    pages = clean.filter("media = 'html'")
-    refs = content.fetchable(content.extract_references(pages.select("local_path", "html")).filter("attr IN ('src', 'href') OR grp IN (40, 41)"))
+def reference_index(clean: DataFrame) -> DataFrame:
+    """(base, found_in), each once: what clean pages and stylesheets (local_path, html; media) still name
+    elsewhere. Kept beside a clean site and added to as pages are cleaned, it tells who refers
+    to a URL without reading any page again; see :func:`arkloom.sources.tables.write_references`."""
+    refs = content.fetchable(content.extract_references(clean.filter("media = 'html'").select("local_path", "html")).filter("attr IN ('src', 'href') OR grp <> 99"))
     sheets = content.css_references(clean.filter("media = 'css'").select("local_path", F.col("html").alias("css")), absolute=True)
     named = urls.without_fragment(F.coalesce(urls.unwrap_archive_url(F.col("value")), F.col("value")))
-    found = refs.select("base", F.col("local_path").alias("found_in")).union(sheets.select(named.alias("base"), F.col("local_path").alias("found_in")))
-    affected = affected_pages(found, obtained.select(F.col("original").alias("base")), manifest)
+    return refs.select("base", F.col("local_path").alias("found_in")).union(sheets.select(named.alias("base"), F.col("local_path").alias("found_in"))).distinct()
+
+
+def reclean_affected(
+    clean: DataFrame | None,
+    obtained: DataFrame,
+    manifest: DataFrame,
+    raw: DataFrame,
+    scope: DataFrame,
+    settings: captures.Settings | None = None,
+    external: DataFrame | None = None,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """The new state of all pages and stylesheets that refer to what has been ``obtained`` (original)
+    since, for :func:`clean_site`'s result to be replaced with.
+
+    Who refers is told by ``index`` (see :func:`reference_index`), of which only the obtained
+    bases are read, or, without one, from all clean pages (clean: local_path, html; media).
+    Only the affected contents are rewritten. All referrers count, not only the first one, and
+    stylesheets as well; ``found_in`` is the path of the clean file.
+    """
+    index = reference_index(clean) if index is None else index
+    wanted = obtained.select(urls.without_fragment(F.col("original")).alias("base")).distinct()
+    if "bucket" in index.columns:
+        wanted = wanted.withColumn("bucket", reference_bucket(F.col("base")))
+    found = keep(index.join(wanted, wanted.columns, "left_semi").select("found_in").distinct(), "referrers")
+    # A file may lie under another extension than its entry has.
+    former = found.select("found_in").union(found.filter(F.col("found_in").rlike("[.](css|js)$")).select(F.regexp_replace("found_in", "[.](css|js)$", ".html"))).distinct()
+    entries = manifest.select("local_path") if external is None else manifest.select("local_path").union(external.select("local_path"))
+    affected = keep(entries.join(former.withColumnRenamed("found_in", "local_path"), "local_path", "left_semi"), "affected")
     return clean_site(manifest, raw, scope, external=external, settings=settings, only=affected)
 
 
+#: Buckets of the bases in a kept index of references.
+REFERENCE_BUCKETS = 256
+
+
+def reference_bucket(base: Column) -> Column:
+    return F.pmod(F.xxhash64(base), F.lit(REFERENCE_BUCKETS)).cast("int")
+
+
 def archive_pipeline(rows: DataFrame, settings: captures.Settings, archive: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """From captures to the clean site: (manifest, external entries or None, clean site).
 

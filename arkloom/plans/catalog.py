@@ -122,7 +122,7 @@ c AS (SELECT target, key, arg_min(original, (timestamp, grp_seq)) AS original, m
 
 @query(f"{_MANIFEST_SQL} SELECT target, key, original, timestamp, key_seq FROM c")
 def collapse_canonical(spark, d):
-    return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).select("target", "key", "original", "timestamp", "key_seq")
+    return captures.page_snapshots(fx.captures(spark, d), fx.SETTINGS).select("target", "key", "original", "timestamp", "key_seq")
 
 
 @query(f"{_MANIFEST_SQL} SELECT target, key, concat('https://web.archive.org/web/', timestamp, 'id_/', original) AS wayback_url FROM c")
@@ -132,12 +132,12 @@ def build_manifest(spark, d):
 
 @query(f"{_MANIFEST_SQL} SELECT target, key FROM c ORDER BY target, key LIMIT 40")
 def limit_urls(spark, d):
-    return captures.limit_urls(captures.build_manifest(fx.captures(spark, d), fx.SETTINGS), 40).select("target", "key")
+    return captures.limit_urls(captures.page_snapshots(fx.captures(spark, d), fx.SETTINGS), 40).select("target", "key")
 
 
 @query(f"{_MANIFEST_SQL} SELECT target, count(*) AS n, count(DISTINCT original) AS n_urls FROM c GROUP BY target")
 def counts_by_target(spark, d):
-    return captures.build_manifest(fx.captures(spark, d), fx.SETTINGS).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("n_urls"))
+    return captures.page_snapshots(fx.captures(spark, d), fx.SETTINGS).groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("original").alias("n_urls"))
 
 
 @query(f"WITH {fx.PATHS} SELECT {BASE} AS original, local_path FROM paths_v JOIN pages USING (page_id)")

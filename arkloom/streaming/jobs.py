@@ -5,26 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from arkloom.operators import captures, site
 
 
-def clean_stream(raw: DataFrame, manifest: Callable[[], DataFrame], scope: DataFrame, out: str, checkpoint: str, available_now: bool = True, settings: captures.Settings | None = None) -> StreamingQuery:
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def clean_stream(
+    raw: DataFrame,
+    manifest: Callable[[], DataFrame],
+    scope: DataFrame,
+    out: str,
+    checkpoint: str,
+    available_now: bool = True,
+    settings: captures.Settings | None = None,
+    external: Callable[[], DataFrame] | None = None,
+    state: str | None = None,
+) -> StreamingQuery:
     """Clean what arrives in the raw store (local_path, content) and append it below ``out``.
 
-    The manifest is read anew for each batch. Paths written before are skipped, so a batch that
-    is run again after a failure writes nothing twice.
+    The manifests are read anew for each batch. What a batch's contents are, and so under which
+    paths they lie and which external ones are there, is kept below ``state`` (beside the
+    checkpoint if not given), a folder for each batch: links lead to what came in earlier
+    batches as they do within one. Paths written before are skipped and a batch's state
+    replaces its own, so a batch that is run again after a failure writes nothing twice. A page
+    is not gone back to when what it links to arrives later; :func:`site.reclean_affected` does
+    that.
     """
-
-    def batch(rows: DataFrame, _: int) -> None:
-        try:
-            done = rows.sparkSession.read.parquet(out).select("path")
-        except AnalysisException:
-            done = None
-        clean = site.clean_site(manifest(), rows, scope, done, settings=settings)
+    state = state or f"{checkpoint.rstrip('/')}-arrived"
+
+    def batch(rows: DataFrame, n: int) -> None:
+        spark = rows.sparkSession
+        main, other = manifest(), external() if external else None
+        before = _written(spark, state)
+        before = before.filter(F.col("v") < n).select("local_path", "path") if before is not None else None
+        done = _written(spark, out)
+        entries = main.select("local_path") if other is None else main.select("local_path").union(other.select("local_path"))
+        here = f"{state}/v={n}"
+        site.content_kinds(entries, rows).write.mode("overwrite").parquet(here)
+        clean = site.clean_site(main, rows, scope, done.select("path") if done is not None else None, other, settings, kinds=spark.read.parquet(here), arrived=before)
         clean.write.mode("append").partitionBy("target").parquet(out)
 
     writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -42,11 +72,9 @@ def merge_stream(rows: DataFrame, settings: captures.Settings, out: str, checkpo
     def batch(new: DataFrame, n: int) -> None:
         spark = new.sparkSession
         fresh = captures.build_manifest(new, settings)
-        try:
-            fresh = captures.new_entries(spark.read.parquet(out).filter(F.col("v") < n).drop("v"), fresh, settings.ignore)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        there = _written(spark, out)
+        if there is not None:
+            fresh = captures.new_entries(there.filter(F.col("v") < n).drop("v"), fresh, settings.ignore)
         fresh.write.mode("overwrite").parquet(f"{out}/v={n}")
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
