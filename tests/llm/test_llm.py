@@ -489,3 +489,31 @@ def test_warc(spark, tmp_path):
     ids = [r["record_id"] for r in index.collect()]
     assert len(set(ids)) == 9 and all(i.startswith("<urn:uuid:") for i in ids)
     assert warc.op10(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("k", (1, 5))
+def test_labels_that_many_words_tell_only_together(k):
+    """One of k insults or one of k groups, but not both: no single word and hardly a pair tells."""
+    import numpy as np
+
+    rng, out = random.Random(k), []
+    for _ in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"f{rng.randrange(200)}" for _ in range(12)] + [f"i{rng.randrange(k)}z"] * a + [f"g{rng.randrange(k)}q"] * b
+        out.append((toxicity.terms_of(" ".join(words), {}), float(a != b)))
+
+    def flat(rows):
+        return np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows]), np.array([x for t, _ in rows for x in t]), np.array([y for _, y in rows])
+
+    machine = toxicity.fit(*flat(out[:4800]))
+    rows, terms, labels = flat(out[4800:])
+    at = machine.place[terms]
+    raw, _ = toxicity._raw(rows[at >= 0], at[at >= 0], len(labels), machine.bias, machine.w, machine.v)
+    assert np.mean((raw >= 0) == (labels > 0)) >= 0.97
+
+
+def test_one_label_only(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(12)], "doc_id long, text string")
+    for value, predicted in ((0, 0), (1, 1)):
+        labels = docs.selectExpr("doc_id", f"{value} AS toxic")
+        assert {r["predicted"] for r in toxicity.op7(docs, labels).collect()} == {predicted}
