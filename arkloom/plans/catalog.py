@@ -170,6 +170,26 @@ def merge_manifest(spark, d):
     return captures.merge_manifest(fx.manifest(spark, d), new).select("original", "key", "local_path", "timestamp")
 
 
+@query(f"""WITH {fx.MANIFEST}, n AS (SELECT {_sql_key(BASE)} AS key, arg_min(page_id, page_id) AS page_id FROM pages WHERE {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v) GROUP BY 1)
+SELECT key, local_path, timestamp FROM manifest_v UNION ALL SELECT key, 'other/n' || page_id || '.html', '2014' FROM n""")
+def merge_overlapping(spark, d):
+    # Every page again, found by two targets; of a key the first target's first entry is added.
+    i = F.col("page_id")
+    found = F.explode(F.array(F.struct(F.lit("site").alias("target"), F.lit(1).alias("target_ord")), F.struct(F.lit("other").alias("target"), F.lit(0).alias("target_ord")))).alias("t")
+    new = fx.pages(spark, d).select(urls.without_fragment(F.col("url")).alias("original"), i.alias("key_seq"), F.lit("2014").alias("timestamp"), found).select("*", "t.*").drop("t")
+    new = new.withColumn("local_path", F.concat("target", F.lit("/n"), F.col("key_seq").cast("string"), F.lit(".html")))
+    return captures.merge_manifest(fx.manifest(spark, d), new).select("key", "local_path", "timestamp")
+
+
+_MONTHS = tuple(captures.Target(f"{tld}{n}", f"example.{tld}", since=f"2013{n:02d}", until=f"2013{n:02d}") for tld in ("com", "net", "org") for n in range(1, 13))
+
+
+@query(f"""WITH {fx.CAPTURES}, h AS (SELECT *, regexp_extract(original, '^https?://([^/?#]*)', 1) AS host FROM captures_v WHERE statuscode = '200' AND mimetype = 'text/html')
+SELECT seq, regexp_extract(host, '([a-z]+)$', 1) || CAST(substr(timestamp, 5, 2) AS INT) AS target FROM h WHERE regexp_matches(host, '(^|[.])example[.](com|net|org)$')""")
+def monthly_targets(spark, d):
+    return captures.of_targets(fx.captures(spark, d), _MONTHS).select("seq", "target")
+
+
 # --- progress and maps ---------------------------------------------------------------
 
 
@@ -195,6 +215,14 @@ def url_map(spark, d):
     return site.build_url_map(whole, other, other.filter("key_seq % 2 = 0"))
 
 
+@query(f"""WITH {fx.MANIFEST} SELECT key, arg_max(path, (o, k)) AS path FROM (
+  SELECT key, local_path AS path, 1 AS o, key_seq AS k FROM manifest_v UNION ALL SELECT key, concat('first/', key_seq, '.html'), 0, key_seq FROM whole_v) GROUP BY key""")
+def url_map_overlapping(spark, d):
+    # A page of two targets leads to the last one's copy.
+    first = fx.whole_manifest(spark, d).withColumns({"target": F.lit("first"), "target_ord": F.lit(0), "local_path": F.concat(F.lit("first/"), F.col("key_seq").cast("string"), F.lit(".html"))})
+    return site.build_url_map(fx.manifest(spark, d).withColumn("target_ord", F.lit(1)).unionByName(first))
+
+
 @query(f"WITH {fx.MANIFEST} SELECT page_id, {_sql_key(BASE)} AS key FROM pages WHERE {_sql_key(BASE)} NOT IN (SELECT key FROM manifest_v)")
 def drop_known(spark, d):
     return site.drop_known(fx.pages(spark, d).select("page_id", urls.normalize_url(F.col("url")).alias("key")), fx.manifest(spark, d))
@@ -379,6 +407,21 @@ def clean_page_assets(spark, d):
     return out.select("page_id", loaded.alias("loaded"), F.contains("html", F.lit('src="/web/')).alias("archived"))
 
 
+@query("""SELECT page_id, concat('a{b:url("_external/', page_id % 3, '.png")} c{d:url("_external/', page_id % 3, '.png")} e{f:url(gone.png)}') AS style, concat('x:url(&quot;own', page_id, '.png&quot;)') AS attribute FROM pages""")
+def clean_styles(spark, d):
+    # Styles that name images by absolute and wrapped URLs, and from the host's root.
+    i = F.col("page_id").cast("string")
+    cdn = F.concat(F.lit("http://cdn"), (F.col("page_id") % 3).cast("string"), F.lit(".test/b.png"))
+    style = F.concat(F.lit("<style>a{b:url("), cdn, F.lit(')} c{d:url("/web/20130101000000im_/'), cdn, F.lit('")} e{f:url(gone.png)}</style><p style="x:url(/own'), i, F.lit('.png)">'))
+    pages = fx.archived(spark, d).withColumn("html", F.concat(style, "html"))
+    root = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    own = F.struct(F.concat(root, F.lit("/own"), i, F.lit(".png")).alias("key"), F.concat(F.lit("site/own"), i, F.lit(".png")).alias("path"))
+    shared = F.struct(cdn.alias("key"), F.concat(F.lit("site/_external/"), (F.col("page_id") % 3).cast("string"), F.lit(".png")).alias("path"))
+    known = fx.pages(spark, d).select(F.explode(F.array(own, shared)).alias("e")).select("e.*").distinct()
+    out = site.clean_pages(pages, known, fx.scope(spark))
+    return out.select("page_id", F.regexp_extract("html", "<style>(a[{]b.*?)</style>", 1).alias("style"), F.regexp_extract("html", '<p style="([^"]*)"', 1).alias("attribute"))
+
+
 _SITE = f"SELECT 'site' AS target, concat('site/', page_id, '.html') AS path, 'html' AS media, {_TITLE} AS title FROM pages"
 
 
@@ -429,6 +472,24 @@ def clean_stream(spark, d):
     return spark.read.parquet(f"{root}/clean").select("target", "path", "media", "title")
 
 
+@query("SELECT page_id, concat('s', page_id, '.css') AS href FROM pages")
+def clean_stream_links(spark, d):
+    # Stylesheets that scripts serve arrive first; pages that load them come in later batches.
+    root, i = work_dir(spark, "clean_stream_links"), F.col("page_id").cast("string")
+    sheet = F.concat(F.regexp_extract("url", "^(https?://[^/?#]*)", 1), F.lit("/sheet"), i)
+    entries = fx.pages(spark, d).select(sheet.alias("original"), F.concat(F.lit("site/s"), i, F.lit(".html")).alias("local_path"), F.lit("site").alias("target"), F.col("page_id").alias("key_seq"))
+    manifest = fx.whole_manifest(spark, d).select(entries.columns).union(entries)
+    sheets = entries.select("local_path", F.encode(F.lit("p{margin:0}"), "UTF-8").alias("content"))
+    html = F.concat("html", F.lit('<link rel="stylesheet" href="/sheet'), i, F.lit('">'))
+    for rows in (sheets, fx.archived(spark, d).select("local_path", F.encode(html, "UTF-8").alias("content"))):
+        rows.write.mode("append").parquet(f"{root}/raw")
+        raw = spark.readStream.schema(rows.schema).parquet(f"{root}/raw")
+        jobs.clean_stream(raw, lambda: manifest, fx.scope(spark), f"{root}/clean", f"{root}/state").awaitTermination()
+    pages = spark.read.parquet(f"{root}/clean").filter("media = 'html'")
+    page_id = F.regexp_extract("path", "site/([0-9]+)[.]html", 1).cast("long")
+    return pages.select(page_id.alias("page_id"), F.regexp_extract(F.decode("content", "UTF-8"), '<link rel="stylesheet" href="(s[0-9][^"]*)"', 1).alias("href"))
+
+
 @query(f"{_MANIFEST_SQL} SELECT target, key, count(*) AS n FROM c GROUP BY ALL")
 def merge_stream(spark, d):
     root = work_dir(spark, "merge_stream")
