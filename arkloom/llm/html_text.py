@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 from itertools import accumulate
 
@@ -44,7 +44,7 @@ HEADER = re.compile(r"(?:(?:site|page|main|top|global)[_-]?)?header", re.I)
 ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
 #: Elements whose content is no markup of the page's text.
-RAW = frozenset("script style noscript template svg iframe textarea math canvas audio video".split())
+RAW = frozenset("script style noscript template svg iframe textarea annotation annotation-xml canvas audio video".split())
 #: What a form has in it that is the wrapper of a whole page.
 PAGE = frozenset("h1 nav header footer article main".split())
 # Comments, tags, and other declarations, each up to its end or the page's. A quote holds a >
@@ -95,51 +95,46 @@ def _ends(tags: list[tuple[str, bool, str, int, int]]) -> list[int]:
     """
     ends = [len(tags)] * len(tags)
     stack: list[tuple[str, int]] = []
-    count: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # of each name the places in the stack
 
     def pop_to(depth: int, at: int) -> None:
         while len(stack) > depth:
             name, i = stack.pop()
             ends[i] = at
-            count[name] -= 1
+            open_at[name].pop()
 
-    def last(names: frozenset[str], passing: Callable[[str], bool]) -> int:
-        for d in range(len(stack) - 1, max(-1, len(stack) - 257), -1):
-            if stack[d][0] in names:
-                return d
-            if not passing(stack[d][0]):
-                break
-        return -1
+    def innermost(names: Iterable[str]) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=-1)
+
+    def last(names: frozenset[str], walls: frozenset[str]) -> int:
+        """The innermost open element of these names, unless there is a wall within it."""
+        d = innermost(names)
+        return d if d > innermost(walls - names) else -1
 
     for i, (name, closing, _, _, _) in enumerate(tags):
         if closing:
             if name in ("body", "html"):
                 pop_to(0, i)
-            elif count.get(name):
-                if name in PARTS:
-                    d = len(stack) - 1
-                    while stack[d][0] != name:
-                        d -= 1
-                else:
-                    d = last(frozenset([name]), lambda x: x not in PARTS)
+            elif open_at.get(name):
+                d = innermost((name,)) if name in PARTS else last(frozenset([name]), PARTS)
                 if d >= 0:
                     pop_to(d, i)
             continue
-        if name in P_ENDS and count.get("p") and (d := last(frozenset(["p"]), lambda x: x not in PARTS)) >= 0:
+        if name in P_ENDS and open_at.get("p") and (d := last(frozenset(["p"]), PARTS)) >= 0:
             pop_to(d, i)
         if names := ENDS.get(name):
             if name in TABLE:
-                while (d := last(names, lambda x: x != "table")) >= 0:
+                while (d := last(names, frozenset(["table"]))) >= 0:
                     pop_to(d, i)
-            elif (d := last(names, lambda x: x in LOOSE or x not in PARTS or name == "optgroup" and x == "option")) >= 0:
+            elif (d := last(names, PARTS - LOOSE - (frozenset(["option"]) if name == "optgroup" else frozenset()))) >= 0:
                 pop_to(d, i)
                 if name == "optgroup" and stack and stack[-1][0] == "optgroup":
                     pop_to(len(stack) - 1, i)
         if name in VOID:
             ends[i] = i
         else:
+            open_at.setdefault(name, []).append(len(stack))
             stack.append((name, i))
-            count[name] = count.get(name, 0) + 1
     return ends
 
 

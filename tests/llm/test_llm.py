@@ -517,3 +517,10 @@ def test_one_label_only(spark):
     for value, predicted in ((0, 0), (1, 1)):
         labels = docs.selectExpr("doc_id", f"{value} AS toxic")
         assert {r["predicted"] for r in toxicity.op7(docs, labels).collect()} == {predicted}
+
+
+def test_page_text_in_deep_markup_and_formulas():
+    text = "word " * 60
+    deep = "<div>" * 300 + '<p class="ad">' + "<b>" * 2000 + "Buy this now. " * 20 + "<p>" + text
+    assert html_text.main_text(deep) == text.strip()
+    assert html_text.main_text(f"<article><p>{text}Let <math><mi>x</mi><annotation>x</annotation></math> be").endswith("Let x be")
