@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arkloom.functions import urls
-from arkloom.work import broadcast_if_small, keep, ranked
+from arkloom.work import asked_of, broadcast_if_small, keep, ranked
 
 MATCHES = ("exact", "prefix", "host", "domain")
 #: Targets up to which each one is an expression of its own.
@@ -292,6 +292,9 @@ def dedupe_paths(rows: DataFrame, order: str, path: str = "path", by: tuple[str,
     keys = [*by, path]
     claimed = rows.select(*keys, F.lit(1).alias("n"), F.lit(False).alias("used"))
     if used is not None:
+        # Names of other families than the rows' ones can't be met.
+        family = F.regexp_replace(F.regexp_replace(F.col(path), "[.]html$", ""), r"(_\d+)+$", "")
+        used = asked_of(used.select(*keys, family.alias("_family")), rows.select(*by, family.alias("_family")), [*by, "_family"], "families")
         claimed = claimed.union(used.select(*keys).distinct().select(*keys, F.lit(0), F.lit(True)))
     names = claimed.groupBy(*keys).agg(F.sum("n").alias("n"), F.max("used").alias("used"))
     contested = keep(names.filter("n > 0 AND (n > 1 OR used)").withColumn("claims", F.col("n") - 1 + F.col("used").cast("int")), "contested")

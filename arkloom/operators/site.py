@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arkloom.functions import urls
 from arkloom.operators import captures, content
-from arkloom.work import keep, ranked
+from arkloom.work import asked_of, keep, ranked
 
 # The most waves of a discovery, and the names of a site's own style and script.
 MOST_WAVES = 5
@@ -83,11 +83,12 @@ def rewrite_assets(refs: DataFrame, url_map: DataFrame, page_url: str = "url", f
 
 
 def drop_known(rows: DataFrame, *manifests: DataFrame, key: str = "key") -> DataFrame:
-    """Rows whose key none of the manifests has."""
+    """Rows whose key none of the manifests has. Of the manifests only the keys that rows have are
+    looked at, so a small wave does not move a large manifest."""
     known = manifests[0].select("key")
     for m in manifests[1:]:
         known = known.union(m.select("key"))
-    return rows.join(known.distinct().withColumnRenamed("key", key), key, "left_anti")
+    return rows.join(asked_of(known.withColumnRenamed("key", key), rows, [key], "asked_keys"), key, "left_anti")
 
 
 def dedupe_references(refs: DataFrame, order: Column) -> DataFrame:

@@ -54,6 +54,12 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def asked_of(table: DataFrame, rows: DataFrame, on: list[str], name: str) -> DataFrame:
+    """The rows of a large ``table`` whose ``on`` is among those of ``rows``. While these are few the
+    table is gone through where it lies, and nothing of it moves but what is asked for."""
+    return table.join(broadcast_if_small(keep(rows.select(*on).distinct(), name)), on, "left_semi")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[str], out: str = "_rank") -> DataFrame:
     """``rows`` with their 1-based place among those with equal ``keys`` (which are not null), by
     ``order``; rows equal in all of it get neighbouring places in any order.

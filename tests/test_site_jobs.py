@@ -269,3 +269,15 @@ def test_what_a_wave_says_twice_and_hosts_that_are_left_out(spark):
     scope, manifest = spark.createDataFrame([("a.com",)], "host string"), spark.createDataFrame([("http://a.com/",)], "key string")
     found = {r["original"]: r for r in site.discover_external(pages, scope, manifest, archive, "t").collect()}
     assert found["http://both.test/i.png"]["found_in"] == "http://s.test/s.css" and found["http://both.test/i.png"]["wave"] == 1 and len(found) == 3
+
+
+def test_a_small_wave_does_not_move_a_large_manifest(spark, tmp_path):
+    spark.range(5000).select(F.concat(F.lit("http://a.com/"), "id").alias("key"), F.lit(1).alias("_all"), F.concat(F.lit("t/p_"), "id", F.lit(".html")).alias("path")).write.parquet(f"file://{tmp_path}/m")
+    manifest = spark.read.parquet(f"file://{tmp_path}/m")
+    rows = spark.createDataFrame([("http://a.com/7", 1, "t/p_7.html", 1), ("http://a.com/x", 1, "t/q.html", 2), ("http://a.com/y", 1, "t/p_7.html", 3)], "key string, _all int, path string, n long")
+    new = site.drop_known(rows, manifest)
+    assert {r["key"] for r in new.collect()} == {"http://a.com/x", "http://a.com/y"}
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 or "BroadcastHashJoin" in plan[plan.index("LeftSemi") - 80 :]
+    got = captures.dedupe_paths(new, "n", by=("_all",), used=manifest)
+    assert {r["key"]: r["path"] for r in got.collect()} == {"http://a.com/x": "t/q.html", "http://a.com/y": "t/p_7_2.html"}
