@@ -26,6 +26,8 @@ HUNDRED, MOST_SHARED = 100, 6
 SHARD_TURNS, AT_ONCE = 50_000, 50_000
 #: Places of a level of the hash for each key that it is to place.
 ROOM = 2
+#: Levels after which keys are not to be told apart; each level leaves less than half of them.
+MOST_LEVELS = 100
 
 Digests = tuple[np.ndarray, np.ndarray]  # two lanes of 64 bits
 
@@ -49,6 +51,8 @@ class Slots:
         first, second = keys
         placed = 0
         while len(first):
+            if len(self.levels) == MOST_LEVELS:
+                raise ValueError("digests that no level tells apart, as if two prefixes had one digest")
             at = self._places(first, second, len(self.levels), ROOM * len(first))
             alone = np.bincount(at, minlength=ROOM * len(first)) == 1
             self.levels.append((alone, placed + np.cumsum(alone) - 1))
