@@ -1,10 +1,15 @@
 """Secrets in text: fixed forms, and a battery of randomness tests with false-discovery control.
 
+A token is reported if its randomness is not refuted and it is found to be unlike the text of the
+corpus: what the battery has no power to refute, such as short words, is no discovery by itself.
+
 Only DataFrame functions: no Python code runs on the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +43,16 @@ ENCODINGS = (
 )
 #: The letters of which prose in Latin script has most.
 COMMON = "aehilnorst"
-#: Share of false discoveries among the runs that are found not to be random.
+#: The characters of tokens, and the words that tell how characters follow each other in the
+#: corpus: whole runs of these characters that are too short to be tested themselves.
+SIGNS = "0123456789" + LETTERS.upper() + LETTERS + "+/_-"
+WORD = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{2,{LEAST - 1}}}+(?![A-Za-z0-9+/_-])"
+#: Of the probability of a character behind another: the weight of the characters' own shares,
+#: in occurrences, and the part that is given to all characters alike, so that a rare pair
+#: alone is no proof of randomness.
+PRIOR, EVEN = 66, 0.05
+#: Share of false discoveries among the runs that are found not to be random, and among those
+#: that are found not to be text.
 FDR = 0.05
 #: p-values are binned by their logarithm, in this many levels a decade down to 1e-20, each
 #: taken for its largest value, so the counts that set the thresholds are few.
@@ -145,9 +159,60 @@ def level_of(p: Column) -> Column:
     return F.floor(F.lit(float(-LEVELS)) * F.log10(F.greatest(p, F.lit(10.0**-DECADES)))).cast("int")
 
 
-def _tested(spans: Column) -> Column:
-    """(start, end, stratum, level) of the candidates of an inferred encoding, whatever their mix
-    of characters. The stratum is the encoding and the length, in quarters of its power of two."""
+def successions(docs: DataFrame, text_col: str = "text") -> list[float]:
+    """The logarithm of each character's probability behind each other one, in the short words
+    of all documents: that of ``SIGNS[j]`` behind ``SIGNS[i]`` at ``i * len(SIGNS) + j``.
+
+    Only the counts of pairs leave the executors, at most len(SIGNS) squared rows. Without any
+    word all characters are alike.
+    """
+    words = docs.select(F.explode_outer(F.regexp_extract_all(text_or_empty(text_col), F.lit(WORD), F.lit(0))).alias("word"))
+    pairs = words.select(F.explode(F.array(*[F.substring("word", i, 2) for i in range(1, LEAST - 1)])).alias("pair")).filter(F.char_length("pair") == 2)
+    counts = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, behind = dict.fromkeys(SIGNS, 0), dict.fromkeys(SIGNS, 1)
+    for (a, b), n in counts.items():
+        before[a] += n
+        behind[b] += n
+    total = sum(behind.values())
+
+    def of(a: str, b: str) -> float:
+        known = (counts.get(a + b, 0) + PRIOR * behind[b] / total) / (before[a] + PRIOR)
+        return math.log((1 - EVEN) * known + EVEN / len(SIGNS))
+
+    return [of(a, b) for a in SIGNS for b in SIGNS]
+
+
+def _strangeness(token: Column, size: Column, model: Column) -> Column:
+    """How much likelier the token is as random characters of an alphabet of ``size`` than as
+    characters that follow each other as in the corpus, as a logarithm, less that of the number
+    of encodings of which one was inferred.
+
+    The expectation of this ratio over tokens that do follow each other so is at most 1, so its
+    inverse is a p-value of that hypothesis at any length (Markov's inequality).
+    """
+    places = F.transform(F.slice(F.split(token, ""), F.lit(1), F.char_length(token)), lambda c: F.instr(F.lit(SIGNS), c) - 1)
+
+    def walk(even: Column) -> Column:
+        start = F.struct(F.lit(-math.log(len(ENCODINGS))).alias("sum"), F.lit(None).cast("int").alias("last"))
+
+        def step(a: Column, v: Column) -> Column:
+            gain = F.coalesce(even - F.get(model, a["last"] * len(SIGNS) + v), F.lit(0.0))
+            return F.struct((a["sum"] + gain).alias("sum"), v.alias("last"))
+
+        return F.aggregate(places, start, step)["sum"]
+
+    return _let(-F.log(size.cast("double")), walk)
+
+
+def level_of_ratio(ratio: Column) -> Column:
+    """The level of the p-value ``exp(-ratio)``, see :func:`level_of`."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(float(LEVELS * DECADES)), ratio * (LEVELS / math.log(10))))).cast("int")
+
+
+def _tested(spans: Column, model: Column) -> Column:
+    """(start, end, stratum, level, strange) of the candidates of an inferred encoding, whatever
+    their mix of characters. The stratum is the encoding and the length, in quarters of its power
+    of two; ``level`` is that of the battery, ``strange`` that of the test against text."""
 
     def one(s: Column) -> Column:
         return _let(F.regexp_replace(s["part"], "=+$", ""), lambda core: of(s, core))
@@ -163,13 +228,14 @@ def _tested(spans: Column) -> Column:
     def tested(s: Column, core: Column, e: Column) -> Column:
         band = F.floor(F.lit(4.0) * F.log2(F.char_length(core).cast("double"))).cast("string")
         p = F.when(e["name"].isNotNull(), _battery(core, e["alphabet"], e["common"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(e["name"], F.lit("/"), band).alias("stratum"), level_of(p).alias("level"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(e["name"], F.lit("/"), band).alias("stratum"), level_of(p).alias("level"), level_of_ratio(_strangeness(core, F.char_length(e["alphabet"]), model)).alias("strange"))
 
     return F.filter(F.transform(spans, one), lambda t: t["stratum"].isNotNull())
 
 
 def thresholds(tested: DataFrame) -> dict[str, int]:
-    """Of each stratum, the level from which on a token is found not to be random.
+    """Of each stratum, the level from which on the hypothesis is refuted: of the battery's levels,
+    that the token is random, of those of strangeness, that it is text.
 
     ``tested`` has one row per candidate (stratum, level) of all documents. Within a stratum,
     which holds tokens of one encoding and like length, the step-up rule of Benjamini and
@@ -221,13 +287,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``base`` has the fixed forms (kinds 0 to 2 of ``KINDS``): the whole match is the span,
     places are code points, ends exclusive. ``spans`` has these and, as kind 3, the tokens of
-    other forms that pass the battery: those whose randomness is not refuted at a
-    false-discovery rate of ``FDR`` over all documents, and that lie in no base span and no
-    longer such token.
+    other forms that pass the battery: those whose randomness is not refuted and that are
+    found not to be text, each at a false-discovery rate of ``FDR`` over all documents, and that
+    lie in no base span and no longer such token. Where characters follow each other in the
+    corpus as in a random token, as digits mostly do, nothing tells them apart and none is
+    reported.
 
     A null text is an empty one, which has no spans. Null and repeated ids are kept, one
     result per row. An empty table gives no rows. Other columns are not looked at. One
-    scan reads the whole texts; it leaves a narrow table, whose counts set the thresholds.
+    scan counts the successions of characters, a second one reads the whole texts again and
+    leaves a narrow table, whose counts set the thresholds.
     """
     text = text_or_empty(text_col)
     low = F.lower(text)
@@ -237,12 +306,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hexes = _where(text.rlike("[0-9a-f]{24}"), _spans(text, HEX, 2))
     runs = _where(text.rlike(f"[A-Za-z0-9_-]{{{LEAST}}}"), _spans(text, CANDIDATE, 3))
     runs64 = _where(text.rlike(f"[A-Za-z0-9+/]{{{LEAST}}}") & text.rlike("[+/]"), _spans(text, CANDIDATE64, 3))
-    found = docs.select(F.col(id_col).alias("id"), F.concat(assign, access, hexes).alias("base"), _tested(F.concat(runs, runs64)).alias("tested"))
+    model = F.split(F.lit(",".join(map(repr, successions(docs, text_col)))), ",").cast("array<double>")
+    found = docs.select(F.col(id_col).alias("id"), F.concat(assign, access, hexes).alias("base"), _tested(F.concat(runs, runs64), model).alias("tested"))
     found = keep(found.withColumn("base", F.array_sort(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))), "secrets")
 
-    limits = thresholds(found.select(F.explode("tested").alias("t")).select("t.stratum", "t.level"))
-    limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
-    random = F.filter("tested", lambda t: t["level"] < F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(LEVELS * DECADES + 1)))
+    each = found.select(F.explode("tested").alias("t"))
+
+    def refuted(t: Column, name: str, limits: dict[str, int]) -> Column:
+        limit = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair]) if limits else F.create_map().cast("map<string,int>")
+        return t[name] >= F.coalesce(F.try_element_at(limit, t["stratum"]), F.lit(LEVELS * DECADES + 1))
+
+    ordered, strange = (thresholds(each.select("t.stratum", F.col("t")[name].alias("level"))) for name in ("level", "strange"))
+    random = F.filter("tested", lambda t: ~refuted(t, "level", ordered) & refuted(t, "strange", strange))
     tagged = F.transform("base", lambda b: _item(b["start"], 0, b["end"]))
     items = F.array_sort(F.concat(tagged, F.transform(random, lambda t: _item(t["start"], 1, t["end"]))))
     more = F.when(F.size(random) > 0, _apart(items)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))

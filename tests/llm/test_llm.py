@@ -1,11 +1,13 @@
 import gzip
 import hashlib
 import json
+import math
 import random
 import re
 import time
 import unicodedata
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,6 +285,95 @@ def test_random_tokens_are_found(spark):
     assert not any(spans for i, (_, spans) in got.items() if i >= 100)
 
 
+def normal_tail(z):
+    return math.erfc(max(-12.0, min(12.0, z)) / math.sqrt(2)) / 2
+
+
+def plain_battery(token, alphabet, common):
+    """The battery's p-value, test by test, with the exact normal tail."""
+    n, size = len(token), len(alphabet)
+    chi = sum(token.count(c) ** 2 for c in set(token)) * size / n - n
+    spread = 2 / (9 * (size - 1))
+    p = [normal_tail((max(chi, 0) / (size - 1)) ** (1 / 3) / spread**0.5 - (1 - spread) / spread**0.5)]
+    v = [alphabet.index(c) + 1 - (size + 1) / 2 for c in token]
+    high = sum(x > 0 for x in v)  # above the alphabet's middle
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(v, v[1:]))
+    v = [x - sum(v) / n for x in v]
+    power = sum(x * x for x in v)
+    z = abs(sum(a * b for a, b in zip(v, v[1:])) / power + 1 / n) * n**0.5 if power else 8
+    e = 2 * high * (n - high) / n
+    r = abs(runs - e - 1) / (e * (e - 1) / (n - 1)) ** 0.5 if e * (e - 1) > 0 else 8
+    p += [2 * normal_tail(z), 2 * normal_tail(r)]
+    if common:
+        share = len(common) / size
+        p.append(normal_tail((sum(c in common for c in token) - 0.5 - n * share) / (n * share * (1 - share)) ** 0.5))
+    return min(1.0, len(p) * min(p))
+
+
+def test_battery_equals_plain_python(spark):
+    rng = random.Random(7)
+    rows = []
+    for name, form, alphabet in secrets.ENCODINGS:
+        common = "".join(c for c in secrets.COMMON if c in alphabet) or "".join(c for c in secrets.COMMON.upper() if c in alphabet)
+        for n in (12, 13, 19, 40, 300):
+            few = rng.sample(alphabet, 3)
+            rows += [(t, alphabet, common) for t in ("".join(rng.choices(alphabet, k=n)), "".join(rng.choices(few, k=n)), "".join(sorted(rng.choices(alphabet, k=n))), alphabet[0] * n)]
+    table = spark.createDataFrame(rows, "token string, alphabet string, common string")
+    got = table.select("*", secrets._battery(F.col("token"), F.col("alphabet"), F.col("common")).alias("p")).collect()
+    assert len(got) == 180
+    for r in got:
+        want = plain_battery(r["token"], r["alphabet"], r["common"])
+        assert r["p"] == pytest.approx(want, rel=0.004, abs=1e-30), r
+
+
+def test_strangeness_equals_plain_python(spark):
+    texts = ["The cat sat on it-or not", None, "", "a_b 42 averyverylongword ab\u00e9cd x", "The " * 50]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts, shares = Counter(), Counter(secrets.SIGNS)
+    for t in texts:
+        for w in re.findall(r"[A-Za-z0-9+/_-]+", t or ""):
+            if len(w) < secrets.LEAST:
+                counts.update(w[i : i + 2] for i in range(len(w) - 1))
+    for pair, n in counts.items():
+        shares[pair[1]] += n
+    firsts, total, k = Counter(), sum(shares.values()), len(secrets.SIGNS)
+    for pair, n in counts.items():
+        firsts[pair[0]] += n
+
+    def log_p(a, b):
+        known = (counts[a + b] + secrets.PRIOR * shares[b] / total) / (firsts[a] + secrets.PRIOR)
+        return math.log((1 - secrets.EVEN) * known + secrets.EVEN / k)
+
+    model = secrets.successions(docs)
+    assert model == pytest.approx([log_p(a, b) for a in secrets.SIGNS for b in secrets.SIGNS])
+    for i in range(k):  # behind each character the probabilities add up to 1
+        assert sum(math.exp(x) for x in model[i * k : (i + 1) * k]) == pytest.approx(1)
+    tokens = ["The", "ThThThThThTh", "k9Qx2ZvB7mWp", "x", "a" * 5000]
+    array = F.array(*[F.lit(x) for x in model])
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets._strangeness(F.col("t"), F.lit(62), array).alias("z")).collect()
+    for r in got:
+        t = r["t"]
+        assert r["z"] == pytest.approx(sum(-math.log(62) - log_p(a, b) for a, b in zip(t, t[1:])) - math.log(len(secrets.ENCODINGS)))
+    assert secrets.successions(docs.limit(0)) == pytest.approx([-math.log(k)] * k * k)
+    far = spark.createDataFrame([(-5.0,), (0.0,), (3.0,), (1e9,)], "z double").select(secrets.level_of_ratio(F.col("z"))).collect()
+    assert [r[0] for r in far] == [0, 0, math.floor(3 * 20 / math.log(10)), 400]
+
+
+def test_ordinary_words_are_no_secrets(spark, docs):
+    """Long words and compounds that the battery cannot refute one by one are like the text around
+    them; tokens in their midst are not."""
+    rng = random.Random(2)
+    syllables = ["ein", "ver", "ch", "au", "eou", "vie", "une", "ge", "lich", "tion", "ment", "zupf", "quoi", "my", "rhyth", "syz", "gy"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(4000)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 20]) + " " + "".join(rng.choices(syllables, k=4)) + "chen") for i in range(200)]
+    tokens = {1000 + i: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=20)) for i in range(20)}
+    rows += [(i, f"ein {t} ver") for i, t in tokens.items()] + [(2000, None), (2001, ""), (None, "une vie")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    found = {r["doc_id"] for r in got if any(s["kind"] == 3 for s in r["spans"])}
+    assert not {i for i in found if i < 1000} and len(found & set(tokens)) >= 18
+
+
 def test_false_discoveries_in_a_skewed_stratum(spark):
     random_p = [(i + 0.5) / 20_000 for i in range(20_000)]
     far = [10 ** -(4.5 + i / 5) for i in range(60)]  # 0.3 % of the tokens are not random
