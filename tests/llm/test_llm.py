@@ -615,3 +615,82 @@ def test_page_text_in_deep_markup_and_formulas():
     deep = "<div>" * 300 + '<p class="ad">' + "<b>" * 2000 + "Buy this now. " * 20 + "<p>" + text
     assert html_text.main_text(deep) == text.strip()
     assert html_text.main_text(f"<article><p>{text}Let <math><mi>x</mi><annotation>x</annotation></math> be").endswith("Let x be")
+
+
+def plain_shards(rows, shards, seed=20240):
+    """(id, shard, slot) of rows (id, text, source) by the steps of the docstring, in plain Python."""
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    mark = {i: hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i, _, _ in rows}
+    by_source, by_text, fraction, shard = {}, {}, {}, {}
+    for i, t, s in sorted(rows, key=lambda r: mark[r[0]]):
+        by_source.setdefault(s, []).append(i)
+        by_text.setdefault(digest(t), []).append(i)
+    for ids in by_source.values():
+        fraction |= {i: (r + 0.5) / len(ids) for r, i in enumerate(ids)}
+    rooms = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+
+    def place(groups):
+        for d, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+            s = max(range(shards), key=lambda k: (rooms[k], -k))
+            shard[d] = s if n <= rooms[s] else None
+            rooms[s] -= n if n <= rooms[s] else 0
+
+    groups = {d: len(ids) for d, ids in by_text.items() if len(ids) > 1}
+    bound = len(rows) // (shards * sharding.LARGE)
+    place([g for g in groups.items() if g[1] > bound])
+    small = sorted((d for d, n in groups.items() if n <= bound), key=lambda d: (min(fraction[i] for i in by_text[d]), d))
+    room, all_small, start, cuts = sum(rooms), sum(groups[d] for d in small), 0, []
+    for s in range(shards - 1):
+        cuts.append(sum(rooms[: s + 1]) * all_small // max(room, 1))
+    dealt = {}
+    for d in small:
+        s = sum(c <= start for c in cuts)
+        dealt.setdefault(s, []).append(d)
+        shard[d], start = s, start + groups[d]
+    over = []
+    for s, ds in dealt.items():
+        if sum(groups[d] for d in ds) > rooms[s]:
+            over.append(ds.pop())
+        rooms[s] -= sum(groups[d] for d in ds)
+    place([(d, groups[d]) for d in over])
+    at = {i: shard.get(digest(t)) for i, t, _ in rows}
+    order = lambda i: (fraction[i], mark[i])
+    for s, i in zip((s for s in range(shards) for _ in range(rooms[s])), sorted((i for i in at if at[i] is None), key=order), strict=True):
+        at[i] = s
+    return {(i, s, k) for s in range(shards) for k, i in enumerate(sorted((i for i in at if at[i] == s), key=order))}
+
+
+@pytest.mark.parametrize("shards, groups", [(24, [1] * 900 + [2] * 200 + [3] * 90 + [40] * 4 + [150]), (5, [7] * 40), (3, [1, 1])])
+def test_placing_equals_plain_python(spark, shards, groups):
+    rng = random.Random(shards)
+    texts = [f"text {g}" for g, n in enumerate(groups) for _ in range(n)]
+    rows = [(i, t, rng.choice(["a", "a", "b", "c", None])) for i, t in enumerate(texts)]
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards).collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == plain_shards(rows, shards)
+
+
+def test_patterns_equal_placing_piece_by_piece():
+    rng = random.Random(8)
+    for length, n in ((10, 40), (64, 300), (64, 3), (2048, 1500)):
+        sizes = [min(length, int(length * rng.random() ** rng.choice((1, 3))) + 1) for _ in range(n)]
+        free = []  # of each open pack
+        for size in sorted(sizes, reverse=True):
+            most = max((f for f in free if f >= size), default=None)
+            if most is None:
+                free.append(length - size)
+            else:
+                free[free.index(most)] -= size
+        packs = packing.patterns(Counter(sizes), length)
+        assert sorted(free) == sorted(length - sum(p) for many, p in packs for _ in range(many))
+        assert Counter(s for many, p in packs for s in p for _ in range(many)) == Counter(sizes)
+
+
+def test_shuffled_paths_of_copies(spark, docs, monkeypatch):
+    """What is broadcast where it is small gives the same rows where it is shuffled."""
+    pages = spark.createDataFrame([(i, "u", f"{i % 7}" * 150) for i in range(60)] + [(None, None, None), (60, "u", "short"), (61, "u", "short")], "page_id long, url string, html string")
+    plans = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+        plans.append([sorted(map(str, df.collect())) for df in (warc.op10(pages), exact_dedup.op6(docs), exact_dedup.distinct_documents(docs))])
+    assert plans[0] == plans[1] and [len(x) for x in plans[0][:2]] == [63, 12]
