@@ -138,8 +138,9 @@ def _ends(tags: list[tuple[str, bool, str, int, int]]) -> list[int]:
     return ends
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """The page stripped of markup: (text, characters outside links, in a marked article).
+def lines_of(html: str) -> list[tuple[str, int, int]]:
+    """The page stripped of markup: (text, characters outside links, the marked article it lies in:
+    1 for the first outermost one, 0 for none).
 
     A line ends at every block element and line break. What lies in a foreign element is one
     empty line, so that the text there dives; in a marked article, what lies in foreign
@@ -147,10 +148,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     lies in another one) nor what holds one is foreign by its class or id, nor is a form that
     the whole page lies in.
     """
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int]] = []
     text: list[str] = []
     linked = 0
-    links = article = posts = 0  # posts: the articles among the marked elements that are open
+    links = article = posts = which = 0  # posts: the articles among the marked elements that are open
     tags, pieces, at = [], [], 0  # the text before each tag, and after the last one
     while token := TOKEN.search(html, at):
         pieces.append(html[at : token.start()])
@@ -183,7 +184,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         if text:
             if line := " ".join(unescape("".join(text)).split()):
-                lines.append((line, max(0, len(line) - linked), article > 0))
+                lines.append((line, max(0, len(line) - linked), which if article else 0))
             text.clear()
             linked = 0
 
@@ -216,8 +217,8 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         named = inner is None and not (name in MARKED and not posts) and not (name == "form" and whole(i))
         if _foreign(name, attrs, article > 0, named):
             end_line()
-            if not (article and lines and lines[-1] == ("", 0, True)):
-                lines.append(("", 0, article > 0))
+            if not (article and lines and lines[-1][:2] == ("", 0) and lines[-1][2]):
+                lines.append(("", 0, which if article else 0))
             if not attrs.endswith("/"):
                 links = 0
                 if inner is not None:
@@ -231,6 +232,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
                     i += 1
                 continue
         elif name in MARKED:
+            which += article == 0
             article += 1
             posts += name == "article"
         i += 1
@@ -244,12 +246,14 @@ def main_text(html: str | None) -> str:
 
     The weight of a line is its number of characters outside links, and 0 in foreign
     elements. A line that has such characters and lies in a marked article weighs ``BONUS``
-    more, less than ``SURGE``, so the lengths decide on every page, and text outside of the
-    mark surges by its own length. With s[i] the weight of the ``WINDOW`` lines from i on,
+    more, less than ``SURGE``, so the lengths decide on every page. With s[i] the weight of the ``WINDOW`` lines from i on,
     text surges at the first s[i] over ``SURGE`` and dives where s falls to 0 or a marked
     article begins or ends, so that neither side carries the other; the lines between with
-    text of their own are joined by a line feed. A page in which nothing surges gives the
-    lines of its heaviest run. None and a page without text give "".
+    text of their own are joined by a line feed. What surges outside of marked articles stays
+    only if it has as much text, all together, as surges in the longest of them:
+    blocks that no name tells from the article are shorter than it, while a teaser or a
+    comment that is marked does not replace the text beside it. A page in which nothing surges
+    gives the lines of its heaviest run. None and a page without text give "".
     """
     if not html:
         return ""
@@ -261,7 +265,7 @@ def main_text(html: str | None) -> str:
     i = 0
     while i < n:
         j = i
-        while j < n and lines[j][2] == lines[i][2]:
+        while j < n and bool(lines[j][2]) == bool(lines[i][2]):
             j += 1
         start = None
         for k in range(i, j):
@@ -274,7 +278,13 @@ def main_text(html: str | None) -> str:
         if start is not None:
             runs.append((start, j))
         i = j
-    kept = [run for run in runs if max(sums[run[0] : run[1]]) > SURGE] or sorted(runs, key=lambda r: -sum(weights[r[0] : r[1]]))[:1]
+    surging = [run for run in runs if max(sums[run[0] : run[1]]) > SURGE]
+    sizes: dict[int, int] = {0: 0}  # of what surges in each marked article, and beside them
+    for k in (k for run in surging for k in range(*run)):
+        sizes[lines[k][2]] = sizes.get(lines[k][2], 0) + lines[k][1]
+    if sizes[0] < max(sizes.values()):
+        surging = [run for run in surging if lines[run[0]][2]]
+    kept = surging or sorted(runs, key=lambda r: -sum(weights[r[0] : r[1]]))[:1]
     out: list[str] = []
     for i, j in kept:
         while i < j and not weights[i] and not lines[i][2]:  # a window surges before its first heavy line

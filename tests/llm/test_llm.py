@@ -103,6 +103,22 @@ def test_page_text_beside_marks():
     assert html_text.main_text(f"<main><h1><a href=x>Title</a></h1>{divs}" + "<div><a href=y>Link</a></div>" * 5 + "</main>") == f"Title\n{want}"
 
 
+def test_page_text_with_shorter_blocks_beside_the_article():
+    """Blocks of names that no list has, beside a marked article that is longer."""
+    article = "\n".join("word " * 40 + "end" for _ in range(5))
+    marked = "<article>" + "".join(f"<p>{x}</p>" for x in article.split("\n")) + "</article>"
+    block = '<div class="user-feedback"><p>' + "I liked it much " * 25 + "</p></div>"
+    assert html_text.main_text(f"{marked}{block}") == html_text.main_text(f"{block}{marked}") == article
+    assert html_text.main_text(f"{marked}<div>{marked}{block}</div>") == f"{article}\n{article}"
+    # Together as long as the article: the mark may be wrong, and all stays.
+    feedback = ("I liked it much " * 25).strip()
+    assert html_text.main_text(f"{block}{marked}{block * 2}") == "\n".join([feedback, article, feedback, feedback])
+    assert html_text.main_text(block) == feedback
+    # Each of many teasers is shorter than what lies beside them.
+    teasers = [f"Teaser {i} " + "and more " * 15 + "end" for i in range(9)]
+    assert html_text.main_text(block + "".join(f"<article>{x}</article>" for x in teasers)) == "\n".join([feedback, *teasers])
+
+
 def test_page_text_in_wrappers():
     body = ["word " * 30 + "end", "more " * 25 + "end", "Short."]
     inside = "".join(f"<p>{x}</p>" for x in body)
