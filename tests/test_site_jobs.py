@@ -3,7 +3,9 @@
 import json
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from arkloom.functions import urls
 from arkloom.operators import captures, content, site
 from arkloom.sources import tables
 from arkloom.streaming import jobs
+from arkloom.work import BATCH_BYTES
 
 ENTRY = "original string, target string, local_path string, key_seq long"
 
@@ -281,3 +284,30 @@ def test_a_small_wave_does_not_move_a_large_manifest(spark, tmp_path):
     assert plan.count("BroadcastHashJoin") == 2 or "BroadcastHashJoin" in plan[plan.index("LeftSemi") - 80 :]
     got = captures.dedupe_paths(new, "n", by=("_all",), used=manifest)
     assert {r["key"]: r["path"] for r in got.collect()} == {"http://a.com/x": "t/q.html", "http://a.com/y": "t/p_7_2.html"}
+
+
+# --- memory of Python workers ---------------------------------------------------------
+
+
+def test_references_of_many_pages_are_few_objects(spark):
+    pages = [None, "", "<title>a &amp; b</title>"] + ["".join(f'<a href="/{n}/{k}" class="x">' for k in range(100)) for n in range(2000)]
+    texts = pa.array(pages)
+    tracemalloc.start()
+    try:
+        got = content.scan_html.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25e6  # 200,000 references; as objects they take five times as much
+    assert got.to_pylist() == [{"title": t, "refs": [dict(zip(("ord", "grp", "tag", "attr", "rel", "value"), r)) for r in refs]} for t, refs in (content._scanned(p or "") for p in pages)]
+
+
+def test_pages_go_to_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for step in (
+        lambda pages: content.with_scan(pages),
+        lambda pages: content.rewrite_pages(pages, spark.createDataFrame([], "id long, ord int, attr string, old string, new string, dead string"), ["id"]),
+    ):
+        spark.conf.unset(key)
+        assert step(spark.createDataFrame([(1, "<a href=x>")], "id long, html string")).count() == 1
+        assert spark.conf.get(key) == str(BATCH_BYTES)
