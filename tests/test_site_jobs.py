@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arkloom.functions import urls
 from arkloom.operators import captures, content, site
+from arkloom.plans import catalog
 from arkloom.sources import tables
 from arkloom.streaming import jobs
 from arkloom.work import BATCH_BYTES
@@ -336,3 +337,18 @@ def test_streamed_captures_give_the_pages_of_all(spark, tmp_path):
             jobs.merge_stream(spark.readStream.schema(schema).parquet(f"{root}/captures"), settings, f"{root}/manifest", f"{root}/check").awaitTermination()
         got = jobs.merged_manifest(spark, f"{root}/manifest").collect()
         assert sorted(r["key"] for r in got) == want and len({r["local_path"] for r in got}) == 5
+
+
+def test_references_of_all_pages_and_links_are_deduped(spark, tmp_path):
+    # Links count beside what pages load; pages without html or URL load as others do.
+    pages = [(0, "http://a.com/0", '<a href="http://a.com/2#x">'), (1, "http://a.com/1", None), (2, "http://a.com/2", '<a href="/web/2012/http://b.test/"><a href="/c">'), (3, None, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plain, then = "https://web.archive.org/web/id_/", "https://web.archive.org/web/20130101000000"
+    want = {("http://cdn0.test/lazy.png", f"{plain}http://cdn0.test/lazy.png", "asset", 0, 4), ("http://outside.test/x", f"{plain}http://outside.test/x", "asset", 0, 4)}
+    want |= {(b, f"{then}im_/{b}", "asset", n, 1) for n in range(4) for b in [f"http://cdn{n % 3}.test/i{n}.png"]}
+    want |= {(b, f"{then}if_/{b}", "iframe", n, 1) for n in range(4) for b in [f"http://widgets.test/w?id={n}"]}
+    want |= {(b, f"{plain}{b}", "asset", n, 2) for n in range(2) for b in [f"http://cdn1.test/s.css?v={n}"]}
+    want |= {(b, f"{then}/{b}#top", "asset", n, 1) for n in range(2) for b in [f"http://a.com/{n}"]}
+    want |= {("http://a.com/2", f"{plain}http://a.com/2", "asset", 0, 2), ("http://b.test/", "https://web.archive.org/web/2012/http://b.test/", "asset", 2, 1)}
+    got = catalog.QUERIES["dedupe_references"](spark, f"file://{tmp_path}").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
